@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, private_data, simhash_dedup, source_mix, substring_dedup, token_output
+from . import decontamination, exact_dedup, language_id, license_scan, private_data, simhash_dedup, source_mix, substring_dedup, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_output": token_output.op2_token_output,
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_private_data": private_data.op4_private_data,
     "op5_source_mix": source_mix.op5_source_mix,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_decontamination": decontamination.op7_decontamination,
+    "op8_license_scan": license_scan.op8_license_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
 }
