@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, language_id, license_scan, private_data, simhash_dedup, source_mix, substring_dedup, token_output
+from . import decontamination, exact_dedup, html_extraction, language_id, license_scan, private_data, simhash_dedup, source_mix, substring_dedup, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": html_extraction.op1_html_extraction,
     "op2_token_output": token_output.op2_token_output,
     "op3_language_id": language_id.op3_language_id,
     "op4_private_data": private_data.op4_private_data,

@@ -55,8 +55,8 @@ def targets(sized: DataFrame) -> DataFrame:
     return steps.select("source", "source_size", F.coalesce(F.least("cap", F.col("weight") * final), F.col("cap")).alias("target"))
 
 
-def mix(sized: DataFrame, quality: DataFrame | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every document of (doc_id, source, size)."""
+def mix(sized: DataFrame, quality: DataFrame | None = None, *keys: str) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (and keys) of every document of (doc_id, source, size)."""
     if quality is not None:
         best = quality.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
         sized = sized.join(best, "doc_id", "left")
@@ -65,7 +65,7 @@ def mix(sized: DataFrame, quality: DataFrame | None = None) -> DataFrame:
         weight = F.lit(NEUTRAL)
     digits = F.substring(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256), 1, 12)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
-    keyed = sized.select("doc_id", "source", "size", (-F.log(u) / weight).alias("key"))
+    keyed = sized.select("doc_id", "source", "size", *keys, (-F.log(u) / weight).alias("key"))
     keyed = keyed.withColumn("bucket", F.floor(BUCKETS * (1 - F.exp(-F.col("key")))).cast("int"))
     goal = targets(sized).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
@@ -77,7 +77,27 @@ def mix(sized: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     ranked = keyed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     both = ranked.join(starts, ranked["source"].eqNullSafe(starts["source"]) & (ranked["bucket"] == starts["bucket"])).drop(starts["source"])
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("base") - F.col("before")))
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return both.select("doc_id", "source", "size", *keys, "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """The mix itself: each document's row as often as it is taken, the last one cut to its words.
+
+    A column n_chars, where there is one, follows the cut.
+    """
+    rows = materialize(sizes(docs).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    taken = mix(rows.select("doc_id", "source", "size", "_row"), quality, "_row").where(F.col("taken") > 0).select("_row", "taken")
+    both = rows.join(taken, "_row")
+    rest = F.col("taken") % F.col("size")
+    whole = (F.col("taken") - rest) / F.col("size")
+    copies = F.sequence(F.lit(1), (whole + F.when(rest > 0, 1).otherwise(0)).cast("int"))
+    each = both.select(*docs.columns, rest.alias("_rest"), whole.alias("_whole"), F.explode(copies).alias("_copy"))
+    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_rest").cast("int")), "")
+    each = each.withColumn("text", F.when(F.col("_copy") > F.col("_whole"), cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        each = each.withColumn("n_chars", F.when(F.col("_copy") > F.col("_whole"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return each.select(*docs.columns)
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
