@@ -97,16 +97,20 @@ def client(work: DataFrame, error: float, timeout: float = 0.0, breaker: bool =
     x = x.withColumn("s", stream)
     x = x.withColumn("jitter", F.when(F.col("i") == 0, F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda k: faults.mulberry32(F.col("s"), k))))
 
+    start, cap, deposit, cost, size = S.BUDGET_START, S.BUDGET_CAP, S.BUDGET_DEPOSIT, S.BUDGET_COST, S.WINDOW_SIZE
+    least, threshold, first_open, longest_open = S.MIN_SAMPLES, S.THRESHOLD, S.OPEN_MS, S.MAX_OPEN_MS
+    most, base_delay, longest_delay = S.RETRY_ATTEMPTS, S.RETRY_BASE_MS, S.RETRY_CAP_MS
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("i")
         jitter: Iterator[float] = iter(group["jitter"].iloc[0])
-        now, budget, window, opened, open_ms, opens = 0.0, S.BUDGET_START, [], None, 0, 0
+        now, budget, window, opened, open_ms, opens = 0.0, start, [], None, 0, 0
         rows = []
 
         def trip() -> None:
             nonlocal opened, open_ms, opens, window
             opens += 1
-            base = min(S.MAX_OPEN_MS, S.OPEN_MS * 2 ** (opens - 1))
+            base = min(longest_open, first_open * 2 ** (opens - 1))
             open_ms = int(np.floor(base * (0.8 + 0.4 * next(jitter)) + 0.5))
             opened, window = now, []
 
@@ -116,7 +120,7 @@ def client(work: DataFrame, error: float, timeout: float = 0.0, breaker: bool =
                 rows.append((seed, intent, 0, 0, "E_CIRCUIT_OPEN"))
                 now += 1_000
                 continue
-            budget = min(S.BUDGET_CAP, budget + S.BUDGET_DEPOSIT)
+            budget = min(cap, budget + deposit)
             tries, code = 0, None
             while code is None:
                 ok, lost = planned[tries] == "ok", planned[tries] == "timeout"
@@ -127,20 +131,20 @@ def client(work: DataFrame, error: float, timeout: float = 0.0, breaker: bool =
                     else:
                         trip()
                 elif breaker and opened is None:
-                    window = [*window, int(not ok)][-S.WINDOW_SIZE :]
-                    if len(window) >= S.MIN_SAMPLES and sum(window) >= S.THRESHOLD * len(window):
+                    window = [*window, int(not ok)][-size :]
+                    if len(window) >= least and sum(window) >= threshold * len(window):
                         trip()
                 if ok:
                     code = "ok"
                 elif lost:  # the answer is lost, the effect is not: never retried
                     code = "E_INDETERMINATE"
-                elif tries >= (1 if probe else S.RETRY_ATTEMPTS):
+                elif tries >= (1 if probe else most):
                     code = "E_EFFECT_FAILED"
-                elif budget < S.BUDGET_COST:
+                elif budget < cost:
                     code = "E_RETRY_BUDGET"
                 else:
-                    budget -= S.BUDGET_COST
-                    now += next(jitter) * min(S.RETRY_CAP_MS, S.RETRY_BASE_MS * 2**tries)
+                    budget -= cost
+                    now += next(jitter) * min(longest_delay, base_delay * 2**tries)
             rows.append((seed, intent, tries, int(ok or lost), code))
             now += 1_000
         return pd.DataFrame(rows, columns=["seed", "intent", "attempts", "landed", "code"])
