@@ -8,6 +8,7 @@ import hmac
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 #: Defaults of the contract.
 LEASE_MS, DEADLINE_MS, RETENTION_MS, MAX_RESULT_BYTES, MAX_KEY = 30_000, 60_000, 604_800_000, 65_536, 200
@@ -97,13 +98,13 @@ def classify(aborted: Column, indeterminate: Column, user: Column) -> Column:
     return F.when(aborted, "indeterminate").when(indeterminate, "indeterminate").otherwise(F.coalesce(user, F.lit("failed")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def hmac_sha256_hex(key: pd.Series, message: pd.Series) -> pd.Series:
     """HMAC-SHA256 of UTF-8 texts; null where either is."""
     return pd.Series([None if k is None or m is None else hmac.new(k.encode(), m.encode(), hashlib.sha256).hexdigest() for k, m in zip(key, message, strict=True)], dtype="object")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def same_digest(a: pd.Series, b: pd.Series) -> pd.Series:
     """A comparison in constant time."""
     return pd.Series([x is not None and y is not None and hmac.compare_digest(x, y) for x, y in zip(a, b, strict=True)])
@@ -117,6 +118,6 @@ def mint_token(gate_id: Column, exp_ms: Column, nonce: Column, secret: Column) -
 def token_is_valid(token: Column, secret: Column, gate_id: Column, now_ms: Column) -> Column:
     """The digest first, then the shape and the gate, then the expiry; one answer for any defect."""
     body, mac = F.split_part(token, F.lit("."), F.lit(1)), F.split_part(token, F.lit("."), F.lit(2))
-    parts = F.split(F.decode(base64url_decode(body), "UTF-8"), r"\.")
+    parts = F.split(base64url_decode(body).cast("string"), r"\.")
     fresh = F.try_element_at(parts, F.lit(2)).try_cast("long") >= now_ms
     return F.coalesce(same_digest(hmac_sha256_hex(secret, body), mac) & (F.size(parts) == 3) & (F.try_element_at(parts, F.lit(1)) == gate_id) & fresh, F.lit(False))

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-_ORDER = Window.partitionBy("ns").orderBy("seq")
+def _order():  # type: ignore[no-untyped-def]
+    return Window.partitionBy("ns").orderBy("seq")
+
 
 
 def sequence(events: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def chain(events: DataFrame) -> DataFrame:
     folded = logs.select("ns", "log", F.aggregate("log", empty, step)["hashes"].alias("hashes"))
     rows = folded.select("ns", F.explode(F.arrays_zip("log", "hashes")).alias("x"))
     rows = rows.select("ns", "x.log.event_id", "x.log.seq", "x.log.ts", "x.log.payload", F.col("x.hashes").alias("hash"))
-    return rows.withColumn("prev_hash", F.lag("hash").over(_ORDER))
+    return rows.withColumn("prev_hash", F.lag("hash").over(_order()))
 
 
 def heads(events: DataFrame) -> DataFrame:
@@ -59,9 +61,9 @@ def heads(events: DataFrame) -> DataFrame:
 
 def verify(rows: DataFrame) -> DataFrame:
     """ns, ok, broken_at, checked of recorded rows (ns, seq, payload, prev_hash, hash)."""
-    before = F.lag("hash").over(_ORDER)
+    before = F.lag("hash").over(_order())
     good = F.col("prev_hash").eqNullSafe(before) & (F.col("hash") == link(before, F.col("payload")))
-    each = rows.select("ns", (F.row_number().over(_ORDER) - 1).cast("long").alias("i"), F.coalesce(good, F.lit(False)).alias("good"))
+    each = rows.select("ns", (F.row_number().over(_order()) - 1).cast("long").alias("i"), F.coalesce(good, F.lit(False)).alias("good"))
     out = each.groupBy("ns").agg(F.min(F.when(~F.col("good"), F.col("i"))).alias("broken_at"), F.count(F.lit(1)).alias("n"))
     return out.select("ns", F.col("broken_at").isNull().alias("ok"), "broken_at", F.coalesce("broken_at", "n").alias("checked"))
 

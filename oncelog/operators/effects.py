@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 KEY = ("ns", "key")
-_FIRST = Window.partitionBy(*KEY).orderBy("ts", "delivery_no")
+
+
+def _first():  # type: ignore[no-untyped-def]
+    return Window.partitionBy(*KEY).orderBy("ts", "delivery_no")
 
 
 def inspect(effects: DataFrame, ns: str, key: str) -> DataFrame:
@@ -22,12 +25,12 @@ def inspect(effects: DataFrame, ns: str, key: str) -> DataFrame:
 
 def claim_winners(deliveries: DataFrame) -> DataFrame:
     """The delivery that executes each effect."""
-    return deliveries.withColumn("rn", F.row_number().over(_FIRST)).where("rn = 1").drop("rn")
+    return deliveries.withColumn("rn", F.row_number().over(_first())).where("rn = 1").drop("rn")
 
 
 def collapse(deliveries: DataFrame) -> DataFrame:
     """executed or replayed for every delivery; replays carry when their effect was first seen."""
-    status = F.when(F.row_number().over(_FIRST) == 1, "executed").otherwise("replayed")
+    status = F.when(F.row_number().over(_first()) == 1, "executed").otherwise("replayed")
     return deliveries.select("ns", "key", "delivery_no", status.alias("status"), F.min("ts").over(Window.partitionBy(*KEY)).alias("first_seen_at"))
 
 
@@ -40,7 +43,7 @@ def replays(deliveries: DataFrame) -> DataFrame:
 
 def key_conflicts(deliveries: DataFrame) -> DataFrame:
     """Deliveries whose fingerprint differs from the one stored with the effect; null compares with nothing."""
-    stored = F.first("fp").over(_FIRST.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    stored = F.first("fp").over(_first().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return deliveries.withColumn("stored", stored).where("fp <> stored").select("ns", "key", "delivery_no", F.col("stored").alias("expected"), F.col("fp").alias("got"))
 
 
@@ -53,13 +56,13 @@ def lease_ends(deliveries: DataFrame, lease_ms: int = S.LEASE_MS) -> DataFrame:
 
 def lease_expiries(deliveries: DataFrame, lease_ms: int = S.LEASE_MS) -> DataFrame:
     """Executions that never completed and whose lease the next claim finds expired (strictly before it)."""
-    ahead = deliveries.withColumn("next_claim", F.lead("ts").over(_FIRST)).withColumn("rn", F.row_number().over(_FIRST))
+    ahead = deliveries.withColumn("next_claim", F.lead("ts").over(_first())).withColumn("rn", F.row_number().over(_first()))
     return ahead.where((F.col("rn") == 1) & (F.col("fault") == "timeout") & (F.col("ts") + lease_ms < F.col("next_claim"))).select("ns", "key", "delivery_no", (F.col("ts") + lease_ms).alias("lease_end"), "next_claim")
 
 
 def completions(deliveries: DataFrame, lease_ms: int = S.LEASE_MS) -> DataFrame:
     """The winner's terminal write: applied if it still owns the lease, else refused."""
-    win = claim_winners(deliveries.withColumn("next_claim", F.lead("ts").over(_FIRST)))
+    win = claim_winners(deliveries.withColumn("next_claim", F.lead("ts").over(_first())))
     done = F.col("ts") + F.col("latency_ms")
     lost = F.col("next_claim").isNotNull() & (F.col("next_claim") <= done) & (F.col("ts") + lease_ms < F.col("next_claim"))
     status = F.when(lost, "indeterminate").when(F.col("fault") == "ok", "succeeded").when(F.col("fault") == "error", "failed").otherwise("indeterminate")
