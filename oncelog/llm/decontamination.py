@@ -24,7 +24,7 @@ or table gives no hits; other columns pass through ``decontaminate`` untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
@@ -70,26 +70,28 @@ def _word_hashes(words: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, words, size, pos, h, n_windows: the windows that tell an item.
+    """item_id, item, words, size, pos, h, n_windows: the windows that tell an item.
 
     Those of at least two words that are no slots are used, all where an item has none.
+    ``item`` tells rows apart that repeat an item_id with other words.
     """
     items = benchmark.select("item_id", marked_words(text_or_empty()).alias("words")).where(F.size("words") > 0)
+    items = items.withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"])
     items = items.withColumn("size", F.least(F.lit(WINDOW), F.size("words"))).withColumn("hashes", _word_hashes(F.col("words")))
     by_size = F.coalesce(*(F.when(F.col("size") == k, _windows(F.col("hashes"), k)) for k in range(1, WINDOW + 1)))
-    each = items.withColumn("all", by_size).select("item_id", "words", "size", F.posexplode("all").alias("pos", "h"))
+    each = items.withColumn("all", by_size).select("item_id", "item", "words", "size", F.posexplode("all").alias("pos", "h"))
     literal = F.size(F.filter(F.slice("words", F.col("pos") + 1, F.col("size")), lambda w: ~_is_slot(w))) >= 2
-    told = each.withColumn("told", literal)
-    best = told.groupBy("item_id").agg(F.max("told").alias("any_told"), F.count_if("told").alias("n_told"), F.count(F.lit(1)).alias("n_all"))
-    used = told.join(best, "item_id").where(F.col("told") | ~F.col("any_told"))
-    return used.select("item_id", "words", "size", "pos", "h", F.when(F.col("any_told"), F.col("n_told")).otherwise(F.col("n_all")).alias("n_windows"))
+    own = Window.partitionBy("item")  # the windows of one item
+    told = each.withColumn("told", literal).withColumn("n_told", F.count_if("told").over(own)).withColumn("n_all", F.count(F.lit(1)).over(own))
+    used = told.where(F.col("told") | (F.col("n_told") == 0))
+    return used.select("item_id", "item", "words", "size", "pos", "h", F.when(F.col("n_told") > 0, F.col("n_told")).otherwise(F.col("n_all")).alias("n_windows"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, share, reparameterised: the items that documents hold."""
     told = materialize(benchmark_windows(benchmark), "benchmark")
     sizes = [r[0] for r in told.select("size").distinct().collect()]  # at most WINDOW values
-    lookup = materialize(told.groupBy("h").agg(F.collect_list(F.struct("item_id", "pos", "n_windows")).alias("at")), "lookup")
+    lookup = materialize(told.groupBy("h").agg(F.collect_list(F.struct("item", "pos", "n_windows")).alias("at")), "lookup")
     hashed = docs.select("doc_id", _word_hashes(marked_words(text_or_empty())).alias("hashes"))
     found = None
     for k in sizes:
@@ -99,17 +101,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, share double, reparameterised boolean")
     offset = F.col("p") - F.col("at.pos")
-    runs = found.groupBy("doc_id", "at.item_id", "at.n_windows", offset.alias("off")).agg(
+    runs = found.groupBy("doc_id", "at.item", "at.n_windows", offset.alias("off")).agg(
         F.count_distinct("at.pos").alias("n"), F.min("at.pos").alias("lo"), F.max("at.pos").alias("hi")
     )
     runs = runs.where(F.col("n") >= F.least(F.lit(3), F.col("n_windows")))
     # an offset holds a whole item, or its part before or after an edit
-    hits = runs.groupBy("doc_id", "item_id", "n_windows").agg(F.sum("n").alias("n"), F.collect_list(F.struct("n", "off", "lo", "hi")).alias("runs"))
+    hits = runs.groupBy("doc_id", "item", "n_windows").agg(F.sum("n").alias("n"), F.collect_list(F.struct("n", "off", "lo", "hi")).alias("runs"))
     hits = materialize(hits.where(F.col("n") >= share * F.col("n_windows")), "hits")
     texts = docs.join(hits.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     texts = texts.select(F.col("doc_id").alias("_id"), marked_words(text_or_empty()).alias("doc_words"))
-    items = told.groupBy("item_id").agg(F.first("words").alias("words"), F.first("size").alias("size")).withColumnRenamed("item_id", "_item")
-    both = hits.join(items, F.col("item_id").eqNullSafe(F.col("_item"))).join(texts, F.col("doc_id").eqNullSafe(F.col("_id")))
+    items = told.select("item", "item_id", "words", "size").dropDuplicates(["item"])
+    both = hits.join(items, "item").join(texts, F.col("doc_id").eqNullSafe(F.col("_id")))
 
     def slots(run: Column) -> Column:
         at = F.sequence(run["lo"], run["hi"] + F.col("size") - 1)
@@ -140,4 +142,4 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document that holds benchmark items."""
     hits = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.transform(F.array_sort(F.collect_set("item_id")), lambda x: x.cast("string")), ",")
-    return hits.groupBy("doc_id").agg(names.alias("items"), F.count_distinct("item_id").alias("n_items"), F.max("share").alias("best_share"), F.max("reparameterised").alias("reparameterised"))
+    return hits.groupBy("doc_id").agg(names.alias("items"), F.count(F.lit(1)).alias("n_items"), F.max("share").alias("best_share"), F.max("reparameterised").alias("reparameterised"))

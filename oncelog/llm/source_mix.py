@@ -85,13 +85,13 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFr
 
     A column n_chars, where there is one, follows the cut.
     """
-    rows = materialize(sizes(docs).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    taken = mix(rows.select("doc_id", "source", "size", "_row"), quality, "_row").where(F.col("taken") > 0).select("_row", "taken")
-    both = rows.join(taken, "_row")
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    sized = sizes(rows.select("doc_id", "source", "text", "_row")).select("doc_id", "source", "size", "_row")
+    taken = mix(sized, quality, "_row").where(F.col("taken") > 0)
     rest = F.col("taken") % F.col("size")
-    whole = (F.col("taken") - rest) / F.col("size")
-    copies = F.sequence(F.lit(1), (whole + F.when(rest > 0, 1).otherwise(0)).cast("int"))
-    each = both.select(*docs.columns, rest.alias("_rest"), whole.alias("_whole"), F.explode(copies).alias("_copy"))
+    taken = taken.select("_row", rest.alias("_rest"), ((F.col("taken") - rest) / F.col("size")).alias("_whole"))
+    copies = F.sequence(F.lit(1), (F.col("_whole") + F.when(F.col("_rest") > 0, 1).otherwise(0)).cast("int"))
+    each = rows.join(taken, "_row").select(*docs.columns, "_rest", "_whole", F.explode(copies).alias("_copy"))
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_rest").cast("int")), "")
     each = each.withColumn("text", F.when(F.col("_copy") > F.col("_whole"), cut).otherwise(F.col("text")))

@@ -171,7 +171,7 @@ class WindowIndex:
 
     def compact(self) -> None:
         """Folds all runs into one row per segment, that of the run added first."""
-        old = self.runs
+        old = list(self.runs)
         rows = None
         for age, run in enumerate(old):
             own = self.spark.table(run).withColumn("age", F.lit(age))

@@ -1,0 +1,136 @@
+"""Language ID, personal data, HTML extraction: held-out accuracy, brute force, edge cases."""
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from oncelog.llm import html_extraction, language_id, private_data
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        x = int(c) * (1 + k % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def brute(text):
+    out = []
+    for k, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub(r"[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (12 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), k, m.end(), kind))
+    return ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in sorted(out))
+
+
+def test_base_spans_equal_the_patterns():
+    automaton, r = private_data._automaton(), random.Random(3)
+    for _ in range(20_000):
+        text = "".join(r.choice("0123456789.@+- ()ab12é") for _ in range(r.randint(1, 40)))
+        assert private_data._joined(private_data.find(text, automaton), private_data.BASE) == brute(text), text
+
+
+def test_added_kinds():
+    automaton = private_data._automaton()
+    text = "see https://a.example/x?y=1. IBAN DE89370400440532013000, account no: 12345678 and api_key=abcdef123456"
+    found = {k: [text[s:e] for s, e in v] for k, v in private_data.find(text, automaton).items() if v}
+    assert found["url"] == ["https://a.example/x?y=1"] and found["iban"] == ["DE89370400440532013000"]
+    assert found["account"] == ["12345678"] and found["secret"] == ["abcdef123456"]
+
+
+def test_private_data_edges(spark):
+    rows = [(1, None, 5), (2, "", 5), (None, "a@b.cc", 5), (3, "x " * 50_000 + "a@b.cc", 5), (3, "1.2.3.4", 5), (3, "1.2.3.4", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_email long")
+    got = sorted((str(r.doc_id), r.n_email, r.n_ip, r.base_spans) for r in private_data.scan(df).collect())
+    assert got == [("1", 0, 0, ""), ("2", 0, 0, ""), ("3", 0, 1, "ip:0:7"), ("3", 0, 1, "ip:0:7"), ("3", 1, 0, "email:100000:100006"), ("None", 1, 0, "email:0:6")]
+    assert private_data.scan(df.limit(0)).count() == 0
+    masked = private_data.mask(df).where("doc_id is null").first()
+    assert masked.text == "<email>" and masked.n_email == 5
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs, language_id.default_vocabulary(), rows=400)
+    assert all(abs(sum(p.values()) - 1) < 1e-6 for p in model.values())
+    out = language_id.predict(docs, model).where(language_id.held_out() & F.col("lang").isNotNull())
+    row = out.agg(F.avg((F.col("lang") == F.col("_scored.lang_pred")).cast("int")), F.min("_scored.score")).first()
+    assert row[0] > 0.98 and 0 < row[1] <= 1
+
+
+def test_language_edges(spark):
+    rows = [(1, "the house", "en", 0), (1, "the mouse", "en", 0), (2, "le chat noir", "fr", 0), (3, None, "en", 0), (4, "12 !!", None, 0), (None, "the the", None, 0), (6, "le " * 30_000, None, 0), (7, "x" * 500, "en", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long")
+    model = language_id.train(df, language_id.default_vocabulary())
+    got = {(r.doc_id, r.text and r.text[:6]): r._scored for r in language_id.predict(df, model).collect()}
+    assert got[3, None].lang_pred == "und" == got[4, "12 !!"].lang_pred and got[4, "12 !!"].score == 0
+    assert all(0 <= s.score <= 1 for s in got.values())
+    kept = language_id.keep_identified(df)
+    assert kept.columns == df.columns and kept.count() == 6
+    assert language_id.keep_identified(df.limit(0)).count() == 0
+
+
+def test_forward_sums_all_segmentations():
+    scorer = language_id.Scorer({"x": {"▁a": 0.2, "▁ab": 0.3, "a": 0.1, "b": 0.25, "ba": 0.15}})
+    import math
+
+    # ▁a|b|a, ▁a|ba, ▁ab|a
+    want = 0.2 * 0.25 * 0.1 + 0.2 * 0.15 + 0.3 * 0.1
+    floor = 1e-9 * 0.1 * 0.25 * 0.1 + 1e-9 * 0.1 * 0.15
+    assert math.isclose(math.exp(scorer.forward(["▁aba"])[0, 0]), want + floor, rel_tol=1e-9)
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T {k}</title><style>p{{margin:0}}</style><script>var a="<p>no</p>";</script></head><body>
+<header class="site"><a href="/">Home</a></header><nav><ul><li><a href="/a">One {k}</a><li><a href="/b">Two</a></ul></nav>
+<div class="cookie-notice">We use cookies {k}</div><div class="ad">Buy {k}</div>
+<article><h1>Title {k}</h1><p>First &amp; <b>bold</b>   text {k}.<p>Second<br>line &#233;<ul><li>item</ul><form><p>Your mail {k}</p></form>
+<div id="comments"><p>Nice post {k}</p></div></article><aside><p>Related {k}</p></aside><footer>&copy; me {k}</footer></body></html>"""
+
+
+def want(k):
+    return f"Title {k}\nFirst & bold text {k}.\nSecond line é\nitem"
+
+
+def test_extraction_rules(spark):
+    rows = [(k, f"http://h.example/{k}", PAGE.format(k=k), "t") for k in range(8)]
+    rows += [(90, None, None, "t"), (91, "odd", "", "t"), (None, "http://h.example/z", PAGE.format(k="z"), "t"), (92, "http://h.example/y", PAGE.format(k="y"), "t"), (92, "http://h.example/y", PAGE.format(k="y"), "t")]
+    rows += [(93, "http://one.example/", "<p>alone &am", "t"), (94, "http://two.example/", "plain text\n only <", "t"), (95, "http://h.example/l", "<article><p>" + "w " * 100_000 + "</article>", "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    out = html_extraction.extract(pages)
+    assert out.columns == [*pages.columns, "text"]
+    got = {r.page_id: r.text for r in out.collect()}
+    assert all(got[k] == want(k) for k in range(8)) and got[None] == want("z") and got[92] == want("y")
+    assert got[90] == "" == got[91] and got[93] == "alone &am" and len(got[95]) == 199_999
+    assert got[94].startswith("plain text only")
+    assert html_extraction.extract(pages.limit(0)).count() == 0 and out.count() == len(rows)
+
+
+def test_wrapper_of_a_site_without_articles(spark):
+    page = '<body><div class="top"><a href="/">Site</a></div><div class="post"><h2>H {k}</h2><p>{t}</p><p>{t}</p></div><div class="bottom">Same on all pages</div></body>'
+    rows = [(k, f"https://s.example/{k}", page.format(k=k, t=f"long text of page {k} " * 9)) for k in range(6)]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in got:
+        t = (f"long text of page {r.page_id} " * 9).strip()
+        assert r.text == f"H {r.page_id}\n{t}\n{t}"
+
+
+def test_alignment_is_union_free():
+    parse, wrap, merge = html_extraction.parse, html_extraction.to_wrapper, html_extraction._merge
+    a, b = (wrap(parse(x)) for x in ("<div><h1>A</h1><p>1</p><p>2</p></div>", "<div><h1>A</h1><ul></ul><p>3</p></div>"))
+    div = merge(a, b).children[0]
+    assert [(c.key, c.optional, c.repeated) for c in div.children] == [("h1", False, False), ("ul", True, False), ("p", False, True)]
+    assert div.children[0].constant == "A" and div.children[2].constant is None
