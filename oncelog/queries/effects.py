@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import breaker as B
+from ..operators import commands as C
 from ..operators import effects as E
 from ..sources import tables as T
 from .registry import query
@@ -165,3 +166,33 @@ _BUDGET = """steps AS (SELECT circuit, n, 0::BIGINT AS funded, 0::BIGINT AS deni
 def retry_budget(spark, sf):
     x = T.outcomes(spark, sf).select("circuit", "n", F.when(F.col("ok"), 0).otherwise(2).cast("long").alias("wanted"))
     return B.budget(x)
+
+
+_LOG = """firsts AS (SELECT *, worker || ':' || delivery_no AS owner FROM deliveries),
+    commands AS (SELECT ns, key, row_number() OVER (PARTITION BY ns, key ORDER BY tick, n) AS step, * EXCLUDE (ns, key) FROM (
+        SELECT ns, key, delivery_no * 4 AS n, 'claim' AS op, ts AS tick, owner, fp, NULL AS ends FROM firsts UNION ALL
+        SELECT ns, key, delivery_no * 4 + 1, 'heartbeat', ts + 10000, owner, fp, NULL FROM firsts WHERE latency_ms > 10000 UNION ALL
+        SELECT ns, key, delivery_no * 4 + 2, 'complete', ts + latency_ms, owner, fp, CASE WHEN fault = 'ok' THEN 'succeeded' ELSE 'failed' END FROM firsts WHERE fault <> 'timeout')),
+    state AS (SELECT ns, key, step, n, 'in_flight' AS status, 1::BIGINT AS attempt, owner AS holder, tick + 30000 AS lease_end, fp AS stored, 'claimed' AS outcome, NULL::VARCHAR AS code FROM commands WHERE step = 1
+      UNION ALL SELECT ns, key, step, n,
+        CASE WHEN parks THEN 'indeterminate' WHEN reclaims THEN 'in_flight' WHEN op = 'complete' AND held THEN ends ELSE status END,
+        attempt + CASE WHEN reclaims THEN 1 ELSE 0 END,
+        CASE WHEN parks OR (op = 'complete' AND held) THEN NULL WHEN reclaims THEN owner ELSE holder END,
+        CASE WHEN parks OR (op = 'complete' AND held) THEN NULL WHEN reclaims OR (op = 'heartbeat' AND held) THEN tick + 30000 ELSE lease_end END, stored,
+        CASE WHEN op = 'claim' THEN (CASE WHEN reclaims THEN 'claimed' ELSE 'exists' END) WHEN op = 'heartbeat' THEN (CASE WHEN held THEN 'ok' ELSE 'not_ok' END) ELSE (CASE WHEN held THEN 'ok' ELSE 'refused' END) END,
+        CASE WHEN op = 'complete' AND NOT held THEN 'E_LEASE_LOST' WHEN op = 'claim' AND stored <> fp THEN 'E_KEY_CONFLICT' END
+      FROM (SELECT s.ns, s.key, c.step, c.n, c.op, c.owner, c.fp, c.ends, c.tick, s.status, s.attempt, s.holder, s.lease_end, s.stored, coalesce(s.status = 'in_flight' AND s.holder = c.owner, false) AS held,
+          coalesce(c.op = 'claim' AND s.status = 'in_flight' AND s.lease_end < c.tick, false) AS parks, c.op = 'claim' AND s.status = 'indeterminate' AND c.key::BIGINT % 3 = 0 AS reclaims
+        FROM state s JOIN commands c ON c.ns = s.ns AND c.key = s.key AND c.step = s.step + 1))"""
+
+
+@query(T.oracle("SELECT ns, key, arg_max(status, step) AS status, max(attempt) AS attempt, max(struct_pack(step := step, e := lease_end)).e AS lease_end FROM state GROUP BY ns, key", "deliveries", more=_LOG, recursive=True))
+def effect_commands(spark, sf):
+    """The record of every key after claims, heartbeats, completions and reclaims."""
+    return C.records(C.from_deliveries(T.deliveries(spark, sf))).select("ns", "key", "status", "attempt", "lease_end")
+
+
+@query(T.oracle("SELECT ns, key, n, outcome, code FROM state", "deliveries", more=_LOG, recursive=True))
+def command_answers(spark, sf):
+    """What every command is told."""
+    return C.answers(C.from_deliveries(T.deliveries(spark, sf))).select("ns", "key", "n", "outcome", "code")
