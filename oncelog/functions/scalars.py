@@ -121,3 +121,22 @@ def token_is_valid(token: Column, secret: Column, gate_id: Column, now_ms: Colum
     parts = F.split(base64url_decode(body).cast("string"), r"\.")
     fresh = F.try_element_at(parts, F.lit(2)).try_cast("long") >= now_ms
     return F.coalesce(same_digest(hmac_sha256_hex(secret, body), mac) & (F.size(parts) == 3) & (F.try_element_at(parts, F.lit(1)) == gate_id) & fresh, F.lit(False))
+
+
+def ascii_text(b: Column) -> Column:
+    """Bytes as text where all of them are ASCII, else an empty text."""
+    text = F.try_validate_utf8(b.cast("string"))
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise("")
+
+
+def safe_message(message: Column, text: Column) -> Column:
+    """An error's message, the text that was thrown, or a fixed phrase."""
+    return F.coalesce(message, text, F.lit("unknown error"))
+
+
+def percent(x: Column) -> Column:
+    return F.concat(F.floor(100 * x + 0.5).cast("string"), F.lit(" %"))
+
+
+def thousands(n: Column) -> Column:
+    return F.format_number(n, 0)

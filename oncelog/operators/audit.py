@@ -75,3 +75,37 @@ def since(rows: DataFrame, ns: str, seq: int, limit: int = 100) -> DataFrame:
 def pages(rows: DataFrame, page_size: int = 500) -> DataFrame:
     """rows with the page that an export puts them on."""
     return rows.withColumn("page", F.floor((F.col("seq") - 1) / page_size).cast("long"))
+
+
+def with_defaults(inputs: DataFrame, ns: str, owner: str) -> DataFrame:
+    """Events to append, with the namespace, actor and data of their writer where they have none."""
+    defaults = {"ns": F.lit(ns), "actor": F.lit(owner), "data": F.lit("{}"), "attempt": F.lit(None).cast("int")}
+    return inputs.withColumns({name: F.coalesce(F.col(name), value) if name in inputs.columns else value for name, value in defaults.items()})
+
+
+def notes(deliveries: DataFrame, text: Column) -> DataFrame:
+    """A note event for each execution: it never decides anything about the effect."""
+    data = S.canonical_object(note=S.json_string(text))
+    return deliveries.select("ns", "ts", F.col("delivery_no").alias("event_id"), F.lit("effect").alias("subject_type"), F.col("key").alias("subject_key"), F.lit("note").alias("type"), F.lit(1).alias("attempt"), F.col("worker").alias("actor"), data.alias("data"))
+
+
+def append(log: DataFrame | None, inputs: DataFrame) -> DataFrame:
+    """(ns, event_id, seq, ts, payload, prev_hash, hash) of new events behind the chains of a log.
+
+    Only the last row of each namespace is read from the log.
+    """
+    if log is None:
+        return chain(inputs)
+    last = log.groupBy("ns").agg(F.max_by("hash", "seq").alias("head"), F.max("seq").alias("base"))
+    each = sequence(inputs).select("ns", F.struct("seq", "event_id", "ts", payload().alias("payload")).alias("e"))
+    logs = each.groupBy("ns").agg(F.array_sort(F.collect_list("e")).alias("log")).join(last, "ns", "left")
+    start = F.struct(F.col("head").alias("head"), F.array().cast("array<string>").alias("hashes"))
+
+    def step(s: Column, e: Column) -> Column:
+        h = link(s["head"], e["payload"])
+        return F.struct(h.alias("head"), F.concat(s["hashes"], F.array(h)).alias("hashes"))
+
+    folded = logs.select("ns", "log", "head", F.coalesce("base", F.lit(0).cast("long")).alias("base"), F.aggregate("log", start, step)["hashes"].alias("hashes"))
+    rows = folded.select("ns", "head", "base", F.explode(F.arrays_zip("log", "hashes")).alias("x"))
+    rows = rows.select("ns", "head", "x.log.event_id", (F.col("x.log.seq") + F.col("base")).alias("seq"), "x.log.ts", "x.log.payload", F.col("x.hashes").alias("hash"))
+    return rows.withColumn("prev_hash", F.coalesce(F.lag("hash").over(_order()), "head")).drop("head")

@@ -229,3 +229,30 @@ def test_cli(spark, tmp_path, capsys):
     assert '"decided_by":"engine:timeout"' in run("show", "g1")[1] and run("show", "zz") == (0, "no such gate\n")
     assert cli.main(["gates", "ls", "--status", "odd"], spark) == 2 and cli.main(["nothing"], spark) == 2
     assert cli.main(["gates", "ls", "--state", str(tmp_path / "none")], spark, 0) == 0
+
+
+def test_small_scalars(spark):
+    assert scalar(spark, S.ascii_text(F.lit(b"abc"))) == "abc" and scalar(spark, S.ascii_text(F.lit("é".encode()))) == "" and scalar(spark, S.ascii_text(F.lit(b"\xff"))) == ""
+    none = F.lit(None).cast("string")
+    assert [scalar(spark, S.safe_message(m, t)) for m, t in ((F.lit("m"), none), (none, F.lit("t")), (none, none))] == ["m", "t", "unknown error"]
+    assert scalar(spark, S.percent(F.lit(0.765))) == "77 %" and scalar(spark, S.thousands(F.lit(1031))) == "1,031"
+
+
+def test_append_continues_the_chain(spark, sf):
+    events = tables.audit_log(spark, sf)
+    whole = {(r.ns, r.seq): (r.event_id, r.prev_hash, r.hash) for r in audit.chain(events).collect()}
+    cut = events.select(F.percentile_approx("ts", 0.6)).first()[0]
+    first = audit.append(None, events.where(F.col("ts") <= cut))
+    both = first.unionByName(audit.append(first, events.where(F.col("ts") > cut)))
+    assert {(r.ns, r.seq): (r.event_id, r.prev_hash, r.hash) for r in both.collect()} == whole
+    bare = spark.createDataFrame([("effect", "k", "note", 5, 1, None)], "subject_type string, subject_key string, type string, ts long, event_id long, ns string")
+    r = audit.with_defaults(bare, "n", "me").first()
+    assert (r.ns, r.actor, r.data, r.attempt) == ("n", "me", "{}", None)
+    assert audit.notes(tables.deliveries(spark, sf).limit(1), F.lit('say "x"')).first().data == '{"note":"say \\"x\\""}'
+
+
+def test_minimiser():
+    case = {"seed": 1, "scenario": "retry-storm", "intents": 30, "error_rate": 0.3, "timeout_rate": 0.1, "variant": "v"}
+    small = golden.minimize(case, lambda c: c["intents"] >= 7 and c["error_rate"] > 0)
+    assert small == case | {"intents": 7, "timeout_rate": 0.0, "variant": ""}
+    assert golden.pinned(small, {"ledger": 1}).startswith('{\n  "case": {\n    "error_rate"')
