@@ -105,6 +105,26 @@ def test_simhash_keeps_one_of_each_group(spark):
     assert simhash_dedup.deduplicate(docs(spark, [])).count() == 0
 
 
+def test_near_copies_of_similarity_four_fifths_go(spark):
+    def jaccard(a, b):
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.split(), b.split()))
+        return len(x & y) / len(x | y)
+
+    rows = []
+    for k in range(40):
+        base = words(180 + 5 * k, 1_000 + k).split()
+        copy, r = list(base), random.Random(k)
+        for _ in range(2 + k % 3):
+            copy[r.randrange(len(copy))] = "replacement"
+        far = base[: len(base) // 2] + words(len(base) // 2, 5_000 + k).split()
+        rows += [(3 * k + 1, " ".join(base)), (3 * k + 2, " ".join(copy)), (3 * k + 3, " ".join(far))]
+    text = dict(rows)
+    kept = {r.doc_id for r in simhash_dedup.deduplicate(docs(spark, rows)).collect()}
+    for k in range(40):
+        a, b, c = 3 * k + 1, 3 * k + 2, 3 * k + 3
+        assert {a, c} <= kept and (b in kept) == (jaccard(text[a], text[b]) < 0.8)
+
+
 def test_long_text_fingerprint():
     text = words(20_000, 3)
     assert simhash_dedup.fingerprint(text) == brute_simhash(text)
