@@ -194,6 +194,8 @@ class WindowIndex:
             known = materialize(known.unionByName(old), "known")
         # whole segments: those that stand more than once, and the rank of the first
         many = known.groupBy("gram", "seg").agg(F.min("rank").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
+        # written first: both sides of the join then come from an exchange of their own, which Spark can split where a passage is hot
+        many = materialize(many, "many")
         covered = segs.join(many, ["gram", "seg"]).where("first < ord").select("ord", "th", F.col("a").alias("s"), (F.col("b") + self.window).alias("e"))
         # parts of segments: grams that different segments have in different documents
         mixed = known.groupBy("gram").agg(F.min("seg").alias("s0"), F.max("seg").alias("s1"), F.min(F.struct("rank", "ord")).alias("d0"), F.max(F.struct("rank", "ord")).alias("d1"))
@@ -204,6 +206,7 @@ class WindowIndex:
         texts = _keyed(self.corpus).join(wanted, ["ord", "th"]).dropDuplicates(["ord", "th"]) if self._repeats() else _keyed(self.corpus).join(wanted, ["ord", "th"])
         windows = materialize(_windows(texts.select("ord", "th", "text", "wanted"), self.window), "windows")
         least = windows.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").drop("last")
+        least = materialize(least, "least")
         parts = windows.join(least, ["h1", "h2"]).where("first < rank").select("ord", "th", F.col("a").alias("s"), (F.col("a") + self.window).alias("e"))
         out = materialize(covered.unionByName(parts), "covered")
         self._append(own.drop("n"))
