@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
 
-BUCKETS = 64
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -32,15 +31,19 @@ def digests(docs: DataFrame) -> DataFrame:
 class DigestIndex:
     """A growing index of distinct texts in the session's catalog."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
+        self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.runs: list[str] = [t.name for t in spark.catalog.listTables(pattern=f"{self.name}_*")] if name else []
 
     def _append(self, rows: DataFrame) -> None:
-        run = f"{self.name}_{len(self.runs)}"
-        rows.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").saveAsTable(run)
-        self.runs.append(run)
+        self.runs.append(self._write(rows))
+
+    def _write(self, rows: DataFrame) -> str:
+        """A new run, one sorted file for each bucket."""
+        run = f"{self.name}_{uuid.uuid4().hex}"
+        rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").saveAsTable(run)
+        return run
 
     def rows(self) -> DataFrame:
         """digest, keep_id, n: one row per distinct text seen so far."""
@@ -69,16 +72,15 @@ class DigestIndex:
         """Folds all runs into one."""
         if len(self.runs) > 1:
             old, rows = self.runs, self.rows()
-            merged = f"{self.name}_{len(old)}"
-            rows.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").saveAsTable(merged)
-            self.runs = [merged]
+            self.runs = [self._write(rows)]
             for run in old:
                 self.spark.sql(f"DROP TABLE {run}")
 
 
 def mark_duplicates(batch: DataFrame, index: DigestIndex) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of each row of a batch that the index holds."""
-    marked = batch.join(index.rows(), "digest", "left")
+    # a plain table: joined with buckets, a text that many rows share would stay in one task
+    marked = batch.join(materialize(index.rows(), "known"), "digest", "left")
     return marked.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
