@@ -36,11 +36,13 @@ from .common import WordBuffer, mix64, remove, scratch, table, text_or_empty
 
 #: Bounds of the dictionary: sampled documents, code points of each, bytes trained.
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 400, 8_000, 32_768
+#: The encoder's memo is emptied when it holds more words.
+MEMO_WORDS = 800_000
 #: A shard row is closed once its payload reaches this size.
 SHARD_BYTES = 1 << 20
 
 _FRAMES = "doc_id long, n_tokens long, frame binary"
-_SHARDS = "part int, shard int, dict_hash string, doc_ids array<long>, n_tokens array<long>, before array<long>, offsets array<long>, payload binary"
+_SHARDS = "part int, shard int, first long, dict_hash string, doc_ids array<long>, n_tokens array<long>, before array<long>, offsets array<long>, payload binary"
 
 
 #: White space beyond the six ASCII characters; texts with any go through the tokenizer as they stand.
@@ -48,11 +50,11 @@ _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u20
 
 
 class BatchEncoder:
-    """Encodes batches of whole texts with a byte-level tokenizer, each distinct word once.
+    """Encodes batches of whole texts with a byte-level tokenizer, distinct words once.
 
     The tokenizer's splitting ends a token before every single space or newline that
     stands between two other characters, so a text can be cut there without changing
-    one id. The distinct words of a batch are encoded together and gathered back by
+    one id. Words that a bounded memo lacks are encoded together, and all are gathered by
     position; texts with any other white space, or special-token text, are encoded whole.
     """
 
@@ -66,6 +68,7 @@ class BatchEncoder:
         self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.spaced[[i for piece, i in vocab.items() if piece.startswith("\u0120")]] = True
         self.newline = vocab["\u010a"]
+        self._forget()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,6 +85,33 @@ class BatchEncoder:
             flat.append(ids if spaced else ids[ids != self.newline])
         return np.concatenate([*flat, np.empty(0, self.dtype)]), np.concatenate([*sizes, np.empty(0, np.int64)])
 
+    def _learn(self, keys: np.ndarray, spell, bare: np.ndarray) -> np.ndarray:  # type: ignore[no-untyped-def]
+        """The memo's places of sorted distinct keys; words that it lacks are encoded."""
+        if len(self.keys) > MEMO_WORDS:
+            self._forget()
+        at = np.searchsorted(self.keys, keys)
+        known = np.append(self.keys, np.uint64(0))[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            begin, size, flat, base = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [self.flat], len(self.flat)
+            spelled = spell(new)
+            for spaced in (True, False):
+                own = np.flatnonzero(bare[new] != spaced)
+                ids, size[own] = self._words([spelled[k] for k in own], spaced)
+                begin[own] = base + np.cumsum(size[own]) - size[own]
+                flat.append(ids)
+                base += len(ids)
+            self.flat = np.concatenate(flat)
+            merged = np.concatenate((self.keys, keys[new]))
+            order = np.argsort(merged, kind="stable")
+            self.keys, self.begin, self.size = merged[order], np.concatenate((self.begin, begin))[order], np.concatenate((self.size, size))[order]
+            at = np.searchsorted(self.keys, keys)
+        return at
+
+    def _forget(self) -> None:
+        self.keys, self.begin, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat = np.array([self.newline], dtype=self.dtype)  # a newline's id has place 0
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         words = WordBuffer([t.encode() for t in texts])
@@ -103,20 +133,13 @@ class BatchEncoder:
         at = np.flatnonzero(keep)
         distinct, where, inverse = np.unique(keys[keep], return_index=True, return_inverse=True)
         raw, where = data.tobytes(), at[where]
-        spelled = [raw[a:b].decode() for a, b in zip(words.starts[where].tolist(), words.ends[where].tolist(), strict=True)]
-        flat, size, begin, base = [], np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), 0
-        for spaced in (True, False):
-            own = np.flatnonzero(bare[where] != spaced)
-            ids, size[own] = self._words([spelled[k] for k in own], spaced)
-            begin[own] = base + np.cumsum(size[own]) - size[own]
-            flat.append(ids)
-            base += len(ids)
-        flat = np.concatenate([*flat, np.array([self.newline], dtype=self.dtype)])
+        place = self._learn(distinct, lambda new: [raw[a:b].decode() for a, b in zip(words.starts[where[new]].tolist(), words.ends[where[new]].tolist(), strict=True)], bare[where])
+        begin, size, flat = self.begin[place], self.size[place], self.flat
         broken = (bare & ~opens)[keep]  # a newline's id goes before the word's
         total = size[inverse] + broken
         ends = np.cumsum(total)
         source = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - total - begin[inverse] + broken, total)
-        source[(ends - total)[broken]] = len(flat) - 1
+        source[(ends - total)[broken]] = 0
         ids = flat[source]
         bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(keep)))[first]]
         for i in np.flatnonzero(~np.array(whole, dtype=bool)):
@@ -165,19 +188,16 @@ def _decompressor(dictionary: bytes | None):
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
-    """A dictionary from the serialised ids of DICT_DOCS documents, chosen by a hash of doc_id.
+    """A dictionary from the serialised ids of about DICT_DOCS documents, chosen by a hash of doc_id.
 
     The sample is a bounded parameter of compression alone: no id depends on it.
     """
     import zstandard
 
-    sample = (
-        docs.select("doc_id", text_or_empty().alias("text"))
-        .where(F.col("doc_id").isNotNull())
-        .select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, DICT_CHARS).alias("text"))
-        .orderBy("h", "doc_id", "text")
-        .limit(DICT_DOCS)
-    )
+    rows = docs.where(F.col("doc_id").isNotNull())
+    share = min(1.0, DICT_DOCS / max(1, rows.select("doc_id").count()))
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit("dictionary")), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = rows.where(chosen).select(F.substring(text_or_empty(), 1, DICT_CHARS).alias("text")).repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = sorted(t for b in batches for t in b.column("text").to_pylist())
@@ -190,8 +210,8 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
             out = b"".join(arrays)[:DICT_BYTES]
         yield pa.record_batch([pa.array([out], pa.binary())], names=["dictionary"])
 
-    rows = sample.mapInArrow(run, "dictionary binary").collect()
-    return bytes(rows[0][0]) if rows else b""
+    trained = sample.mapInArrow(run, "dictionary binary").collect()
+    return bytes(trained[0][0]) if trained else b""
 
 
 @dataclass(frozen=True)
@@ -233,12 +253,9 @@ class TokenStore:
         return self._placed().select("start", "dict_hash", "doc_ids", "n_tokens", "offsets", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
     def _placed(self) -> DataFrame:
-        """Shards with the number of ids before them."""
-        w = Window.partitionBy("part").orderBy("shard")
-        own = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
-        starts = self._read("shards").select("part", "shard", own.alias("own")).join(self._read("parts"), "part")
-        starts = starts.select("part", "shard", (F.col("base") + F.sum("own").over(w) - F.col("own")).alias("start"))
-        return self._read("shards").join(starts, ["part", "shard"])
+        """Shards with the number of ids before them; ``parts`` has one row for each range of doc_id."""
+        placed = self._read("shards").join(F.broadcast(self._read("parts")), "part")
+        return placed.withColumn("start", F.col("base") + F.col("first"))
 
     def get(self, doc_id: int) -> list[list[int]]:
         """The ids of the documents of one doc_id: reads the index, then only their shards."""
@@ -269,6 +286,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+        first = 0
         for shard, group in enumerate(_groups(rows, lambda r: len(r[2]), SHARD_BYTES)):
             offsets = np.concatenate(([0], np.cumsum([len(f) for _, _, f in group]))).tolist()
             before = np.concatenate(([0], np.cumsum([t for _, t, _ in group])[:-1])).tolist()
@@ -276,6 +294,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 [
                     pa.array([part], pa.int32()),
                     pa.array([shard], pa.int32()),
+                    pa.array([first], pa.int64()),
                     pa.array([name]),
                     pa.array([[d for d, _, _ in group]], pa.list_(pa.int64())),
                     pa.array([[t for _, t, _ in group]], pa.list_(pa.int64())),
@@ -283,14 +302,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                     pa.array([offsets], pa.list_(pa.int64())),
                     pa.array([b"".join(f for _, _, f in group)], pa.binary()),
                 ],
-                names=["part", "shard", "dict_hash", "doc_ids", "n_tokens", "before", "offsets", "payload"],
+                names=["part", "shard", "first", "dict_hash", "doc_ids", "n_tokens", "before", "offsets", "payload"],
             )
+            first += sum(t for _, t, _ in group)
 
     ranged = spark.read.schema(_FRAMES).parquet(frames).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "frame")
     ranged.mapInArrow(shards, _SHARDS).write.option("compression", "none").parquet(f"{path}/shards")
     remove(spark, frames)
     written = spark.read.schema(_SHARDS).parquet(f"{path}/shards")
-    totals = written.select("part", F.explode("n_tokens").alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
+    own = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+    totals = written.select("part", own.alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
     base = F.sum("n").over(Window.orderBy("part")) - F.col("n")  # one row for each range
     totals.select("part", base.alias("base")).write.parquet(f"{path}/parts")
     store = TokenStore(spark, path)
