@@ -13,8 +13,9 @@ with the runs by gram, and verified in two steps:
 * a segment that the index or an earlier document of the batch has, word for word, is
   covered as a whole;
 * where different segments share a gram in different documents, only part of them may
-  agree: the windows of one copy of each are hashed from the texts (128 bits) and the
-  first document of every window decides.
+  agree: the windows of one copy of each are hashed from the texts (128 bits), the first
+  document of every window decides, and the windows found, as places within the segment,
+  hold for all copies of the segment.
 
 Then the batch's distinct segments become a new run; ``FANOUT`` runs are folded into one.
 A passage that a third of all documents share is one row per map task before any shuffle.
@@ -126,27 +127,25 @@ def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
 
 
 def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """(h1, h2, rank, ord, th, a) of the wanted windows of (ord, th, text, wanted: list of (rank, a, b))."""
+    """(h1, h2, rank, gram, seg, at) of the wanted windows of (ord, th, text, wanted: list of (rank, gram, seg, a, b)); at counts from a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 2)), strict=True))
+        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in (1, 0)), strict=True))
         for group in _batched(rows, 4_000_000):
             words = WordBuffer([t.encode() for *_, t in group])
             hashes = words.word_hashes()
             over = [RangeHasher(hashes, b) for b in _BASES]
-            each = [(i, rank, a, b) for i, (_, _, wanted, _) in enumerate(group) for rank, a, b in (w.values() for w in wanted)]
-            text, rank, a, b = (np.array(x, dtype=np.int64) for x in zip(*each, strict=True))
+            each = [(i, *w.values()) for i, (wanted, _) in enumerate(group) for w in wanted]
+            text, rank, grams, segs, a, b = (np.array(x, dtype=np.int64) for x in zip(*each, strict=True))
             n = b - a + 1
-            text, rank = np.repeat(text, n), np.repeat(rank, n)
-            start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - a, n)
-            at = words.first[text] + start
-            ords, ths = (np.array([r[k] for r in group], dtype=np.int64)[text] for k in (0, 1))
+            start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(words.first[text] + a, n) + start
             yield pa.record_batch(
-                [pa.array(h(at, at + window).view(np.int64)) for h in over] + [pa.array(x) for x in (rank, ords, ths)] + [pa.array(start.astype(np.int32))],
-                names=["h1", "h2", "rank", "ord", "th", "a"],
+                [pa.array(h(at, at + window).view(np.int64)) for h in over] + [pa.array(np.repeat(x, n)) for x in (rank, grams, segs)] + [pa.array(start.astype(np.int32))],
+                names=["h1", "h2", "rank", "gram", "seg", "at"],
             )
 
-    return texts.mapInArrow(run, "h1 long, h2 long, rank long, ord long, th long, a int")
+    return texts.mapInArrow(run, "h1 long, h2 long, rank long, gram long, seg long, at int")
 
 
 class WindowIndex:
@@ -194,21 +193,25 @@ class WindowIndex:
             known = materialize(known.unionByName(old), "known")
         # whole segments: those that stand more than once, and the rank of the first
         many = known.groupBy("gram", "seg").agg(F.min("rank").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
-        # written first: both sides of the join then come from an exchange of their own, which Spark can split where a passage is hot
-        many = materialize(many, "many")
-        covered = segs.join(many, ["gram", "seg"]).where("first < ord").select("ord", "th", F.col("a").alias("s"), (F.col("b") + self.window).alias("e"))
         # parts of segments: grams that different segments have in different documents
         mixed = known.groupBy("gram").agg(F.min("seg").alias("s0"), F.max("seg").alias("s1"), F.min(F.struct("rank", "ord")).alias("d0"), F.max(F.struct("rank", "ord")).alias("d1"))
         mixed = mixed.where("s0 <> s1 AND d0 <> d1").select("gram")
         w = Window.partitionBy("gram", "seg").orderBy("rank", "ord", "th", "a")
         wanted = known.join(mixed, "gram", "left_semi").withColumn("rn", F.row_number().over(w)).where("rn = 1")
-        wanted = wanted.groupBy("ord", "th").agg(F.collect_list(F.struct("rank", "a", "b")).alias("wanted"))
+        wanted = wanted.groupBy("ord", "th").agg(F.collect_list(F.struct("rank", "gram", "seg", "a", "b")).alias("wanted"))
         texts = _keyed(self.corpus).join(wanted, ["ord", "th"]).dropDuplicates(["ord", "th"]) if self._repeats() else _keyed(self.corpus).join(wanted, ["ord", "th"])
-        windows = materialize(_windows(texts.select("ord", "th", "text", "wanted"), self.window), "windows")
+        windows = materialize(_windows(texts.select("text", "wanted"), self.window), "windows")
         least = windows.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").drop("last")
         least = materialize(least, "least")
-        parts = windows.join(least, ["h1", "h2"]).where("first < rank").select("ord", "th", F.col("a").alias("s"), (F.col("a") + self.window).alias("e"))
-        out = materialize(covered.unionByName(parts), "covered")
+        # copies in documents after a segment's first are covered as a whole; the windows found are those of all copies in the first
+        found = windows.join(least, ["h1", "h2"]).where("first < rank").groupBy("gram", "seg", "rank").agg(F.collect_list("at").alias("at"))
+        hits = many.withColumn("at", F.lit(None).cast("array<int>")).unionByName(found.select("gram", "seg", F.col("rank").alias("first"), "at"))
+        # written first: both sides of the join then come from an exchange of their own, which Spark can split where a passage is hot
+        hits = materialize(hits, "hits")
+        copies = segs.join(hits, ["gram", "seg"]).where((F.col("at").isNull() & (F.col("first") < F.col("ord"))) | (F.col("at").isNotNull() & (F.col("first") == F.col("ord"))))
+        span = lambda s, last: F.struct(s.alias("s"), (last + self.window).alias("e"))
+        spans = F.when(F.col("at").isNull(), F.array(span(F.col("a"), F.col("b")))).otherwise(F.transform("at", lambda k: span(F.col("a") + k, F.col("a") + k)))
+        out = materialize(copies.select("ord", "th", F.explode(spans).alias("r")).select("ord", "th", "r.s", "r.e"), "covered")
         self._append(own.drop("n"))
         if len(self.runs) >= FANOUT:
             self.compact()

@@ -193,5 +193,14 @@ def test_substring_in_batches_with_compaction(spark):
     assert len(index.runs) < substring_dedup.FANOUT
 
 
+def test_substring_of_texts_that_repeat_themselves(spark):
+    p, line = words(130, 21).split(), words(70, 22)
+    near = p[:60] + ["changed"] + p[61:]
+    rows = [(1, " ".join(near)), (2, " ".join(p + p)), (3, words(30, 23) + " " + line), (4, "\n".join([line, words(20, 24), line, words(9, 25), line]))]
+    rows += [(5, " ".join(near + near)), (6, " ".join(p[5:] + p[3:])), (6, " ".join(p[5:] + p[9:])), (7, " ".join(p[20:90] * 3))]
+    assert judged(spark, [rows])[0] == brute_substring(rows)
+    assert judged(spark, [rows[:1], rows[1:4], rows[4:]])[0] == brute_substring(rows)
+
+
 def test_substring_empty(spark):
     assert judged(spark, [[]])[0] == []
