@@ -13,19 +13,23 @@ A wrapper's elements carry what was seen in them: pages, characters, characters
 and whether their text is constant. From these and from the meaning of tags and names
 follow the rules of the host: its content root, and elements below it that are not
 content (menus, notices, adverts, forms, comments and the like by tag or name; blocks that
-are links for the most part; constants of at least ``CONSTANT_PAGES`` pages outside an
-article). A rule is a path of keys, a few hundred bytes for each host; pages are joined
-with the rules, and the text of each page is taken from its stream by them.
+are links for the most part). Outside an article, constants of at least
+``CONSTANT_PAGES`` pages that differ in their text are no content either: each is a path
+with the hash of the whole text, and other text on that path stays. A rule is a path of
+keys, a few hundred bytes for each host; pages are joined with the rules, and the text of
+each page is taken from its stream by them. A page that would lose all its text to
+constants keeps them.
 
 Defined cases: a null or empty html has empty text; a null or odd url is a host of its
 own name, the empty string; a page without the host's root gives its whole body under
 the same rules; pages cut off inside a tag or a character reference keep what was read;
-repeated rows weigh on the wrapper and each give their text; an empty table gives an
+repeated rows weigh on the wrapper, but are one page to constants, and each give their text; an empty table gives an
 empty result; other columns pass through ``extract`` untouched.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -69,7 +73,8 @@ class Element:
     pages: int = 1
     chars: int = 0
     links: int = 0
-    constant: str | None = None
+    constant: str | None = None  #: the text, where all have the same; a hash of a long one
+    texts: list = field(default_factory=list)  #: of a constant: the least hashes of pages that have it, CONSTANT_PAGES at most
     optional: bool = False
     repeated: bool = False
 
@@ -137,17 +142,35 @@ def _block(parts: list[str]) -> tuple[str, int]:
     return " ".join(raw.replace("\0", "").replace("\1", "").split()), sum(len(x.strip()) for x in linked)
 
 
-def to_wrapper(page: Element) -> Element:
+def _hash(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def _constant(own: str) -> str:
+    return own if len(own) <= 200 else "\0" + _hash(own)
+
+
+def _strings(e: Element) -> Iterator[str]:
+    for c in e.children:
+        if isinstance(c, str):
+            yield c
+        else:
+            yield from _strings(c)
+
+
+def to_wrapper(page: Element, text_hash: str | None = None) -> Element:
     """A page as a wrapper: neighbours of one kind are a repeated group, texts are counted."""
+    text_hash = text_hash or _hash(" ".join(" ".join(_strings(page)).split()))
     out = Element(page.key)
     text: list[str] = []
     for child in page.children:
         if isinstance(child, str):
             text.append(child)
         else:
-            out.children.append(to_wrapper(child))
+            out.children.append(to_wrapper(child, text_hash))
     own, links = _block(text)
-    out.chars, out.links, out.constant = len(own), links, own[:200] if own else None
+    out.chars, out.links, out.constant = len(own), links, _constant(own) if own else None
+    out.texts = [text_hash] if own else []
     out.children = _fold(out.children)
     return out
 
@@ -167,7 +190,8 @@ def _fold(children: list[Element]) -> list[Element]:
 def _merge(a: Element, b: Element, within_page: bool = False) -> Element:
     """The alignment of two wrappers of one key."""
     out = Element(a.key, pages=max(a.pages, b.pages) if within_page else a.pages + b.pages, chars=a.chars + b.chars, links=a.links + b.links)
-    out.constant = a.constant if a.constant == b.constant else None
+    if a.constant is not None and a.constant == b.constant:
+        out.constant, out.texts = a.constant, sorted({*a.texts, *b.texts})[:CONSTANT_PAGES]
     out.optional, out.repeated = a.optional or b.optional, a.repeated or b.repeated
     out.children = _fold(list(_align(a.children, b.children)))
     return out
@@ -194,11 +218,11 @@ def _align(a: list[Element], b: list[Element]) -> Iterator[Element]:
 
 
 def _dump(e: Element) -> list:
-    return [e.key, e.pages, e.chars, e.links, e.constant, int(e.optional), int(e.repeated), [_dump(c) for c in e.children]]
+    return [e.key, e.pages, e.chars, e.links, e.constant, int(e.optional), int(e.repeated), [_dump(c) for c in e.children], e.texts]
 
 
 def _load(x: list) -> Element:
-    return Element(x[0], [_load(c) for c in x[7]], x[1], x[2], x[3], x[4], bool(x[5]), bool(x[6]))
+    return Element(x[0], [_load(c) for c in x[7]], x[1], x[2], x[3], x[4], x[8], bool(x[5]), bool(x[6]))
 
 
 def align(wrappers: Iterator[str]) -> str | None:
@@ -225,8 +249,9 @@ def _named_away(key: str, in_article: bool) -> bool:
 
 
 def rules(wrapper: Element) -> dict:
-    """root: the path of the content root; drop: paths below any root that are not content."""
+    """root: the path of the content root; drop: paths below any root that are not content, and constants as path, \0 and hash."""
     drop: list[str] = []
+    constants: list[str] = []
     totals: dict[str, int] = {}
     articles: dict[str, int] = {}
 
@@ -240,10 +265,13 @@ def rules(wrapper: Element) -> dict:
         for c in e.children:
             x, y = walk(c, f"{path}>{c.key}" if path else c.key, article)
             chars, links, children = chars + x, links + y, children + x
-        known = e.constant is not None and e.pages >= CONSTANT_PAGES and not in_article and not children
-        if path and _tag(e.key) not in ("html", "body") and (known or (chars and links > LINK_SHARE * chars and not article)):
-            drop.append(path)
-            return 0, 0
+        if path and _tag(e.key) not in ("html", "body") and not article:
+            if e.constant is not None and len(e.texts) >= CONSTANT_PAGES and not children:
+                constants.append(f"{path}\0{_hash(e.constant)}")
+                return 0, 0
+            if chars and links > LINK_SHARE * chars:
+                drop.append(path)
+                return 0, 0
         totals[path] = chars
         if article and not in_article:
             articles[path] = articles.get(path, 0) + chars
@@ -257,31 +285,36 @@ def rules(wrapper: Element) -> dict:
         for path, chars in sorted(totals.items()):
             if chars >= 0.8 * everything > 0 and len(path) > len(root) and _tag(path.rpartition(">")[2]) in ("body", "div", "section", "main", "article", "td"):
                 root = path
-    return {"root": root, "drop": sorted(set(drop))}
+    return {"root": root, "drop": sorted({*drop, *constants})}
 
 
 def take(page: Element, root: str, drop: frozenset[str]) -> str:
     """The text of a page by the rules of its host: blocks in page order."""
 
-    def blocks(e: Element, path: str, inside: bool, in_article: bool) -> Iterator[str]:
+    paths = {d.partition("\0")[0] for d in drop if "\0" in d}
+
+    def blocks(e: Element, path: str, inside: bool, in_article: bool, root: str = root, constants: bool = True) -> Iterator[str]:
         inside = inside or path == root
         article = in_article or _tag(e.key) in ("article", "main") or "@main" in e.key
+        known = constants and path in paths and f"{path}\0{_hash(_constant(_block([c for c in e.children if isinstance(c, str)])[0]))}" in drop
         text: list[str] = []
         for c in [*e.children, None]:
             if isinstance(c, str):
                 text.append(c)
                 continue
-            if inside and (own := _block(text)[0]):
+            if inside and not known and (own := _block(text)[0]):
                 yield own
             text = []
             if c is not None:
                 below = f"{path}>{c.key}" if path else c.key
                 if below not in drop and not _named_away(c.key, article):
-                    yield from blocks(c, below, inside, article)
+                    yield from blocks(c, below, inside, article, root, constants)
 
     found = list(blocks(page, "", not root, False))
     if not found and root:  # a page of another make
         found = list(blocks(page, "", True, False))
+    if not found and paths:  # nothing but constants
+        found = list(blocks(page, "", not root, False, root, False)) or list(blocks(page, "", True, False, "", False))
     return "\n".join(found)
 
 

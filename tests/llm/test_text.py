@@ -128,6 +128,32 @@ def test_wrapper_of_a_site_without_articles(spark):
         assert r.text == f"H {r.page_id}\n{t}\n{t}"
 
 
+def taken(pages):
+    wrapper = None
+    for p in pages:
+        w = html_extraction.to_wrapper(html_extraction.parse(p))
+        wrapper = w if wrapper is None else html_extraction._merge(wrapper, w)
+    found = html_extraction.rules(html_extraction._load(html_extraction.json.loads(html_extraction.json.dumps(html_extraction._dump(wrapper)))))
+    return [html_extraction.take(html_extraction.parse(p), found["root"], frozenset(found["drop"])) for p in pages]
+
+
+def test_constants_remove_only_their_own_text():
+    # one constant among paragraphs of one path
+    page = "<body><div class=post><p>By the staff</p><figure>Figure {k}</figure><p>Real text of page {k}</p></div></body>"
+    assert taken([page.format(k=k) for k in range(4)]) == [f"Figure {k}\nReal text of page {k}" for k in range(4)]
+    # long blocks that share their opening
+    page = "<body><div class=post><h2>H {k}</h2><p>{long}{k}</p></div></body>"
+    assert taken([page.format(k=k, long="same opening " * 30) for k in range(4)])[3].endswith("same opening 3")
+    # copies of one page are one page
+    copies = ["<body><div class=post><h2>Title</h2><p>Only text</p></div></body>"] * 5
+    assert taken(copies) == ["Title\nOnly text"] * 5
+    # a page of nothing but constants keeps them, and an article is none
+    page = "<body><div class=post><p>Shared</p><figure>{k}</figure></div></body>"
+    assert taken([page.format(k=k) for k in ("a", "b", "c", "")]) == ["a", "b", "c", "Shared"]
+    page = "<body><article>Same</article><div class=x><h2>{k}</h2></div></body>"
+    assert "Same" in taken([page.format(k=k) for k in range(4)])[0]
+
+
 def test_alignment_is_union_free():
     parse, wrap, merge = html_extraction.parse, html_extraction.to_wrapper, html_extraction._merge
     a, b = (wrap(parse(x)) for x in ("<div><h1>A</h1><p>1</p><p>2</p></div>", "<div><h1>A</h1><ul></ul><p>3</p></div>"))
