@@ -7,7 +7,8 @@ half. A window's signature has ``HASHES`` minima, found per block and merged, an
 minimum is a band of its own: a window of 16 shingles that holds a notice of 3 shares
 each minimum with it with probability 3/16, so that the notice is retrieved with
 probability 1 - (13/16)**40 = 0.9997; longer notices are cut into windows in the same way
-and share far more. Bands only retrieve: a template is reported where at least
+and share far more. A notice of one or two shingles, which bands would miss too often, is
+retrieved by its shingles themselves, always. Bands only retrieve: a template is reported where at least
 ``CONTAINED`` of its shingles, counted exactly, occur in the retrieved windows.
 
 A minimum over h XOR c for a constant c is the shingle whose hash is nearest to c, each
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import materialize, table, text_or_empty
 
 SHINGLE, BLOCK, HASHES, CONTAINED = 3, 8, 40, 0.8
+#: Templates of fewer shingles are retrieved by these.
+SHORT = 3
 #: XOR constants of the minima.
 SEEDS = [random.Random(20240 + k).getrandbits(64) - (1 << 63) for k in range(HASHES)]
 
@@ -61,6 +64,7 @@ TEMPLATES = {
     "MIT-terms": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "reserved": "All rights reserved. No part of this publication may be reproduced",
+    "reserved-short": "All rights reserved",
     "Unlicense": "This is free and unencumbered software released into the public domain",
     "Zlib": "This software is provided 'as-is', without any express or implied warranty",
 }
@@ -101,12 +105,18 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
     named = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license string, text string")
     known = _with_shingles(named, "license").withColumn("shingles", F.array_distinct("shingles")).withColumn("size", F.size("shingles"))
     band = lambda df, *keys: df.select(*keys, F.posexplode("bands").alias("k", "band"))
-    lookup = materialize(band(_windows(known, "license"), "license").distinct(), "bands")
+    short = known.where(F.col("size") < SHORT).select("license", F.lit(-1).alias("k"), F.explode("shingles").alias("band"))
+    lookup = materialize(band(_windows(known, "license"), "license").unionByName(short).distinct(), "bands")
+    alone = [r[0] for r in lookup.where("k = -1").select("band").distinct().collect()]
     wanted = [r[0] for r in lookup.select("band").distinct().collect()]  # a few for each template
     # a band is its place and value; values alone, of all places, sort out nearly all windows at once
     windows = _windows(_with_shingles(docs, "doc_id"), "doc_id")
-    windows = windows.where(F.exists("bands", lambda b: b.isin(wanted)))
-    near = band(windows, "doc_id", "win", "own").join(F.broadcast(lookup), ["k", "band"]).select("doc_id", "win", "own", "license")
+    windows = windows.where(F.exists("bands", lambda b: b.isin(wanted)) | F.exists("own", lambda h: h.isin(alone)))
+    keyed = F.concat(
+        F.transform("bands", lambda b, k: F.struct(k.alias("k"), b.alias("band"))),
+        F.transform(F.filter("own", lambda h: h.isin(alone)), lambda h: F.struct(F.lit(-1).alias("k"), h.alias("band"))),
+    )
+    near = windows.select("doc_id", "win", "own", F.explode(keyed).alias("b")).select("doc_id", "win", "own", "b.k", "b.band").join(F.broadcast(lookup), ["k", "band"]).select("doc_id", "win", "own", "license")
     near = materialize(near.dropDuplicates(["doc_id", "win", "license"]), "near")
     common = near.join(F.broadcast(known), "license").select("doc_id", "win", "license", "size", F.explode(F.array_intersect("own", "shingles")).alias("shingle"))
     counted = common.groupBy("doc_id", "license", "size", "shingle").agg(F.min("win").alias("win"))

@@ -156,6 +156,13 @@ def test_licenses_equal_exact_containment(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_short_notices_are_found_in_long_texts(spark):
+    r = random.Random(16)
+    noise = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(150))
+    docs = spark.createDataFrame([(k, f"{noise()} All rights reserved. {noise()}") for k in range(60)] + [(99, noise())], "doc_id long, text string")
+    assert {(x.doc_id, x.license, x.containment) for x in license_scan.scan(docs).collect()} == {(k, "reserved-short", 1.0) for k in range(60)}
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
