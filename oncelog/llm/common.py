@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset, as
-    in local tests, a temporary folder of this machine is set instead.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and Spark
+    runs on this machine alone, as in tests, a temporary folder is set instead.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="oncelog-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -44,6 +46,43 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Workspace:
+    """Tables of one job in the shared folder, each removed once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch(self.spark, label)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables that ``write`` returned; others are left alone."""
+        for t in tables:
+            if id(t) in self.paths:
+                remove(self.spark, self.paths.pop(id(t))[0])
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Removes all tables but these, which the result still reads."""
+        kept = {id(t) for t in tables}
+        self.drop(*(t for k, (_, t) in list(self.paths.items()) if k not in kept))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Column names that do not clash with those of a table (Spark compares them without case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -75,33 +114,38 @@ class WordBuffer:
         self.bases = np.concatenate(([0], np.cumsum(lengths)))
         self.first = np.searchsorted(self.starts, self.bases)
 
+    def lane(self, at: np.ndarray) -> np.ndarray:
+        """The eight bytes that begin at each offset, zeros behind the end of the buffer."""
+        if not hasattr(self, "_lanes"):
+            padded = np.concatenate((self.data, np.zeros(8, np.uint8)))
+            self._lanes = np.lib.stride_tricks.as_strided(padded, (len(self.data) + 1, 8), (1, 1))
+        return np.ascontiguousarray(self._lanes[at]).view("<u8").ravel()
+
     def word_hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes: a polynomial over mixed bytes, by prefix sums."""
-        n = len(self.data)
-        base = np.uint64(0x9E3779B97F4A7C15 | 1)
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        out = np.empty(len(self.starts), dtype=np.uint64)
-        table = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        step = 1 << 20
+        """A 64-bit hash of each word's bytes: eight bytes at a time are mixed into it.
+
+        Words of up to eight bytes and of one length never collide; very long ones are hashed one by one.
+        """
+        size = self.ends - self.starts
+        out = mix64(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        left, at = np.flatnonzero(size <= _LONG), 0
         with np.errstate(over="ignore"):
-            powers = np.cumprod(np.full(min(n, step) + 1, base, dtype=np.uint64)) * inverse
-            back = np.cumprod(np.full(min(n, step) + 1, inverse, dtype=np.uint64)) * base
-            i = 0
-            while i < len(self.starts):
-                at = int(self.starts[i])
-                j = int(np.searchsorted(self.ends, at + step, side="right"))
-                if j <= i:  # one word longer than a step: its bytes are folded in Python integers
-                    out[i] = np.uint64(_long_word(self.data[at : int(self.ends[i])].tobytes()))
-                    i += 1
-                    continue
-                piece = self.data[at : int(self.ends[j - 1])]
-                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[piece] * powers[: len(piece)])))
-                s, e = self.starts[i:j] - at, self.ends[i:j] - at
-                out[i:j] = mix64((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64))
-                i = j
+            while len(left):
+                rest = np.minimum(size[left] - at, 8)
+                lanes = self.lane(self.starts[left] + at) & _MASKS[rest]
+                out[left] = mix64((out[left] ^ lanes) * np.uint64(0xD1B54A32D192ED03) + np.uint64(at))
+                at += 8
+                left = left[size[left] > at]
+        for i in np.flatnonzero(size > _LONG):
+            out[i] = np.uint64(_long_word(self.data[self.starts[i] : self.ends[i]].tobytes()))
         return out
 
 
+#: Words over this many bytes are hashed one by one; masks of the bytes of a lane that belong to the word.
+_LONG = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
 def _long_word(word: bytes) -> int:
     import xxhash
 

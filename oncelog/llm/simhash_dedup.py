@@ -16,18 +16,16 @@ are filed anew under all 2,081 values within distance 2 of the whole fingerprint
 members of one file are within distance 4 of each other by the triangle inequality, and
 all linked ones meet: an exact way, linear in the members, for any concentration.
 
-``deduplicate`` also takes near copies that differ in more bits: a second fingerprint of
-192 bits over the distinct words, whose six 24-bit segments are indexed in the same way,
-finds candidates; those whose five-word shingles have a Jaccard similarity of 0.8 or more,
-counted on whole texts, are one group. In each file a member meets its nearest other one
-and the next in order, not all: every document stands in 150 files. A file over the limit
-is compared in blocks. No document goes without a verified link.
+``deduplicate`` keeps one document of each group of near copies, by the same method with a
+wider fingerprint and an exact count of what it finds: see ``near_copies``.
 
 Defined cases: a null text is an empty text; a text without words has fingerprint 0 and
 is linked like any other; a text of fewer words than a shingle is one shingle; a null
 doc_id keeps its row and fingerprint, takes part in links, and a component of null ids
 alone has a null id; rows that repeat a doc_id are separate documents; an empty table
-gives an empty result; other columns pass through ``deduplicate`` untouched.
+gives an empty result; other columns pass through ``deduplicate`` untouched. There, null
+ids come last, rows of one doc_id and different texts are separate documents, and rows
+that repeat both are copies of which one stays.
 """
 
 from __future__ import annotations
@@ -40,12 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, table, text_or_empty
+from .common import Workspace, fresh, table, text_or_empty
 from .graph import components
+from .near_copies import kept_rows, place
 
 SHINGLE, SEED, DISTANCE, FILE_LIMIT = 4, 42, 4, 4_096
-#: For ``deduplicate``: shingles and similarity of a near copy, bits of 64, ids broadcast at most.
-WORDS, SIMILARITY, WIDE_DISTANCE, BROADCAST_IDS = 5, 0.8, 16, 2_000_000
 _ONE = np.uint64(1)
 _BITS = _ONE << np.arange(64, dtype=np.uint64)
 #: Flips within distance 2 of a fingerprint.
@@ -174,187 +171,48 @@ def _centres(fps: DataFrame) -> DataFrame:
     return fps.mapInArrow(run, "centre long, fp long")
 
 
-def fingerprint_links(fps: DataFrame, file_limit: int = FILE_LIMIT) -> DataFrame:
+def fingerprint_links(fps: DataFrame, work: Workspace, file_limit: int = FILE_LIMIT) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp) whose components are those of all links."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(_filed(fps).repartition(n, "file").sortWithinPartitions("file").mapInArrow(_compare(file_limit), "a long, b long"), "links")
+    found = work.write(_filed(fps).repartition(n, "file").sortWithinPartitions("file").mapInArrow(_compare(file_limit), "a long, b long"), "links")
     links = found.where("b IS NOT NULL")
-    crowded = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
-    if crowded.limit(1).count():
-        filed = materialize(_centres(materialize(crowded, "crowded")), "centres")
-        least = filed.groupBy("centre").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("centre", "a")
-        links = links.unionAll(filed.join(least, "centre").where("a <> fp").select("a", F.col("fp").alias("b")).distinct())
-    return links
+    crowded = work.write(found.where("b IS NULL").select(F.col("a").alias("fp")).distinct(), "crowded")
+    if not crowded.limit(1).count():
+        work.drop(crowded)
+        return links
+    # the side of least fingerprints is written before it is joined, so that Spark can split a centre that many share
+    filed = _centres(crowded)
+    least = work.write(filed.groupBy("centre").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("centre", "a"), "least")
+    starred = work.write(filed.join(least, "centre").where("a <> fp").select("a", F.col("fp").alias("b")).distinct(), "starred")
+    work.drop(least, crowded)
+    return links.unionAll(starred)
 
 
 def cluster(docs: DataFrame, shingle: int = SHINGLE, file_limit: int = FILE_LIMIT) -> DataFrame:
     """doc_id, fp, component_id of every document."""
-    return grouped(materialize(with_fingerprints(docs, shingle), "fingerprints"), file_limit)
-
-
-def grouped(each: DataFrame, file_limit: int = FILE_LIMIT) -> DataFrame:
-    """doc_id, fp, component_id of every row of a written table (doc_id, fp)."""
-    distinct = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    linked = materialize(components(fingerprint_links(distinct.select("fp"), file_limit)), "components")
+    work = Workspace(docs.sparkSession)
+    each = work.write(with_fingerprints(docs, shingle), "fingerprints")
+    distinct = work.write(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    linked = components(fingerprint_links(distinct.select("fp"), work, file_limit), work)
     named = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = materialize(named, "named")
+    named = work.write(named, "named")
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return each.join(named.join(smallest, "component").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def _wide(texts: list[bytes]) -> np.ndarray:
-    """A 192-bit SimHash of each text's distinct words, as three longs.
-
-    Counted by their number, frequent words would make all texts of a language alike.
-    """
-    import xxhash
-
-    out = np.zeros((len(texts), 3), dtype=np.uint64)
-    hash_of = xxhash.xxh64_intdigest
-    for row, text in enumerate(texts):
-        words = list(set(text.lower().split()))
-        counts = np.zeros((3, 64), dtype=np.int64)
-        for at in range(0, len(words), 8_192):
-            h = np.array([hash_of(w, SEED) for w in words[at : at + 8_192]], dtype="<u8")
-            for k in range(3):
-                bits = mix64(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype("<u8")
-                counts[k] += np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[row] = [_BITS[c * 2 > len(words)].sum(dtype=np.uint64) for c in counts]
-    return out
-
-
-def with_sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, w0, w1, w2): both kinds of fingerprint of every document, in one pass over the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64)
-            wide = _wide([t.encode() for t in texts])
-            columns = [fps, *wide.T]
-            yield pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns)], names=["doc_id", "fp", "w0", "w1", "w2"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long, w0 long, w1 long, w2 long")
-
-
-def _filed_wide(sketches: DataFrame) -> DataFrame:
-    """(file, w, doc_id): the radius-1 ball of each of the 24-bit segments, and the first 64 bits to compare."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = np.concatenate((np.zeros(1, np.uint64), _BITS[:24]))
-        for b in batches:
-            for at in range(0, b.num_rows, 2_048):
-                part = b.slice(at, 2_048)
-                wide = [part.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (1, 2, 3)]
-                ids, first = part.column(0).to_numpy(zero_copy_only=False), wide[0]
-                for k in range(6):  # two segments of each long
-                    value = ((wide[k // 2] >> np.uint64(24 * (k % 2))) & np.uint64(0xFFFFFF))[:, None] ^ flips
-                    key = (value | (np.uint64(k) << np.uint64(24))).ravel().astype(np.int32)
-                    yield pa.record_batch([pa.array(key), pa.array(np.repeat(first, 25).view(np.int64)), pa.array(np.repeat(ids, 25))], names=["file", "w", "doc_id"])
-
-    return sketches.select("doc_id", "w0", "w1", "w2").mapInArrow(run, "file int, w long, doc_id long")
-
-
-def _neighbours(w: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """Each member's nearest other one, and the next in order, where they differ in few enough bits."""
-    out = []
-    for at in range(0, len(w), 512):
-        d = np.bitwise_count(w[at : at + 512, None] ^ w[None, :]).astype(np.int16)
-        rows = np.arange(len(d))
-        d[rows, at + rows] = 65
-        near = d.argmin(axis=1)
-        out += [(a, b) for a, b, x in zip((at + rows).tolist(), near.tolist(), d[rows, near].tolist(), strict=True) if x <= WIDE_DISTANCE]
-    step = np.bitwise_count(w[1:] ^ w[:-1]) <= WIDE_DISTANCE
-    out += [(int(k), int(k) + 1) for k in np.flatnonzero(step)]
-    return [(int(max(ids[a], ids[b])), int(min(ids[a], ids[b]))) for a, b in out if ids[a] != ids[b]]
-
-
-def _compare_wide(limit: int):
-    """Reads (file, w, doc_id) sorted; gives candidate pairs (a, b). Files over the limit are compared in sorted blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def close() -> list[tuple[int, int]]:
-            if sum(len(w) for w, _ in held) < 2:
-                return []
-            return _neighbours(np.concatenate([w for w, _ in held]), np.concatenate([i for _, i in held]))
-
-        for b in batches:
-            files, w, ids = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            w, out = w.view(np.uint64), []
-            cuts = np.flatnonzero(np.diff(files)) + 1
-            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(files)]))
-            wanted = ends - starts > 1
-            if len(wanted):
-                wanted[[0, -1]] = True
-            for s, e in zip(starts[wanted].tolist(), ends[wanted].tolist(), strict=True):
-                if files[s] != key:
-                    out += close()
-                    key, held = files[s], []
-                for k in range(s, e, limit):
-                    held.append((w[k : min(k + limit, e)], ids[k : min(k + limit, e)]))
-                    if sum(len(x) for x, _ in held) >= limit:
-                        out += close()
-                        held = [(held[-1][0][-1:], held[-1][1][-1:])]  # the last one links the blocks
-            if out:
-                yield _pairs(sorted(set(out)))
-        if last := close():
-            yield _pairs(sorted(set(last)))
-
-    return run
-
-
-def _gram_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(_doc, grams): the distinct shingles of ``WORDS`` words, as sorted 32-bit hashes, of the documents named."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for b in batches:
-            sets = []
-            for text in b.column(1).to_pylist():
-                words = text.encode().lower().split()
-                grams = map(b" ".join, zip(*(words[k:] for k in range(WORDS)), strict=False)) if len(words) >= WORDS else [b" ".join(words)]
-                sets.append(np.unique(np.array([xxhash.xxh32_intdigest(g) for g in grams], dtype=np.uint32)).view(np.int32))
-            yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["_doc", "grams"])
-
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # 8 bytes each
-    named = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return named.mapInArrow(run, "_doc long, grams array<int>")
-
-
-def similar_links(docs: DataFrame, sketches: DataFrame, file_limit: int = FILE_LIMIT) -> DataFrame:
-    """(a, b) of documents whose sets of five-word shingles have a Jaccard similarity of ``SIMILARITY`` or more.
-
-    Candidates are near in the wide fingerprint; each is verified on whole texts.
-    """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    filed = _filed_wide(sketches.where("doc_id IS NOT NULL")).repartition(n, "file").sortWithinPartitions("file", "w", "doc_id")
-    pairs = materialize(filed.mapInArrow(_compare_wide(file_limit), "a long, b long").distinct(), "candidates")
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = materialize(_gram_sets(docs, ids), "grams")
-    left = pairs.join(sets.withColumnRenamed("grams", "ga"), pairs["a"] == F.col("_doc")).drop("_doc")
-    both = left.join(sets, left["b"] == F.col("_doc"))
-    shared = F.size(F.array_intersect("ga", "grams"))
-    return both.where(shared >= SIMILARITY * (F.size("ga") + F.size("grams") - shared)).select("a", "b").distinct()
-
-
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group, that of the smallest doc_id; all columns as they were.
-
-    Groups are the components of fingerprint links and, between what those leave, of
-    verified links of ``SIMILARITY`` over five-word shingles.
-    """
-    each = materialize(with_sketches(docs), "sketches")
-    ids = grouped(each.select("doc_id", "fp")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    ids = materialize(ids, "kept")
-    left = each.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    links = components(similar_links(docs, left)).where("node <> component").select(F.col("node").alias("_gone"))
-    ids = ids.join(links, F.col("doc_id") == F.col("_gone"), "left_anti").select(F.col("doc_id").alias("_kept"))
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    ids = work.write(named.join(smallest, "component").select("fp", "component_id"), "ids")
+    work.keep(each, ids)
+    return each.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, **limits: int) -> DataFrame:
+    """One document of each group of near copies, that of the smallest doc_id; all columns as they were."""
+    work = Workspace(docs.sparkSession)
+    kept, repeated = kept_rows(docs, work, **limits)
+    work.keep(kept)
+    ord_, th = place(docs)
+    if not repeated:
+        return docs.join(kept, (ord_ == kept["_ord"]) & (th == kept["_th"]), "left_semi")
+    a, b = fresh(docs.columns, "ord", "th")
+    rows = docs.withColumns({a: ord_, b: th}).dropDuplicates([a, b])
+    return rows.join(kept, (rows[a] == kept["_ord"]) & (rows[b] == kept["_th"]), "left_semi").select(*docs.columns)
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from oncelog.llm import exact_dedup, simhash_dedup, substring_dedup
+from oncelog.llm import exact_dedup, near_copies, simhash_dedup, substring_dedup
+from oncelog.llm.common import Workspace
 from oncelog.llm.graph import components
 
 SCHEMA = "doc_id long, text string, kept string, fp string, digest string, s string"
@@ -100,29 +101,99 @@ def test_simhash_components(spark, limit):
 
 def test_simhash_keeps_one_of_each_group(spark):
     rows = [(3, words(200, 1)), (2, words(200, 1)), (2, words(200, 1)), (7, words(200, 2)), (9, None), (8, " ")]
-    kept = simhash_dedup.deduplicate(docs(spark, rows))
+    clashing = "doc_id long, text string, _ord string, ord string, th string, _th string"
+    kept = simhash_dedup.deduplicate(spark.createDataFrame([(i, t, "x", "y", "z", "w") for i, t in rows], clashing))
+    assert kept.columns == ["doc_id", "text", "_ord", "ord", "th", "_th"]
     assert sorted(r.doc_id for r in kept.collect()) == [2, 7, 8]
     assert simhash_dedup.deduplicate(docs(spark, [])).count() == 0
 
 
-def test_near_copies_of_similarity_four_fifths_go(spark):
-    def jaccard(a, b):
-        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.split(), b.split()))
-        return len(x & y) / len(x | y)
+def jaccard(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
 
-    rows = []
+
+def brute_near(rows):
+    """The doc_ids that stay: the least of each component of equal or near texts; rows of equal doc_id and text are one."""
+    rows = sorted({(float("inf") if i is None else i, t or "") for i, t in rows})
+    comp = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if comp[a] != comp[b] and jaccard(rows[a][1], rows[b][1]) >= 0.8:
+                old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
+                comp = [new if c == old else c for c in comp]
+    return sorted((i, t) for k, (i, t) in enumerate(rows) if comp[k] == k)
+
+
+def near_rows():
+    rows = [*EDGE, (8, "x y z"), (50, "one two three four five six"), (51, "One two three four five six"), (50, words(90, 77)), (50, words(90, 78))]
     for k in range(40):
         base = words(180 + 5 * k, 1_000 + k).split()
         copy, r = list(base), random.Random(k)
-        for _ in range(2 + k % 3):
+        for _ in range(1 + k % 4):
             copy[r.randrange(len(copy))] = "replacement"
-        far = base[: len(base) // 2] + words(len(base) // 2, 5_000 + k).split()
-        rows += [(3 * k + 1, " ".join(base)), (3 * k + 2, " ".join(copy)), (3 * k + 3, " ".join(far))]
-    text = dict(rows)
-    kept = {r.doc_id for r in simhash_dedup.deduplicate(docs(spark, rows)).collect()}
-    for k in range(40):
-        a, b, c = 3 * k + 1, 3 * k + 2, 3 * k + 3
-        assert {a, c} <= kept and (b in kept) == (jaccard(text[a], text[b]) < 0.8)
+        rows += [(100 + 3 * k, " ".join(base)), (101 + 3 * k, " ".join(copy)), (102 + 3 * k, " ".join(base[: len(base) // 2] + words(len(base) // 2, 5_000 + k).split()))]
+    base = words(250, 9).split()
+    for k in range(40):  # a large group: each has one more edit than the one before, so that they link in a chain
+        base[6 * k % 250] = f"edit{k}"
+        rows.append((1_000 - k, " ".join(base)))
+    return rows
+
+
+@pytest.mark.parametrize("limits", [{}, {"file_texts": 2}, {"block_texts": 3}, {"file_texts": 2, "block_texts": 3}])
+def test_near_copies_match_a_full_comparison(spark, limits):
+    rows = near_rows()
+    want = brute_near(rows)
+    kept = simhash_dedup.deduplicate(docs(spark, rows), **limits)
+    assert kept.columns == SCHEMA.replace(",", "").split()[0::2]
+    assert sorted((float("inf") if r.doc_id is None else r.doc_id, r.text or "") for r in kept.collect()) == want
+
+
+@pytest.mark.parametrize("pivots, few", [(1, 0), (2, 3), (64, 1)])
+def test_large_blocks_match_a_full_comparison(spark, pivots, few):
+    r, sets = random.Random(3), []
+    for block in range(3):
+        base = list(range(1_000 * block, 1_000 * block + 40))
+        for _ in range(25):
+            own = list(base)
+            for _ in range(r.randrange(1, 6)):
+                own[r.randrange(40)] = r.randrange(10_000, 10_060)
+            sets.append((block, sorted(set(own))))
+    comp = list(range(len(sets)))
+    for a, (p, x) in enumerate(sets):
+        for b, (q, y) in enumerate(sets[:a]):
+            if p == q and len({*x} & {*y}) >= 0.8 * len({*x} | {*y}):
+                comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+    members = spark.createDataFrame([(b, k, len(x), x) for k, (b, x) in enumerate(sets)], "block long, node long, size int, grams array<long>")
+    work = Workspace(spark)
+    got = {r.node: r.component for r in near_copies._search_large(work.write(members, "members"), work, pivots, few).collect()}
+    assert [got.get(k, k) for k in range(len(sets))] == comp
+    assert {got[k] for k in got} and len(set(comp)) < len(sets)
+
+
+def test_hot_sketches_need_no_file_or_distance(spark):
+    texts = [words(120, 4) + f" {k}" for k in range(30)]
+    kept = simhash_dedup.deduplicate(docs(spark, list(enumerate(texts))), file_texts=2, block_texts=4)
+    assert [r.doc_id for r in kept.collect()] == [0]
+
+
+def test_recall_of_near_copies(spark):
+    """Of the pairs at 0.8 or more in a table, 0.95 are in one group at the least."""
+    pairs, rows = 0, []
+    for k in range(400):
+        base = words(60 + k, 9_000 + k).split()
+        copy, r = list(base), random.Random(k)
+        while True:
+            trial = list(copy)
+            trial[r.randrange(len(trial))] = "zz"
+            if jaccard(" ".join(base), " ".join(trial)) < 0.8:
+                break
+            copy = trial
+        if copy != base:
+            pairs += 1
+            rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    gone = len(rows) - simhash_dedup.deduplicate(docs(spark, rows)).count()
+    assert pairs > 350 and gone >= 0.95 * pairs
 
 
 def test_long_text_fingerprint():
@@ -132,9 +203,9 @@ def test_long_text_fingerprint():
 
 def test_components_of_a_long_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1_000, 1_001), (1_001, 1_000), (5, 5)], "a long, b long")
-    got = {r.node: r.component for r in components(path).collect()}
+    got = {r.node: r.component for r in components(path, Workspace(spark)).collect()}
     assert got == {**dict.fromkeys(range(301), 0), 1_000: 1_000, 1_001: 1_000}
-    assert components(path.where("a > 9999")).count() == 0
+    assert components(path.where("a > 9999"), Workspace(spark)).count() == 0
 
 
 def brute_substring(rows, window=50):
