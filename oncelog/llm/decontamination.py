@@ -134,8 +134,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item; all columns as they were."""
-    hit = contaminated(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    # written first: Spark then knows its size, and shuffles the texts only where it is too large to broadcast
+    hit = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,32 +11,37 @@ gathered by Spark over the distinct words of a sample of labelled rows and re-es
 rows are read, fewer where there are fewer; the model has one number for each piece and
 language, so its size does not depend on the corpus.
 
-Defined cases: a null text, or one without letters, is ``und`` with score 0; texts are
-scored whole; a text without a learned language (no labelled rows at all) is ``und``;
+Sums are scaled wherever they become small, so that no word is too long for them.
+
+Defined cases: a null text, or one without letters (``\\p{L}``), is ``und`` with score 0; texts
+are scored whole; a text without a learned language (no labelled rows at all) is ``und``;
 ties go to the language that sorts first; a null doc_id is hashed as an empty string;
 rows with a null text or lang are never learned from; other columns pass through
-``keep_identified`` untouched.
+``keep_identified`` untouched, whatever their names. It rejects ``und`` and texts for which
+no language has ``MIN_SCORE`` of the posterior, that is, where none is likelier than all others.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import fresh, materialize, table
 
 #: About how many labelled rows the model is fitted on, and rounds of re-estimation.
-TRAIN_ROWS, ROUNDS, SMOOTHING = 12_000, 2, 0.1
+TRAIN_ROWS, ROUNDS, SMOOTHING, MIN_SCORE = 12_000, 2, 0.1, 0.5
 FOLDS, UNKNOWN = 5, "und"
-_MAX_PIECE, _MAX_WORD, _MEMO = 12, 48, 400_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_MAX_PIECE, _MEMO, _OTHER = 12, 400_000, 1e-9
+#: Sums below _SMALL are multiplied by _UP.
+_SMALL, _UP = 1e-100, 1e100
+_LETTERS = regex.compile(r"\p{L}+")
 _START = "▁"
 
 
@@ -55,11 +60,6 @@ def pieces(vocabulary: str) -> list[str]:
     return [p for p in dict.fromkeys(spelled) if len(p) <= _MAX_PIECE and p.removeprefix(_START).isalpha() and p == p.lower()]
 
 
-def spell(word: str) -> list[str]:
-    """A lower-case word with its start mark, in stretches of bounded length."""
-    return [(_START + word if i == 0 else word[i : i + _MAX_WORD])[: _MAX_WORD + (i == 0)] for i in range(0, len(word), _MAX_WORD)]
-
-
 def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
@@ -78,26 +78,40 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     return labelled.select("lang", words.alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _segment_counts(stretch: str, p: dict[str, float], floor: float) -> Iterator[tuple[str, float]]:
-    """The expected number of times that each piece is used in a stretch."""
-    n = len(stretch)
-    forward, arcs = [1.0] + [0.0] * n, []
+def _segment_counts(word: str, p: dict[str, float]) -> Iterator[tuple[str, float]]:
+    """The expected number of times that each piece is used in a word with its start mark.
+
+    ``up[i]`` counts how often the sums from the left were scaled by place i, ``down[i]`` those from the right.
+    """
+    n = len(word)
+    forward, arcs, up = [1.0] + [0.0] * n, [], [0] * (n + 1)
     for i in range(n):
-        if forward[i] == 0.0:
-            continue
+        if forward[i] < _SMALL:
+            for j in range(i, min(n, i + _MAX_PIECE) + 1):
+                forward[j] *= _UP
+            up[i] += 1
+        up[i + 1] = up[i]
         for j in range(i + 1, min(n, i + _MAX_PIECE) + 1):
-            q = p.get(stretch[i:j])
+            q = p.get(word[i:j])
             if q is None and j == i + 1:
-                q = floor
+                q = _OTHER
             if q:
                 forward[j] += forward[i] * q
                 arcs.append((i, j, q))
-    backward = [0.0] * n + [1.0]
-    for i, j, q in reversed(arcs):
-        backward[i] += q * backward[j]
-    if forward[n] > 0:
-        for i, j, q in arcs:
-            yield stretch[i:j], forward[i] * q * backward[j] / forward[n]
+    backward, down = [0.0] * n + [1.0], [0] * (n + 1)
+    into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+    for i, j, q in arcs:
+        into[j].append((i, q))
+    for j in range(n, 0, -1):
+        if backward[j] < _SMALL:
+            for i in range(max(0, j - _MAX_PIECE), j + 1):
+                backward[i] *= _UP
+            down[j] += 1
+        down[j - 1] = down[j]
+        for i, q in into[j]:
+            backward[i] += q * backward[j]
+    for i, j, q in arcs:
+        yield word[i:j], forward[i] * q * backward[j] / forward[n] * _UP ** (up[n] - up[i] - down[j])
 
 
 def train(docs: DataFrame, vocabulary: str, rows: int = TRAIN_ROWS, rounds: int = ROUNDS) -> dict[str, dict[str, float]]:
@@ -115,10 +129,9 @@ def train(docs: DataFrame, vocabulary: str, rows: int = TRAIN_ROWS, rounds: int
             for b in batches:
                 for lang, word, n in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                     p = current[lang]
-                    for stretch in spell(word):
-                        for piece, x in _segment_counts(stretch, p, 1e-9):
-                            if piece in p:
-                                total[lang, piece] = total.get((lang, piece), 0.0) + n * x
+                    for piece, x in _segment_counts(_START + word, p):
+                        if piece in p:
+                            total[lang, piece] = total.get((lang, piece), 0.0) + n * x
             keys = sorted(total)
             yield pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.float64())], names=["lang", "piece", "n"])
 
@@ -143,36 +156,41 @@ class Scorer:
         self.ids = {p: i + 2 for i, p in enumerate(known)}
         # row 0: not a piece; row 1: a single character outside the vocabulary
         self.rows = np.zeros((len(known) + 2, len(self.langs)))
-        self.rows[1] = 1e-9
+        self.rows[1] = _OTHER
         for k, lang in enumerate(self.langs):
             self.rows[2:, k] = [model[lang][p] for p in known]
         self.memo: dict[str, int] = {}
         self.table = np.zeros((0, len(self.langs)))
 
-    def forward(self, stretches: list[str]) -> np.ndarray:
-        """Log of the summed probability of all segmentations of stretches of one length."""
-        n = len(stretches[0])
-        alpha = np.zeros((n + 1, len(stretches), len(self.langs)))
+    def forward(self, words: list[str]) -> np.ndarray:
+        """Log of the summed probability of all segmentations of words of one length."""
+        n = len(words[0])
+        alpha = np.zeros((n + 1, len(words), len(self.langs)))
         alpha[0] = 1.0
+        scaled = np.zeros(alpha.shape[1:])
         find = self.ids.get
         for i in range(n):
+            small = alpha[i] < _SMALL
+            if small.any():
+                alpha[i : i + _MAX_PIECE + 1] *= np.where(small, _UP, 1.0)
+                scaled += small
             for j in range(i + 1, min(n, i + _MAX_PIECE) + 1):
                 other = 1 if j == i + 1 else 0
-                ids = np.fromiter((find(s[i:j], other) for s in stretches), dtype=np.int64, count=len(stretches))
+                ids = np.fromiter((find(w[i:j], other) for w in words), dtype=np.int64, count=len(words))
                 if ids.any():
                     alpha[j] += alpha[i] * self.rows[ids]
-        return np.log(np.maximum(alpha[n], 1e-300))
+        return np.log(alpha[n]) - scaled * math.log(_UP)
 
     def learn(self, words: list[str]) -> None:
         by_length: dict[int, list[tuple[int, str]]] = {}
         for at, w in enumerate(words):
-            for stretch in spell(w):
-                by_length.setdefault(len(stretch), []).append((at, stretch))
+            by_length.setdefault(len(w), []).append((at, _START + w))
         total = np.zeros((len(words), len(self.langs)))
-        for group in by_length.values():
-            for k in range(0, len(group), 4_096):
-                part = group[k : k + 4_096]
-                np.add.at(total, [at for at, _ in part], self.forward([s for _, s in part]))
+        for length, group in by_length.items():
+            step = max(1, min(4_096, 500_000 // length))
+            for k in range(0, len(group), step):
+                part = group[k : k + step]
+                total[[at for at, _ in part]] = self.forward([w for _, w in part])
         self.memo.update(zip(words, range(len(self.memo), len(self.memo) + len(words)), strict=True))
         self.table = np.concatenate((self.table, total))
 
@@ -200,8 +218,8 @@ class Scorer:
         return langs, scores
 
 
-def predict(docs: DataFrame, model: dict[str, dict[str, float]]) -> DataFrame:
-    """docs with a column _scored (lang_pred, score); only the text is read."""
+def predict(docs: DataFrame, model: dict[str, dict[str, float]], name: str = "_scored") -> DataFrame:
+    """docs with a column ``name`` (lang_pred, score); only the text is read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -214,14 +232,15 @@ def predict(docs: DataFrame, model: dict[str, dict[str, float]]) -> DataFrame:
                     got += x
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return docs.withColumn("_scored", scored("text"))
+    return docs.withColumn(name, scored("text"))
 
 
 def keep_identified(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """The rows of docs that have a language; those without any letters are rejected."""
+    """The rows of docs whose language is told with at least ``MIN_SCORE``."""
     model = train(docs, vocabulary or default_vocabulary())
-    columns = docs.columns
-    return predict(docs, model).where(F.col("_scored.lang_pred") != UNKNOWN).select(*columns)
+    columns, (name,) = docs.columns, fresh(docs.columns, "scored")
+    told = F.col(name)
+    return predict(docs, model, name).where((told["lang_pred"] != UNKNOWN) & (told["score"] >= MIN_SCORE)).select(*columns)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,31 +11,33 @@ documents in the order of exponential keys -ln(u) / quality (Efraimidis and Spir
 u being a hash of doc_id, until their prefix sum of words meets it. The last document
 taken is cut there, so that a source's words meet its target to the nearest word.
 
-Prefix sums never gather a source in one task: keys fall into buckets by their rank
-under exp(-key), each bucket is summed on its own, and a bucket's start comes from the
-totals of at most ``BUCKETS`` buckets of its source.
+Prefix sums never gather a source in one task: keys fall into ``BUCKETS`` buckets by their
+rank under exp(-key), the totals of a source's buckets tell in which one its budget ends,
+and only that one is sorted. What comes out is one row for each source, the document where
+its budget is cut; every other document is judged by comparing its key with that row.
 
 Defined cases: a null text has size 0; a null source is a source of its own; a null
 doc_id hashes as an empty string; rows that repeat a doc_id are separate documents whose
-keys tie and are ordered by size; sources without words take none; without labels every
+keys tie and are ordered by size, and where equal sizes tie at the cut too, they share what
+is left evenly, to the whole word; sources without words take none; without labels every
 quality is neutral; other columns of the input are ignored by the plan of the mix.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, materialize, table
+from .common import WORD_CLASS, fresh, materialize, table
 
-WEIGHTS, BUDGET, MAX_EPOCHS, BUCKETS = (3, 1, 2), 1.5, 2, 256
+WEIGHTS, BUDGET, MAX_EPOCHS, BUCKETS = (3, 1, 2), 1.5, 2, 4_096
 #: Sampling weight of a document by its quality label; NEUTRAL where it has none.
 QUALITY, NEUTRAL = {1: 2.0, 0: 0.5}, 1.0
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """docs with the number of words of their text."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long"))
+def size_of(text: Column) -> Column:
+    """The number of words of a text."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -55,29 +57,58 @@ def targets(sized: DataFrame) -> DataFrame:
     return steps.select("source", "source_size", F.coalesce(F.least("cap", F.col("weight") * final), F.col("cap")).alias("target"))
 
 
-def mix(sized: DataFrame, quality: DataFrame | None = None, *keys: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (and keys) of every document of (doc_id, source, size)."""
+def with_keys(docs: DataFrame, quality: DataFrame | None, key: str) -> DataFrame:
+    """docs with a column ``key``: the exponential key, scaled by the quality label of (doc_id, quality)."""
+    weight, extra = F.lit(NEUTRAL), []
     if quality is not None:
-        best = quality.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        sized = sized.join(best, "doc_id", "left")
-        weight = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in QUALITY.items() for x in kv)), F.col("quality").cast("int")), F.lit(NEUTRAL))
-    else:
-        weight = F.lit(NEUTRAL)
+        extra = fresh([*docs.columns, key], "of", "label")
+        best = quality.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(extra[0])).agg(F.max("quality").cast("int").alias(extra[1]))
+        docs = docs.join(best, docs["doc_id"] == best[extra[0]], "left")
+        weight = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in QUALITY.items() for x in kv)), F.col(extra[1])), F.lit(NEUTRAL))
     digits = F.substring(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256), 1, 12)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
-    keyed = sized.select("doc_id", "source", "size", *keys, (-F.log(u) / weight).alias("key"))
-    keyed = keyed.withColumn("bucket", F.floor(BUCKETS * (1 - F.exp(-F.col("key")))).cast("int"))
-    goal = targets(sized).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    goal = goal.withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    per_bucket = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("own"))
-    w = Window.partitionBy("source").orderBy("bucket")
-    starts = per_bucket.select("source", "bucket", (F.sum("own").over(w) - F.col("own")).alias("base"))
-    starts = starts.join(goal, starts["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-    inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = keyed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    both = ranked.join(starts, ranked["source"].eqNullSafe(starts["source"]) & (ranked["bucket"] == starts["bucket"])).drop(starts["source"])
-    part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("base") - F.col("before")))
-    return both.select("doc_id", "source", "size", *keys, "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return docs.withColumn(key, -F.log(u) / weight).drop(*extra)
+
+
+def _spot(key: Column, doc_id: Column, size: Column) -> Column:
+    """A document's place in the order of its source; null ids come first."""
+    return F.struct(key.alias("key"), F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).alias("id"), size.alias("size"))
+
+
+def cuts(keyed: DataFrame) -> DataFrame:
+    """One row for each source of (doc_id, source, size, key): its target, whole epochs, and where the rest is cut.
+
+    ``cut`` is the place of the last document taken, ``left`` the words taken from the ``n`` documents of that place.
+    """
+    goal = targets(keyed).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    goal = materialize(goal.withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")), "goal")
+    spots = keyed.select("source", "size", F.floor(BUCKETS * (1 - F.exp(-F.col("key")))).cast("int").alias("bucket"), _spot(F.col("key"), F.col("doc_id"), F.col("size")).alias("cut"))
+    totals = spots.groupBy("source", "bucket").agg(F.sum("size").alias("own"))
+    base = F.sum("own").over(Window.partitionBy("source").orderBy("bucket")) - F.col("own")
+    starts = totals.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), "own", base.alias("base"))
+    last = starts.join(goal.select("source", "rest"), F.col("_s").eqNullSafe(F.col("source"))).where((F.col("base") < F.col("rest")) & (F.col("rest") <= F.col("base") + F.col("own"))).drop("source")
+    last = materialize(last, "last")
+    inside = spots.join(last, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b"))).groupBy("source", "rest", "base", "cut").agg(F.count(F.lit(1)).alias("n"))
+    all_ = F.col("n") * F.col("cut.size")
+    before = F.col("base") + F.sum(all_).over(Window.partitionBy("source").orderBy("cut")) - all_
+    found = inside.withColumn("before", before).where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + all_))
+    found = found.select(F.col("source").alias("_s"), "cut", "n", (F.col("rest") - F.col("before")).alias("left"))
+    return goal.join(found, goal["source"].eqNullSafe(found["_s"]), "left").drop("_s")
+
+
+def _taken(spot: Column, size: Column, cut: Column) -> Column:
+    """How many words the mix takes of a document; ``cut`` is a struct of its source's row."""
+    rest = F.when(spot < cut["cut"], size).when(spot == cut["cut"], F.floor(cut["left"] / cut["n"])).otherwise(F.lit(0))
+    return (cut["epochs"] * size + F.coalesce(rest, F.lit(0))).cast("long")
+
+
+def mix(sized: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every document of (doc_id, source, size)."""
+    keyed = with_keys(sized.select("doc_id", "source", "size"), quality, "key")
+    goal = materialize(cuts(keyed).select(F.struct("*").alias("g")), "cuts")
+    both = keyed.join(goal, keyed["source"].eqNullSafe(F.col("g.source")))
+    taken = _taken(_spot(F.col("key"), F.col("doc_id"), F.col("size")), F.col("size"), F.col("g"))
+    return both.select("doc_id", keyed["source"], "size", "g.source_size", "g.target", taken.alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
@@ -85,24 +116,26 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFr
 
     A column n_chars, where there is one, follows the cut.
     """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    sized = sizes(rows.select("doc_id", "source", "text", "_row")).select("doc_id", "source", "size", "_row")
-    taken = mix(sized, quality, "_row").where(F.col("taken") > 0)
-    rest = F.col("taken") % F.col("size")
-    taken = taken.select("_row", rest.alias("_rest"), ((F.col("taken") - rest) / F.col("size")).alias("_whole"))
-    copies = F.sequence(F.lit(1), (F.col("_whole") + F.when(F.col("_rest") > 0, 1).otherwise(0)).cast("int"))
-    each = rows.join(taken, "_row").select(*docs.columns, "_rest", "_whole", F.explode(copies).alias("_copy"))
+    sized = materialize(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
+    own, size, key, take, copy = fresh(docs.columns, "own", "size", "key", "take", "copy")
+    goal = materialize(cuts(with_keys(sized, quality, "key")).select(F.struct("*").alias(own)), "cuts")
+    rows = with_keys(docs.withColumn(size, size_of(F.col("text"))), quality, key)
+    rows = rows.join(goal, rows["source"].eqNullSafe(F.col(f"{own}.source")))
+    rows = rows.withColumn(take, _taken(_spot(F.col(key), F.col("doc_id"), F.col(size)), F.col(size), F.col(own))).where(F.col(take) > 0)
+    count = F.ceil(F.col(take) / F.col(size)).cast("int")
+    each = rows.select(*docs.columns, size, take, F.explode(F.sequence(F.lit(1), count)).alias(copy))
+    part = F.col(take) - (F.col(copy) - 1) * F.col(size)
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_rest").cast("int")), "")
-    each = each.withColumn("text", F.when(F.col("_copy") > F.col("_whole"), cut).otherwise(F.col("text")))
+    shorter = part < F.col(size)
+    each = each.withColumn("text", F.when(shorter, F.array_join(F.slice(pieces, F.lit(1), part.cast("int")), "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        each = each.withColumn("n_chars", F.when(F.col("_copy") > F.col("_whole"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        each = each.withColumn("n_chars", F.when(shorter, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return each.select(*docs.columns)
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents; labels give the quality weights."""
-    sized = materialize(sizes(table(spark, sf_dir, "documents")).select("doc_id", "source", "size"), "sizes")
+    sized = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
     out = mix(sized, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
@@ -129,9 +162,10 @@ WITH sized AS (
          / CASE q.quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS key
   FROM sized s LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id) q ON q.doc_id = s.doc_id
 ), ranked AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keyed
+  SELECT *, count(*) OVER t AS n, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size * count(*) OVER t AS before
+  FROM keyed WINDOW t AS (PARTITION BY source, key, doc_id, size)
 )
 SELECT r.doc_id, r.size::BIGINT AS size, g.source_size, g.target,
-       (g.epochs * r.size + least(r.size, greatest(0, round(g.target - g.epochs * g.source_size) - r.before)))::BIGINT AS taken
+       (g.epochs * r.size + floor(least(r.n * r.size, greatest(0, round(g.target - g.epochs * g.source_size) - r.before)) / r.n))::BIGINT AS taken
 FROM ranked r JOIN split g ON r.source IS NOT DISTINCT FROM g.source
 """

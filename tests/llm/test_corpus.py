@@ -52,7 +52,7 @@ def test_token_store_empty(spark):
 
 def mixed(spark, rows, labels=()):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, size long, n_chars long")
-    sized = materialize(source_mix.sizes(docs).select("doc_id", "source", "size"), "sizes")
+    sized = materialize(docs.select("doc_id", "source", source_mix.size_of(F.col("text")).alias("size")), "sizes")
     quality = spark.createDataFrame(list(labels), "doc_id long, quality int")
     return docs, quality, source_mix.mix(sized, quality)
 
@@ -163,23 +163,115 @@ def test_short_notices_are_found_in_long_texts(spark):
     assert {(x.doc_id, x.license, x.containment) for x in license_scan.scan(docs).collect()} == {(k, "reserved-short", 1.0) for k in range(60)}
 
 
-def test_pipeline_stages(spark):
+def told(text, model):
+    """Whether a language has half of the posterior, by sums over all segmentations in exact arithmetic."""
+    from fractions import Fraction
+    from functools import cache
+
+    import regex
+
+    def chance(word, p):
+        @cache
+        def rest(i):
+            if i == len(word):
+                return Fraction(1)
+            return sum(Fraction(q) * rest(j) for j in range(i + 1, min(len(word), i + 12) + 1) if (q := p.get(word[i:j], 1e-9 if j == i + 1 else None)))
+
+        return rest(0)
+
+    total = [1] * len(model)
+    for w in regex.findall(r"\p{L}+", (text or "").lower()):
+        total = [t * _log_free(chance, w, p) for t, p in zip(total, model.values(), strict=True)]
+        scale = max(total)
+        total = [t / scale for t in total]
+    return bool(regex.search(r"\p{L}", text or "")) and max(total) >= 0.5 * sum(total)
+
+
+def _log_free(chance, w, p, memo={}):  # noqa: B006
+    key = (w, id(p))
+    if key not in memo:
+        memo[key] = chance("▁" + w, p)
+    x = memo[key]
+    return float(x) if x > 1e-200 else x
+
+
+def kept_near(rows):
+    """The least doc_id of each component of texts whose five-word shingles have a similarity of 0.8."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    comp = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if comp[a] != comp[b] and 0.8 * max(len(sets[a]), len(sets[b])) <= min(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = comp[a], comp[b]
+                comp = [new if c == old else c for c in comp]
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[comp[k]] = min(least.get(comp[k], i), i)
+    return set(least.values())
+
+
+def test_pipeline_stages_match_brute_force(spark):
+    from oncelog.llm import language_id
+
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    everything = [(r.doc_id, r.text) for r in docs.collect()]
+    model = language_id.train(docs, language_id.default_vocabulary())
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = docs
         docs = materialize(stage(spark, docs, sf), name)
         assert docs.columns == before.columns
         kept[name] = [tuple(r) for r in docs.collect()]
-    everything = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    assert {r[0] for r in kept["language"]} == {i for i, t in everything.items() if t and re.search(r"[^\W\d_]", t)}
+    assert {r[0] for r in kept["language"]} == {i for i, t in everything if told(t, model)}
+    assert {r[0] for r in kept["near_dedup"]} == kept_near([r[:2] for r in kept["language"]])
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    verbatim = {r[0] for r in kept["near_dedup"] if any(t in r[1] for t in items)}
+    assert {r[0] for r in kept["near_dedup"]} - {r[0] for r in kept["decontamination"]} == verbatim
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    total, took = {}, {}
+    for r in kept["decontamination"]:
+        total[r[3]] = total.get(r[3], 0) + words(r[1])
+    for r in kept["mix"]:
+        took[r[3]] = took.get(r[3], 0) + words(r[1])
+    assert all(took[s] <= 2 * total[s] for s in took) and abs(sum(took.values()) - 1.5 * sum(total.values())) <= len(total)
+    texts = {r[0]: r[1] for r in kept["decontamination"]}
+    assert all(texts[r[0]].startswith(r[1]) for r in kept["mix"])
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     ids = plain_ids([r[1] for r in kept["mix"]])
     crc = lambda x: zlib.crc32(np.array([*x, 2], dtype="<u4").tobytes())
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == sorted((r[0], len(x) + 1, crc(x)) for r, x in zip(kept["mix"], ids, strict=True))
 
 
+SMALL = "doc_id long, text string, lang string, source string, n_chars long, _ord string, size string, key string, _hit string, scored string"
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_stages_take_odd_rows(spark, empty):
+    """Nulls in any column, repeated rows and ids, ties, an empty table and clashing names."""
+    r = random.Random(5)
+    text = lambda k: " ".join(random.Random(k).choices("the cat sat on a mat and the dog ran home over hills".split(), k=60))
+    rows = [(1, text(1), "en", "a"), (1, text(1), "en", "a"), (1, text(2), "en", "a"), (None, text(3), "en", None), (None, text(3), "en", None), (2, None, None, "b"), (3, "", "en", "b"), (4, "12 34", "fr", None)]
+    rows += [(10 + k, text(100 + k), "en" if k % 2 else None, r.choice(["a", "b", None])) for k in range(20)] + [(99, "le chat " * 20_000, "fr", "b")]
+    docs = spark.createDataFrame([] if empty else [(*x, len(x[1] or ""), "o", "s", "k", "h", "c") for x in rows], SMALL)
+    kept = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, materialize(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
+        assert docs.columns == before.columns
+        kept.append(docs.collect())
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").collect()
+    if empty:
+        assert not any(kept) and not out
+        return
+    assert {2, 3, 4}.isdisjoint({x.doc_id for x in kept[0]}) and len(kept[0]) == len(rows) - 3
+    near = [(x.doc_id, x.text) for x in kept[1]]
+    assert len(near) == len(set(near)) == len(rows) - 5 and {x.key for x in kept[1]} == {"k"}
+    assert len(out) == len(kept[3])
+
+
 @pytest.mark.parametrize("name", ["op5_source_mix", "op9_exact_dedup"])
 def test_sql_agrees(spark, name):
     from oncelog.llm.registry import QUERIES, SQL

@@ -80,7 +80,7 @@ def test_language_edges(spark):
     assert got[3, None].lang_pred == "und" == got[4, "12 !!"].lang_pred and got[4, "12 !!"].score == 0
     assert all(0 <= s.score <= 1 for s in got.values())
     kept = language_id.keep_identified(df)
-    assert kept.columns == df.columns and kept.count() == 6
+    assert kept.columns == df.columns and kept.count() == sum(s.lang_pred != "und" and s.score >= 0.5 for r in language_id.predict(df, model).collect() for s in [r._scored]) >= 5
     assert language_id.keep_identified(df.limit(0)).count() == 0
 
 
@@ -94,6 +94,48 @@ def test_forward_sums_all_segmentations():
     assert math.isclose(math.exp(scorer.forward(["▁aba"])[0, 0]), want + floor, rel_tol=1e-9)
 
 
+def all_segmentations(word, p):
+    """The summed probability by enumerating every way to cut a word, exactly."""
+    from fractions import Fraction
+
+    def cut(rest):
+        if not rest:
+            yield Fraction(1)
+        for k in range(1, len(rest) + 1):
+            q = p.get(rest[:k], language_id._OTHER if k == 1 else None)
+            if q:
+                yield from (Fraction(q) * x for x in cut(rest[k:]))
+
+    return sum(cut("▁" + word))
+
+
+def test_scores_equal_an_enumeration_of_segmentations():
+    import math
+
+    r = random.Random(8)
+    known = ["".join(r.choice("abc") for _ in range(r.randint(1, 4))) for _ in range(25)] + ["▁a", "▁bc", "▁"]
+    model = {lang: {q: r.random() / 30 for q in dict.fromkeys(known)} for lang in ("en", "fr", "de")}
+    texts = [" ".join("".join(r.choice("abcd") for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 6))) for _ in range(60)]
+    langs, scores = language_id.Scorer(model).score([t.upper() + " 12½²" for t in texts])
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        total = {x: math.prod(all_segmentations(w, model[x]) for w in text.split()) for x in sorted(model)}
+        best = max(sorted(total), key=lambda x: total[x])
+        assert lang == best and math.isclose(score, float(total[best] / sum(total.values())), rel_tol=1e-9)
+    assert language_id.Scorer(model).score(["½ ² Ⅷ ①", "_", None, ""]) == (["und"] * 4, [0.0] * 4)
+
+
+def test_words_of_any_length_are_told():
+    model = {"x": {"b": 0.5, "a": 0.1}, "y": {"b": 0.1, "a": 0.5}}
+    for n in (0, 31, 33, 200, 20_000):
+        langs, scores = language_id.Scorer(model).score(["ж" * n + "bbbbb", "ж" * n + "aaaaa"])
+        assert langs == ["x", "y"] and min(scores) > 0.99
+    # the expected counts of a long word are those of its parts
+    counts = {}
+    for piece, n in language_id._segment_counts("▁" + "ж" * 300 + "ab" * 40, {"ab": 0.2, "a": 0.1, "b": 0.1}):
+        counts[piece] = counts.get(piece, 0.0) + n
+    assert abs(counts["ж"] - 300) < 1e-6 and abs(counts["ab"] - 40 * 0.2 / 0.21) < 1e-6 and abs(counts["a"] - 40 * 0.01 / 0.21) < 1e-6
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T {k}</title><style>p{{margin:0}}</style><script>var a="<p>no</p>";</script></head><body>
 <header class="site"><a href="/">Home</a></header><nav><ul><li><a href="/a">One {k}</a><li><a href="/b">Two</a></ul></nav>
 <div class="cookie-notice">We use cookies {k}</div><div class="ad">Buy {k}</div>
