@@ -38,7 +38,7 @@ from .common import fresh, materialize, table
 #: About how many labelled rows the model is fitted on, and rounds of re-estimation.
 TRAIN_ROWS, ROUNDS, SMOOTHING, MIN_SCORE = 12_000, 2, 0.1, 0.5
 FOLDS, UNKNOWN = 5, "und"
-_MAX_PIECE, _MEMO, _OTHER = 12, 400_000, 1e-9
+_MAX_PIECE, _MEMO, _OTHER = 12, 200_000, 1e-9
 #: Sums below _SMALL are multiplied by _UP.
 _SMALL, _UP = 1e-100, 1e100
 _LETTERS = regex.compile(r"\p{L}+")

@@ -73,12 +73,18 @@ def sketches(docs: DataFrame) -> DataFrame:
         import xxhash
 
         for b in batches:
-            split = [words_of(t) for t in b.column(2).to_pylist()]
-            names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in split), dtype="<i8").reshape(-1, 2)
-            found = [sketch(w) for w in split]
-            columns = [b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(names[:, k])) for k in (0, 1))]
-            columns += [pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)]
-            yield pa.record_batch(columns, names=["ord", "th", "h1", "h2", "bits", "low"])
+            for at in range(0, b.num_rows, 256):  # so that the words of few texts are in memory
+                part = b.slice(at, 256)
+                names, bits, low = [], [], []
+                for text in part.column(2):
+                    words = words_of(text.as_py())
+                    names.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    votes, places = sketch(words)
+                    bits.append(votes.tobytes())
+                    low.append(places.tobytes())
+                h = np.frombuffer(b"".join(names), dtype="<i8").reshape(-1, 2)
+                columns = [part.column(0), part.column(1), *(pa.array(np.ascontiguousarray(h[:, k])) for k in (0, 1)), pa.array(bits, pa.binary()), pa.array(low, pa.binary())]
+                yield pa.record_batch(columns, names=["ord", "th", "h1", "h2", "bits", "low"])
 
     ord_, th = place(docs)
     return docs.select(ord_.alias("ord"), th.alias("th"), text_or_empty().alias("text")).mapInArrow(run, "ord long, th long, h1 long, h2 long, bits binary, low binary")
@@ -179,7 +185,7 @@ def _shingled(rows: DataFrame) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = [shingles(words_of(t)) for t in part.column(2).to_pylist()]
+                sets = [shingles(words_of(t.as_py())) for t in part.column(2)]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["block", "node", "size", "grams"])
 
     return rows.select("block", "node", "text").mapInArrow(run, "block long, node long, size int, grams array<long>")
