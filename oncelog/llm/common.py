@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -71,6 +72,57 @@ class Workspace:
         self.drop(*(t for k, (_, t) in list(self.paths.items()) if k not in kept))
 
 
+class RunLog:
+    """The immutable runs of an index: bucketed and sorted tables in the warehouse, oldest first.
+
+    A run is an external table whose folder tells its index, number and buckets, so a
+    later session opens an index by its name: folders of finished runs that its
+    catalog does not know are registered anew.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, key: str, schema: str, buckets: int | None = None):
+        self.spark, self.name, self.key, self.schema = spark, name, key, schema
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        self.runs: list[str] = self._stored()
+        for run in self.runs:
+            if not spark.catalog.tableExists(run):
+                spark.sql(f"CREATE TABLE {run} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {run.split('_b')[-1]} BUCKETS LOCATION '{self.root}/{run}'")
+
+    def _stored(self) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [f.getPath() for f in files.listStatus(path)] if files.exists(path) else []
+        own = re.compile(rf"{re.escape(self.name)}_n[0-9]+_b[0-9]+")
+        return sorted(p.getName() for p in found if own.fullmatch(p.getName()) and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def append(self, rows: DataFrame) -> str:
+        """A new run, one sorted file for each bucket."""
+        last = int(self.runs[-1].split("_n")[-1].split("_b")[0]) if self.runs else 0
+        run = f"{self.name}_n{last + 1:09d}_b{self.buckets}"
+        out = rows.repartition(self.buckets, self.key).write.mode("overwrite").bucketBy(self.buckets, self.key).sortBy(self.key)
+        out.format("parquet").option("path", f"{self.root}/{run}").saveAsTable(run)
+        self.runs.append(run)
+        return run
+
+    def rows(self) -> DataFrame | None:
+        """All rows, with the number of their run as ``age``."""
+        out = None
+        for age, run in enumerate(self.runs):
+            own = self.spark.table(run).withColumn("age", F.lit(age))
+            out = own if out is None else out.unionByName(own)
+        return out
+
+    def replace(self, rows: DataFrame) -> None:
+        """One run in place of all; the old ones go once it is written."""
+        old, self.runs = list(self.runs), self.runs[-1:]
+        self.append(rows)
+        self.runs = self.runs[-1:]
+        for run in old:
+            self.spark.sql(f"DROP TABLE {run}")
+            remove(self.spark, f"{self.root}/{run}")
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """Column names that do not clash with those of a table (Spark compares them without case)."""
     taken = {c.lower() for c in columns}
@@ -132,7 +184,7 @@ class WordBuffer:
         with np.errstate(over="ignore"):
             while len(left):
                 rest = np.minimum(size[left] - at, 8)
-                lanes = self.lane(self.starts[left] + at) & _MASKS[rest]
+                lanes = self.lane(self.starts[left] + at) & LANE_MASKS[rest]
                 out[left] = mix64((out[left] ^ lanes) * np.uint64(0xD1B54A32D192ED03) + np.uint64(at))
                 at += 8
                 left = left[size[left] > at]
@@ -143,7 +195,7 @@ class WordBuffer:
 
 #: Words over this many bytes are hashed one by one; masks of the bytes of a lane that belong to the word.
 _LONG = 256
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+LANE_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def _long_word(word: bytes) -> int:

@@ -19,8 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty
-
+from .common import RunLog, fresh, materialize, table, text_or_empty
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -29,52 +28,35 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """A growing index of distinct texts in the session's catalog."""
+    """A growing index of distinct texts; an index of a known name is opened, in any session."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
-        self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.runs: list[str] = [t.name for t in spark.catalog.listTables(pattern=f"{self.name}_*")] if name else []
-
-    def _append(self, rows: DataFrame) -> None:
-        self.runs.append(self._write(rows))
-
-    def _write(self, rows: DataFrame) -> str:
-        """A new run, one sorted file for each bucket."""
-        run = f"{self.name}_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").saveAsTable(run)
-        return run
+        self.spark = spark
+        self.log = RunLog(spark, name or f"digest_index_{uuid.uuid4().hex}", "digest", "digest string, keep_id long, n long", buckets)
 
     def rows(self) -> DataFrame:
         """digest, keep_id, n: one row per distinct text seen so far."""
-        if not self.runs:
+        runs = self.log.rows()
+        if runs is None:
             return self.spark.createDataFrame([], "digest string, keep_id long, n long")
-        runs = self.spark.table(self.runs[0])
-        for run in self.runs[1:]:
-            runs = runs.unionByName(self.spark.table(run))
         return runs.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Adds a batch of (doc_id, digest); returns its texts that the index had not seen."""
         texts = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-        if not self.runs:
-            self._append(texts)
-            return self.spark.table(self.runs[-1])
+        if not self.log.runs:
+            return self.spark.table(self.log.append(texts))
         seen = self.rows().select("digest")
         texts = materialize(texts, "digests")
         new = texts.join(seen.hint("merge"), "digest", "left_anti")
         again = texts.join(seen.hint("merge"), "digest", "left_semi")
-        self._append(again)
-        self._append(new)
-        return self.spark.table(self.runs[-1])
+        self.log.append(again)
+        return self.spark.table(self.log.append(new))
 
     def compact(self) -> None:
         """Folds all runs into one."""
-        if len(self.runs) > 1:
-            old, rows = self.runs, self.rows()
-            self.runs = [self._write(rows)]
-            for run in old:
-                self.spark.sql(f"DROP TABLE {run}")
+        if len(self.log.runs) > 1:
+            self.log.replace(self.rows())
 
 
 def mark_duplicates(batch: DataFrame, index: DigestIndex) -> DataFrame:
@@ -86,10 +68,11 @@ def mark_duplicates(batch: DataFrame, index: DigestIndex) -> DataFrame:
 
 def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of docs whose text the index has not seen, one of each text (the largest doc_id)."""
-    own = docs.withColumn("_digest", F.sha2(text_or_empty().cast("binary"), 256))
-    new = index.add(digests(docs)).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    stay = own.join(new, (own["_digest"] == new["_digest"]) & own["doc_id"].eqNullSafe(new["_keep"]), "left_semi")
-    return stay.dropDuplicates(["_digest"]).drop("_digest")
+    (name,) = fresh(docs.columns, "digest")
+    own = docs.withColumn(name, F.sha2(text_or_empty().cast("binary"), 256))
+    new = index.add(digests(docs))
+    stay = own.join(new, (own[name] == new["digest"]) & own["doc_id"].eqNullSafe(new["keep_id"]), "left_semi")
+    return stay.dropDuplicates([name]).drop(name)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

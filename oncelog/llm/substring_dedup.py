@@ -3,22 +3,23 @@
 A window is ``WINDOW`` consecutive words. Every window is filed under its minimizer: the
 least hash among its runs of ``GRAM`` words (the leftmost of equals), so equal windows
 have the same minimizer at the same place. Consecutive windows of one minimizer form a
-segment, about 22 windows in one row (gram, seg, doc, first, last), seg being a hash of
-the segment's words.
+segment, about 22 windows in one row (gram, seg, doc, first, last), seg being the XXH3 hash
+of the segment's words themselves, byte by byte.
 
 The index is a log of immutable runs, bucketed and sorted by gram, each with one row per
 distinct segment: its first document. A batch is reduced to distinct segments, merge-joined
 with the runs by gram, and verified in two steps:
 
-* a segment that the index or an earlier document of the batch has, word for word, is
-  covered as a whole;
+* a segment that the index or an earlier document of the batch has, of equal gram and
+  words (64 bits each), is covered as a whole;
 * where different segments share a gram in different documents, only part of them may
-  agree: the windows of one copy of each are hashed from the texts (128 bits), the first
-  document of every window decides, and the windows found, as places within the segment,
-  hold for all copies of the segment.
+  agree: the windows of one copy of each are read back from the texts and compared by 128
+  bits of XXH3 over their words, the first document of every window decides, and the
+  windows found, as places within the segment, hold for all copies of the segment.
 
-Then the batch's distinct segments become a new run; ``FANOUT`` runs are folded into one.
+Then the batch's distinct segments become a new run; ``fanout`` runs are folded into one.
 A passage that a third of all documents share is one row per map task before any shuffle.
+All tables of a batch but its result are removed when it is done.
 
 Order: documents of earlier batches come before those of later ones, and within a batch
 smaller doc_ids come first. Defined cases: a null text has no words; texts under
@@ -37,16 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordBuffer, materialize, mix64, table, text_or_empty
+from .common import RunLog, WordBuffer, Workspace, mix64, table, text_or_empty
 
 WINDOW, GRAM, FANOUT = 50, 8, 4
 _LAST = (1 << 63) - 1
 _SEGMENTS = "gram long, seg long, ord long, th long, a int, b int"
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+_RUN = "gram long, seg long, ord long, th long, a int, b int"
+_BASE = 0x9E3779B97F4A7C15 | 1
 
 
 class RangeHasher:
-    """Hashes of value ranges by prefix sums of a polynomial modulo 2**64."""
+    """Hashes of value ranges by prefix sums of a polynomial modulo 2**64; they only choose minimizers."""
 
     def __init__(self, values: np.ndarray, base: int):
         n = len(values)
@@ -72,12 +74,19 @@ def _leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
     return at[:n]
 
 
+def _plain(texts: list[str]) -> WordBuffer:
+    """The words of texts, one space between them: equal passages are equal ranges of bytes."""
+    return WordBuffer([b" ".join(t.encode().split()) for t in texts])
+
+
 def _segments(words: WordBuffer, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """text, gram hash, segment hash, first and last window of every segment of a buffer."""
+    import xxhash
+
     hashes = words.word_hashes()
     if len(hashes) < window:
         return (np.empty(0, np.int64),) * 5
-    over = RangeHasher(hashes, _BASES[0])
+    over = RangeHasher(hashes, _BASE)
     at = np.arange(len(hashes) - gram + 1)
     grams = over(at, at + gram)
     least = _leftmost_minima(grams, window - gram + 1)
@@ -89,7 +98,9 @@ def _segments(words: WordBuffer, window: int, gram: int) -> tuple[np.ndarray, ..
     opens = np.concatenate(([True], (place[1:] != place[:-1]) | (np.diff(whole) != 1)))
     first, last = whole[opens], whole[np.append(np.flatnonzero(opens)[1:] - 1, len(whole) - 1)]
     place = place[opens]
-    seg = mix64(over(first, last + window) + (place - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    raw, digest = words.data.tobytes(), xxhash.xxh3_64_intdigest
+    ranges = zip(words.starts[first].tolist(), words.ends[last + window - 1].tolist(), (place - first).tolist(), strict=True)
+    seg = np.array([digest(raw[s:e], seed) for s, e, seed in ranges], dtype=np.uint64)
     base = words.first[text[first]]
     return text[first], grams[place].view(np.int64), seg.view(np.int64), first - base, last - base
 
@@ -116,7 +127,7 @@ def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
         for group in _batched(rows):
-            text, grams, segs, a, b = _segments(WordBuffer([t.encode() for _, _, t in group]), window, gram)
+            text, grams, segs, a, b = _segments(_plain([t for _, _, t in group]), window, gram)
             ords, ths = (np.array([r[k] for r in group], dtype=np.int64)[text] for k in (0, 1))
             yield pa.record_batch(
                 [pa.array(x, pa.int64()) for x in (grams, segs, ords, ths)] + [pa.array(x.astype(np.int32)) for x in (a, b)],
@@ -130,18 +141,22 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
     """(h1, h2, rank, gram, seg, at) of the wanted windows of (ord, th, text, wanted: list of (rank, gram, seg, a, b)); at counts from a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh3_128_digest
         rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in (1, 0)), strict=True))
         for group in _batched(rows, 4_000_000):
-            words = WordBuffer([t.encode() for *_, t in group])
-            hashes = words.word_hashes()
-            over = [RangeHasher(hashes, b) for b in _BASES]
+            words = _plain([t for *_, t in group])
+            raw = words.data.tobytes()
             each = [(i, *w.values()) for i, (wanted, _) in enumerate(group) for w in wanted]
             text, rank, grams, segs, a, b = (np.array(x, dtype=np.int64) for x in zip(*each, strict=True))
             n = b - a + 1
             start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(words.first[text] + a, n) + start
+            ranges = zip(words.starts[at].tolist(), words.ends[at + window - 1].tolist(), strict=True)
+            both = np.frombuffer(b"".join([digest(raw[s:e]) for s, e in ranges]), dtype="<i8").reshape(-1, 2)
             yield pa.record_batch(
-                [pa.array(h(at, at + window).view(np.int64)) for h in over] + [pa.array(np.repeat(x, n)) for x in (rank, grams, segs)] + [pa.array(start.astype(np.int32))],
+                [pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)] + [pa.array(np.repeat(x, n)) for x in (rank, grams, segs)] + [pa.array(start.astype(np.int32))],
                 names=["h1", "h2", "rank", "gram", "seg", "at"],
             )
 
@@ -151,69 +166,54 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
 class WindowIndex:
     """The log of runs; ``corpus`` (doc_id, text) has the texts of all documents added so far and to come."""
 
-    def __init__(self, corpus: DataFrame, name: str | None = None, window: int = WINDOW, gram: int = GRAM):
-        self.spark, self.corpus, self.window, self.gram = corpus.sparkSession, corpus, window, gram
-        self.name = name or f"window_index_{uuid.uuid4().hex}"
-        self.runs: list[str] = sorted(t.name for t in self.spark.catalog.listTables(pattern=f"{self.name}_*")) if name else []
-
-    def _append(self, rows: DataFrame) -> None:
-        run = f"{self.name}_{uuid.uuid4().hex}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.repartition(n, "gram").write.bucketBy(n, "gram").sortBy("gram").format("parquet").saveAsTable(run)
-        self.runs.append(run)
-
-    def _history(self) -> DataFrame | None:
-        rows = None
-        for run in self.runs:
-            rows = self.spark.table(run) if rows is None else rows.unionByName(self.spark.table(run))
-        return rows
+    def __init__(self, corpus: DataFrame, name: str | None = None, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT):
+        self.spark, self.corpus, self.window, self.gram, self.fanout = corpus.sparkSession, corpus, window, gram, fanout
+        self.log = RunLog(self.spark, name or f"window_index_{uuid.uuid4().hex}", "gram", _RUN)
 
     def compact(self) -> None:
         """Folds all runs into one row per segment, that of the run added first."""
-        old = list(self.runs)
-        rows = None
-        for age, run in enumerate(old):
-            own = self.spark.table(run).withColumn("age", F.lit(age))
-            rows = own if rows is None else rows.unionByName(own)
-        first = rows.groupBy("gram", "seg").agg(F.min(F.struct("age", "ord", "th", "a", "b")).alias("f"))
-        self._append(first.select("gram", "seg", "f.ord", "f.th", "f.a", "f.b"))
-        self.runs = self.runs[-1:]
-        for run in old:
-            self.spark.sql(f"DROP TABLE {run}")
+        first = self.log.rows().groupBy("gram", "seg").agg(F.min(F.struct("age", "ord", "th", "a", "b")).alias("f"))
+        self.log.replace(first.select("gram", "seg", "f.ord", "f.th", "f.a", "f.b"))
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Adds a batch (doc_id, text); returns (ord, th, s, e): its words s..e-1 that are repeats."""
-        segs = materialize(segments(batch, self.window, self.gram), "segments")
+        work = Workspace(self.spark)
+        segs = work.write(segments(batch, self.window, self.gram), "segments")
         own = segs.groupBy("gram", "seg").agg(F.min(F.struct("ord", "th", "a", "b")).alias("f"), F.count(F.lit(1)).alias("n"))
-        own = materialize(own.select("gram", "seg", "f.ord", "f.th", "f.a", "f.b", "n"), "distinct")
+        own = work.write(own.select("gram", "seg", "f.ord", "f.th", "f.a", "f.b", "n"), "distinct")
         known = own.select("gram", "seg", F.col("ord").alias("rank"), "ord", "th", "a", "b", "n")
-        if (history := self._history()) is not None:
+        if (history := self.log.rows()) is not None:
             grams = own.select("gram").distinct()
             old = history.join(grams.hint("merge"), "gram", "left_semi").select("gram", "seg", F.lit(-1).cast("long").alias("rank"), "ord", "th", "a", "b", F.lit(1).cast("long").alias("n"))
-            known = materialize(known.unionByName(old), "known")
+            known = work.write(known.unionByName(old), "known")
         # whole segments: those that stand more than once, and the rank of the first
         many = known.groupBy("gram", "seg").agg(F.min("rank").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
         # parts of segments: grams that different segments have in different documents
         mixed = known.groupBy("gram").agg(F.min("seg").alias("s0"), F.max("seg").alias("s1"), F.min(F.struct("rank", "ord")).alias("d0"), F.max(F.struct("rank", "ord")).alias("d1"))
-        mixed = mixed.where("s0 <> s1 AND d0 <> d1").select("gram")
-        w = Window.partitionBy("gram", "seg").orderBy("rank", "ord", "th", "a")
-        wanted = known.join(mixed, "gram", "left_semi").withColumn("rn", F.row_number().over(w)).where("rn = 1")
-        wanted = wanted.groupBy("ord", "th").agg(F.collect_list(F.struct("rank", "gram", "seg", "a", "b")).alias("wanted"))
-        texts = _keyed(self.corpus).join(wanted, ["ord", "th"]).dropDuplicates(["ord", "th"]) if self._repeats() else _keyed(self.corpus).join(wanted, ["ord", "th"])
-        windows = materialize(_windows(texts.select("text", "wanted"), self.window), "windows")
+        mixed = work.write(mixed.where("s0 <> s1 AND d0 <> d1").select("gram"), "mixed")
+        # one copy of each segment; the many segments of a common gram are spread by their own hash
+        copy = known.join(mixed, "gram", "left_semi").groupBy("gram", "seg").agg(F.min(F.struct("rank", "ord", "th", "a", "b")).alias("f")).select("gram", "seg", "f.*")
+        wanted = work.write(copy.groupBy("ord", "th").agg(F.collect_list(F.struct("rank", "gram", "seg", "a", "b")).alias("wanted")), "wanted")
+        texts = _keyed(self.corpus).join(wanted, ["ord", "th"])
+        texts = texts.dropDuplicates(["ord", "th"]) if self._repeats() else texts
+        windows = work.write(_windows(texts.select("text", "wanted"), self.window), "windows")
+        work.drop(mixed, wanted)
         least = windows.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").drop("last")
-        least = materialize(least, "least")
+        least = work.write(least, "least")
         # copies in documents after a segment's first are covered as a whole; the windows found are those of all copies in the first
         found = windows.join(least, ["h1", "h2"]).where("first < rank").groupBy("gram", "seg", "rank").agg(F.collect_list("at").alias("at"))
         hits = many.withColumn("at", F.lit(None).cast("array<int>")).unionByName(found.select("gram", "seg", F.col("rank").alias("first"), "at"))
         # written first: both sides of the join then come from an exchange of their own, which Spark can split where a passage is hot
-        hits = materialize(hits, "hits")
+        hits = work.write(hits, "hits")
+        work.drop(windows, least, known)
         copies = segs.join(hits, ["gram", "seg"]).where((F.col("at").isNull() & (F.col("first") < F.col("ord"))) | (F.col("at").isNotNull() & (F.col("first") == F.col("ord"))))
         span = lambda s, last: F.struct(s.alias("s"), (last + self.window).alias("e"))
         spans = F.when(F.col("at").isNull(), F.array(span(F.col("a"), F.col("b")))).otherwise(F.transform("at", lambda k: span(F.col("a") + k, F.col("a") + k)))
-        out = materialize(copies.select("ord", "th", F.explode(spans).alias("r")).select("ord", "th", "r.s", "r.e"), "covered")
-        self._append(own.drop("n"))
-        if len(self.runs) >= FANOUT:
+        out = work.write(copies.select("ord", "th", F.explode(spans).alias("r")).select("ord", "th", "r.s", "r.e"), "covered")
+        work.drop(segs, hits)
+        self.log.append(own.drop("n"))
+        work.drop(own)
+        if len(self.log.runs) >= self.fanout:
             self.compact()
         return out
 
@@ -249,11 +249,11 @@ def judge(docs: DataFrame, covered: DataFrame) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adds all documents in two batches of ascending doc_id and judges every document."""
+    """Adds all documents in two batches of ascending doc_id, folds their runs, and judges every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
     early = F.coalesce(F.col("doc_id") <= F.lit(middle if middle is not None else 0), F.lit(False))
-    index = WindowIndex(docs)
+    index = WindowIndex(docs, fanout=2)
     covered = index.add(docs.where(early)).unionByName(index.add(docs.where(~early)))
     out = judge(docs, covered)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

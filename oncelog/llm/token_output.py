@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordBuffer, mix64, remove, scratch, table, text_or_empty
+from .common import LANE_MASKS, WordBuffer, remove, scratch, table, text_or_empty
 
 #: Bounds of the dictionary: sampled documents, code points of each, bytes trained.
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 400, 8_000, 32_768
 #: The encoder's memo is emptied when it holds more words.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 400_000
 #: A shard row is closed once its payload reaches this size.
 SHARD_BYTES = 1 << 20
 
@@ -56,6 +56,8 @@ class BatchEncoder:
     stands between two other characters, so a text can be cut there without changing
     one id. Words that a bounded memo lacks are encoded together, and all are gathered by
     position; texts with any other white space, or special-token text, are encoded whole.
+    Words of a batch are grouped by a hash, but no id rests on it: every word is compared
+    with the first of its group byte by byte, and the memo knows words by their bytes.
     """
 
     def __init__(self, path: str):
@@ -85,31 +87,23 @@ class BatchEncoder:
             flat.append(ids if spaced else ids[ids != self.newline])
         return np.concatenate([*flat, np.empty(0, self.dtype)]), np.concatenate([*sizes, np.empty(0, np.int64)])
 
-    def _learn(self, keys: np.ndarray, spell, bare: np.ndarray) -> np.ndarray:  # type: ignore[no-untyped-def]
-        """The memo's places of sorted distinct keys; words that it lacks are encoded."""
-        if len(self.keys) > MEMO_WORDS:
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """The memo's places of distinct words, each behind its space or newline; words that it lacks are encoded."""
+        if len(self.memo) > MEMO_WORDS:
             self._forget()
-        at = np.searchsorted(self.keys, keys)
-        known = np.append(self.keys, np.uint64(0))[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
-        new = np.flatnonzero(~known)
-        if len(new):
-            begin, size, flat, base = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [self.flat], len(self.flat)
-            spelled = spell(new)
-            for spaced in (True, False):
-                own = np.flatnonzero(bare[new] != spaced)
-                ids, size[own] = self._words([spelled[k] for k in own], spaced)
-                begin[own] = base + np.cumsum(size[own]) - size[own]
-                flat.append(ids)
-                base += len(ids)
-            self.flat = np.concatenate(flat)
-            merged = np.concatenate((self.keys, keys[new]))
-            order = np.argsort(merged, kind="stable")
-            self.keys, self.begin, self.size = merged[order], np.concatenate((self.begin, begin))[order], np.concatenate((self.size, size))[order]
-            at = np.searchsorted(self.keys, keys)
-        return at
+        new = [w for w in words if w not in self.memo]
+        for lead in (b" ", b"\n"):
+            own = [w for w in new if w[:1] == lead]
+            ids, size = self._words([w[1:].decode() for w in own], lead == b" ")
+            self.memo.update(zip(own, range(len(self.memo), len(self.memo) + len(own)), strict=True))
+            self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(size) - size))
+            self.size = np.concatenate((self.size, size))
+            self.flat = np.concatenate((self.flat, ids))
+        return np.fromiter(map(self.memo.__getitem__, words), dtype=np.int64, count=len(words))
 
     def _forget(self) -> None:
-        self.keys, self.begin, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.memo: dict[bytes, int] = {}
+        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.array([self.newline], dtype=self.dtype)  # a newline's id has place 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -128,12 +122,16 @@ class BatchEncoder:
         for i, ids in zip(np.flatnonzero(whole), self._ids([t for t, w in zip(texts, whole, strict=True) if w]), strict=True):
             out[i] = ids
         bare = opens | (lead == 10)
-        keys = mix64(words.word_hashes() + bare.astype(np.uint64))
+        hashes = words.word_hashes() ^ bare.astype(np.uint64)
         keep = ~np.repeat(np.array(whole, dtype=bool), np.diff(first))
         at = np.flatnonzero(keep)
-        distinct, where, inverse = np.unique(keys[keep], return_index=True, return_inverse=True)
+        distinct, where, inverse = np.unique(hashes[keep], return_index=True, return_inverse=True)
         raw, where = data.tobytes(), at[where]
-        place = self._learn(distinct, lambda new: [raw[a:b].decode() for a, b in zip(words.starts[where[new]].tolist(), words.ends[where[new]].tolist(), strict=True)], bare[where])
+        odd_ones = at[~self._same(words, raw, at, where[inverse]) | (bare[at] != bare[where[inverse]])]
+        for i in np.unique(np.searchsorted(first, odd_ones, side="right") - 1).tolist():  # another word of the same hash
+            out[i] = self._ids([texts[i]])[0]
+        spelled = zip(bare[where].tolist(), words.starts[where].tolist(), words.ends[where].tolist(), strict=True)
+        place = self._learn([(b"\n" if new_line else b" ") + raw[s:e] for new_line, s, e in spelled])
         begin, size, flat = self.begin[place], self.size[place], self.flat
         broken = (bare & ~opens)[keep]  # a newline's id goes before the word's
         total = size[inverse] + broken
@@ -143,9 +141,24 @@ class BatchEncoder:
         ids = flat[source]
         bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(keep)))[first]]
         for i in np.flatnonzero(~np.array(whole, dtype=bool)):
-            out[i] = ids[bounds[i] : bounds[i + 1]]
+            if out[i] is None:
+                out[i] = ids[bounds[i] : bounds[i + 1]]
         return out
 
+    @staticmethod
+    def _same(words: WordBuffer, raw: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words a and b have the same bytes: the first and last eight at once, those between one by one."""
+        (sa, ea), (sb, eb) = ((words.starts[k], words.ends[k]) for k in (a, b))
+        size = ea - sa
+        same = size == eb - sb
+        cut = LANE_MASKS[np.minimum(size, 8)]
+        same &= (words.lane(sa) & cut) == (words.lane(sb) & cut)
+        more = np.flatnonzero(same & (size > 8))
+        same[more] = words.lane(ea[more] - 8) == words.lane(eb[more] - 8)
+        for k in np.flatnonzero(same & (size > 16)).tolist():
+            same[k] = raw[sa[k] : ea[k]] == raw[sb[k] : eb[k]]
+        return same
+
 
 def _groups(rows: Iterator[tuple], size, most: int) -> Iterator[list]:
     group, total = [], 0
@@ -165,7 +178,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, dictionary: bytes
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = BatchEncoder(tokenizer_path), _compressor(dictionary)
         rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        for group in _groups(rows, lambda r: len(r[1]), 12_000_000):
+        for group in _groups(rows, lambda r: len(r[1]), 6_000_000):
             ids = [np.append(x, encoder.dtype.type(end_id)) for x in encoder.encode([t for _, t in group])]
             yield pa.record_batch(
                 [pa.array([d for d, _ in group], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([packer.compress(x.tobytes()) for x in ids], pa.binary())],

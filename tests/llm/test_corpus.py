@@ -31,6 +31,22 @@ def test_batch_encoder_is_exact():
     assert [x.tolist() for x in got] == plain_ids(texts)
 
 
+@pytest.mark.parametrize("bits", [64, 2])
+def test_no_id_rests_on_a_hash(monkeypatch, bits):
+    """Words that polynomial hashes confuse, and hashes cut to two bits: every word meets many others of its hash."""
+    from oncelog.llm.common import WordBuffer
+
+    whole = WordBuffer.word_hashes
+    monkeypatch.setattr(WordBuffer, "word_hashes", lambda self: whole(self) & np.uint64((1 << bits) - 1))
+    morse = lambda n, a, b: "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+    r = random.Random(9)
+    texts = [f"x {morse(n, *ab)} y\n{morse(n, *ab)}" for n in (1_024, 2_048, 4_096) for ab in ("ab", "ba")] + ["a " + "b" * k + " " + "b" * (k - 1) + "c" for k in range(1, 40)]
+    texts += [" ".join(r.choice(["aa", "bb", "a" * 9, "a" * 17 + "b", "a" * 18, "a" * 8 + "c" + "a" * 9]) for _ in range(30)) for _ in range(50)]
+    encoder = token_output.BatchEncoder(TOKENIZER)
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(texts)] == plain_ids(texts)
+
+
 def test_token_store_round_trip(spark):
     rows = [(i * 3 % 40, t, 7) for i, t in enumerate(ODD)] + [(None, "null id", 7), (5, None, 7), (5, "again again", 7), (99, "long text " * 40_000, 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start long")

@@ -261,7 +261,7 @@ def test_substring_in_batches_with_compaction(spark):
     assert all({i for i, _ in a}.isdisjoint({i for i, _ in b} - {None}) for k, a in enumerate(cuts) for b in cuts[k + 1 :])
     got, index = judged(spark, cuts)
     assert got == brute_substring(rows)
-    assert len(index.runs) < substring_dedup.FANOUT
+    assert len(index.log.runs) < substring_dedup.FANOUT
 
 
 def test_substring_of_texts_that_repeat_themselves(spark):
@@ -273,5 +273,45 @@ def test_substring_of_texts_that_repeat_themselves(spark):
     assert judged(spark, [rows[:1], rows[1:4], rows[4:]])[0] == brute_substring(rows)
 
 
+def forget(spark, log):
+    """What a new session knows: no table, only the files."""
+    for run in log.runs:
+        spark.sql(f"DROP TABLE {run}")
+
+
+def test_indexes_are_opened_by_name(spark):
+    index = exact_dedup.DigestIndex(spark, "digests_kept", buckets=3)
+    index.add(exact_dedup.digests(docs(spark, [(1, "a"), (2, "b")])))
+    index.add(exact_dedup.digests(docs(spark, [(3, "a"), (4, "c")])))
+    forget(spark, index.log)
+    again = exact_dedup.DigestIndex(spark, "digests_kept", buckets=3)
+    assert [r.doc_id for r in exact_dedup.deduplicate(docs(spark, [(9, "a"), (8, "d")]), again).collect()] == [8]
+    again.compact()
+    forget(spark, again.log)
+    assert sorted((r.keep_id, r.n) for r in exact_dedup.DigestIndex(spark, "digests_kept").rows().collect()) == [(2, 1), (4, 1), (8, 1), (9, 3)]
+
+    passage = words(80, 31)
+    rows = [(1, passage), (2, words(60, 32)), (3, passage + " x"), (4, "y " + words(60, 32))]
+    everything = docs(spark, rows)
+    index = substring_dedup.WindowIndex(everything, "windows_kept")
+    covered = index.add(docs(spark, rows[:2]))
+    forget(spark, index.log)
+    covered = covered.unionByName(substring_dedup.WindowIndex(everything, "windows_kept", fanout=2).add(docs(spark, rows[2:])))
+    out = substring_dedup.judge(everything, covered).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in out) == brute_substring(rows)
+    assert len(substring_dedup.WindowIndex(everything, "windows_kept").log.runs) == 1
+
+
+def thue_morse(n, a, b):
+    return [(b if bin(k).count("1") % 2 else a) for k in range(n)]
+
+
+def test_substring_of_words_that_weak_hashes_confuse(spark):
+    one, two = "".join(thue_morse(2_048, "a", "b")), "".join(thue_morse(2_048, "b", "a"))
+    noise = words(60, 41).split()
+    rows = [(1, " ".join(noise + [one])), (2, " ".join(noise[:40] + [two] + noise[:9])), (3, " ".join(thue_morse(200, "x", "y"))), (4, " ".join(thue_morse(200, "y", "x"))), (5, " ".join([two] + noise))]
+    assert judged(spark, [rows])[0] == brute_substring(rows)
+
+
 def test_substring_empty(spark):
     assert judged(spark, [[]])[0] == []

@@ -202,3 +202,70 @@ def test_alignment_is_union_free():
     div = merge(a, b).children[0]
     assert [(c.key, c.optional, c.repeated) for c in div.children] == [("h1", False, False), ("ul", True, False), ("p", False, True)]
     assert div.children[0].constant == "A" and div.children[2].constant is None
+
+
+def test_html_as_it_is_written():
+    cases = {
+        "<html><head><title>T</title><body><article><p>Hello": "Hello",
+        "<title>Out</title><p>In": "In",
+        '<div class="content has-sidebar"><p>Main text</p></div>': "Main text",
+        '<div class="post comment-count"><p>x y</p></div>': "x y",
+        '<body><div class="share-price-news">Shares rose</div>': "Shares rose",
+        "<p title=don't>Text</p><p>more</p>": "Text\nmore",
+        "<article><p>a<button>Buy<p>rest of page</article>": "a\nrest of page",
+        "<p><a href=/x>A block whose text is a link</a></p>": "A block whose text is a link",
+        "<article><p>sum <math><mi>x</mi>=1</math> ok</p></article>": "sum x=1 ok",
+        "<ul><li>a<li>b<ul><li>c</ul><li>d</ul>": "a\nb\nc\nd",
+        "<table><tr><td>1<td>2<tr><td>3</table>": "1\n2\n3",
+        "<dl><dt>t<dd>d<dt>u<dd>e</dl>": "t\nd\nu\ne",
+        "<p>kept<script>var x='</p>'; <p>never": "kept",
+        "<textarea>no</textarea>yes": "yes",
+        "<title>no end<p>text": "no end\ntext",
+        "<p>a < b and <3 x &amp; y&nbsp;z": "a < b and <3 x & y z",
+        "<form id=f><div><p>the whole page is a form</p></div></form>": "the whole page is a form",
+        "<header><h1>Site</h1></header><main><header><h1>Art</h1></header><p>t</p></main>": "Art\nt",
+        "<p>one<hr>two<br>three": "one\ntwo three",
+        "<div hidden>no</div><div style='display: none'>no</div><p aria-hidden=true>no</p><p>yes": "yes",
+        "<select><option>a<option>b<p>text after": "text after",
+        "<svg><title>t</title><text>no</text></svg><p>yes</p>": "yes",
+        "<noscript>enable</noscript><p>ok": "ok",
+        "<div class=sidebar>side</div><div>real text</div>": "real text",
+        "<div class=sidebar>all there is</div>": "all there is",
+        "<nav>only a menu</nav>": "",
+        '<p>cut <a href="abc': "cut",
+        "<!--><p>seen<!-- no --!>too": "seentoo",
+        "<p a = 'x>y' = b>z</p >w": "z\nw",
+    }
+    for source, text in cases.items():
+        assert taken([source]) == [text], source
+    for deep in ("<div>" * 100_000 + "deep" + "</div>" * 100_000, "<div class=a>" * 100_000 + "deep" + "</p></b></li>" * 20_000):
+        assert taken([deep + "<p>after"])[0].split() == ["deep", "after"]
+
+
+def test_the_wrapper_overrules_names():
+    # on this host the element named like an advert holds the text, and one without a name the notice
+    page = '<body><div class="ad-box"><p>Running text of page {k}, which no other page of this host has</p></div><div class="x1"><b>Accept our terms</b></div></body>'
+    assert taken([page.format(k=k) for k in range(4)]) == [f"Running text of page {k}, which no other page of this host has" for k in range(4)]
+    # elsewhere the same names are a prior
+    page = '<body><div class="main"><p>Running text of page {k}, which no other page of this host has</p></div><div class="ad-box">Buy {k}</div></body>'
+    assert taken([page.format(k=k) for k in range(4)]) == [f"Running text of page {k}, which no other page of this host has" for k in range(4)]
+
+
+def test_groups_of_several_elements_repeat():
+    parse, wrap, merge = html_extraction.parse, html_extraction.to_wrapper, html_extraction._merge
+    a, b = (wrap(parse("<div><h1>T</h1>" + "<h2>x</h2><ul></ul><p>y</p>" * n + "<footer></footer></div>")) for n in (2, 5))
+    div = merge(a, b).children[0]
+    assert [(c.key, c.optional, c.repeated) for c in div.children] == [("h1", False, False), ("h2", False, True), ("ul", False, True), ("p", False, True), ("footer", False, False)]
+
+
+def test_wrappers_are_bounded_and_count_everything():
+    r, chars, whole = random.Random(2), 0, None
+    for k in range(300):
+        page = "".join(f"<div class={''.join(r.choice('abcdefghij') for _ in range(4))}><p>{'w' * r.randint(1, 9)}</p></div>" for _ in range(r.randint(1, 30)))
+        w = html_extraction.to_wrapper(html_extraction.parse(page))
+        chars += html_extraction._summarise(html_extraction.to_wrapper(html_extraction.parse(page))).chars
+        whole = html_extraction._bound(w if whole is None else html_extraction._merge(whole, w))
+        assert html_extraction._count(whole) <= html_extraction.MAX_NODES
+    assert whole.summary and whole.chars == chars
+    # below a summary the prior decides for each page
+    assert html_extraction.take(html_extraction.parse("<div class=q><nav>no</nav><p>yes</p><div class=ads>no</div></div>"), "", frozenset(["*div.q"])) == "yes"
