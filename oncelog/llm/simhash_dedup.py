@@ -209,10 +209,10 @@ def deduplicate(docs: DataFrame, **limits: int) -> DataFrame:
     work.keep(kept)
     ord_, th = place(docs)
     if not repeated:
-        return docs.join(kept, (ord_ == kept["_ord"]) & (th == kept["_th"]), "left_semi")
+        return docs.join(kept.hint("merge"), (ord_ == kept["_ord"]) & (th == kept["_th"]), "left_semi")
     a, b = fresh(docs.columns, "ord", "th")
     rows = docs.withColumns({a: ord_, b: th}).dropDuplicates([a, b])
-    return rows.join(kept, (rows[a] == kept["_ord"]) & (rows[b] == kept["_th"]), "left_semi").select(*docs.columns)
+    return rows.join(kept.hint("merge"), (rows[a] == kept["_ord"]) & (rows[b] == kept["_th"]), "left_semi").select(*docs.columns)
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

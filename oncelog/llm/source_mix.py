@@ -63,7 +63,7 @@ def with_keys(docs: DataFrame, quality: DataFrame | None, key: str) -> DataFrame
     if quality is not None:
         extra = fresh([*docs.columns, key], "of", "label")
         best = quality.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(extra[0])).agg(F.max("quality").cast("int").alias(extra[1]))
-        docs = docs.join(best, docs["doc_id"] == best[extra[0]], "left")
+        docs = docs.join(best.hint("merge"), docs["doc_id"] == best[extra[0]], "left")
         weight = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in QUALITY.items() for x in kv)), F.col(extra[1])), F.lit(NEUTRAL))
     digits = F.substring(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256), 1, 12)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)

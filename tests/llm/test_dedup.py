@@ -149,8 +149,8 @@ def test_near_copies_match_a_full_comparison(spark, limits):
     assert sorted((float("inf") if r.doc_id is None else r.doc_id, r.text or "") for r in kept.collect()) == want
 
 
-@pytest.mark.parametrize("pivots, few", [(1, 0), (2, 3), (64, 1)])
-def test_large_blocks_match_a_full_comparison(spark, pivots, few):
+@pytest.mark.parametrize("pivots, few, gain", [(2, 3, 0.0), (64, 1, 0.1), (3, 0, 0.9)])
+def test_large_blocks_match_a_full_comparison(spark, pivots, few, gain):
     r, sets = random.Random(3), []
     for block in range(3):
         base = list(range(1_000 * block, 1_000 * block + 40))
@@ -164,9 +164,9 @@ def test_large_blocks_match_a_full_comparison(spark, pivots, few):
         for b, (q, y) in enumerate(sets[:a]):
             if p == q and len({*x} & {*y}) >= 0.8 * len({*x} | {*y}):
                 comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
-    members = spark.createDataFrame([(b, k, len(x), x) for k, (b, x) in enumerate(sets)], "block long, node long, size int, grams array<long>")
+    members = spark.createDataFrame([(b, k, len(x), [0] * 7, x) for k, (b, x) in enumerate(sets)], "block long, node long, size int, lanes array<long>, grams array<long>")
     work = Workspace(spark)
-    got = {r.node: r.component for r in near_copies._search_large(work.write(members, "members"), work, pivots, few).collect()}
+    got = {r.node: r.component for r in near_copies._search_large(work.write(members, "members"), work, pivots, few, gain).collect()}
     assert [got.get(k, k) for k in range(len(sets))] == comp
     assert {got[k] for k in got} and len(set(comp)) < len(sets)
 
