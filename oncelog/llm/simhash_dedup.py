@@ -181,10 +181,10 @@ def fingerprint_links(fps: DataFrame, work: Workspace, file_limit: int = FILE_LI
         work.drop(crowded)
         return links
     # the side of least fingerprints is written before it is joined, so that Spark can split a centre that many share
-    filed = _centres(crowded)
+    filed = work.write(_centres(crowded), "centres")
     least = work.write(filed.groupBy("centre").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("centre", "a"), "least")
     starred = work.write(filed.join(least, "centre").where("a <> fp").select("a", F.col("fp").alias("b")).distinct(), "starred")
-    work.drop(least, crowded)
+    work.drop(least, crowded, filed)
     return links.unionAll(starred)
 
 
