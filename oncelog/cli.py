@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import gates as G
-from .plans import golden, workload
+from .plans import golden, scenarios, workload
 from .sources.snapshots import load_json, save_json
 
 GATE = "id string, ns string, key string, status string, created_at long, expires_at long, on_timeout string, decided_at long, decided_by string, reason string"
@@ -35,6 +35,23 @@ def decide(gates: DataFrame, gate_id: str, status: str, by: str, reason: str | N
     return gates.withColumns({"decided_at": F.when(hit, F.lit(now)).otherwise(F.col("decided_at")), "decided_by": F.when(hit, by).otherwise(F.col("decided_by")), "reason": F.when(hit, F.lit(reason)).otherwise(F.col("reason")), "status": F.when(hit, status).otherwise(F.col("status"))})
 
 
+def chaos(spark: SparkSession, seeds: int, client: str) -> int:
+    """Plays the scenarios, or the baseline workload by a naive client, and tells what invariants break."""
+    if client == "naive":
+        b = workload.BASELINE
+        played = workload.as_runs(workload.naive(workload.intents(spark, seeds, b["intents"]), *b["deliveries"], b["error"], b["timeout"]))
+        broken = scenarios.violations(played)
+    else:
+        played = scenarios.play(scenarios.defaults(spark, seeds))
+        broken = scenarios.violations(played).unionByName(golden.fuzz_report(spark, 200))
+    for r in workload.rollup(played).orderBy("scenario").toLocalIterator():
+        print(f"{r.scenario or 'total'}: {r.intents} intents, {r.ledger} landed, {r.attempts} attempts, {r.duplicates} duplicates")
+    rules = broken.groupBy("rule").count().orderBy("rule").collect()  # one row for each invariant
+    for r in rules:
+        print(f"{r.rule}: broken {r['count']} times")
+    return 1 if rules else 0
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, now: int | None = None) -> int:
     parser = argparse.ArgumentParser(prog="oncelog")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -50,7 +67,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, now:
         if action in ("approve", "reject"):
             p.add_argument("--by", default="cli")
             p.add_argument("--reason")
-    commands.add_parser("chaos").add_argument("--seeds", type=int, default=workload.SEEDS)
+    suite = commands.add_parser("chaos")
+    suite.add_argument("--seeds", "--seed", type=int, default=workload.SEEDS)
+    suite.add_argument("--client", choices=("engine", "naive"), default="engine")
     try:
         args = parser.parse_args(argv)
     except SystemExit as e:
@@ -58,10 +77,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, now:
     spark = spark or SparkSession.builder.appName("oncelog").getOrCreate()
     now = int(time.time() * 1000) if now is None else now
     if args.command == "chaos":
-        for r in workload.rollup(workload.all_scenarios(spark, args.seeds)).orderBy("scenario").toLocalIterator():
-            print(f"{r.scenario or 'total'}: {r.intents} intents, {r.ledger} landed, {r.attempts} attempts, {r.duplicates} duplicates")
-        violations = workload.all_scenarios(spark, args.seeds).where("landed > 1").count() + golden.fuzz_report(spark, 200).count()
-        return 1 if violations else 0
+        return chaos(spark, args.seeds, args.client)
     state = sweep(load_json(spark, args.state, GATE), now)
     if args.action == "show":
         row = state.where(F.col("id") == args.id).select(F.to_json(F.struct("*"))).first()

@@ -10,13 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-#: Defaults of the contract.
-LEASE_MS, DEADLINE_MS, RETENTION_MS, MAX_RESULT_BYTES, MAX_KEY = 30_000, 60_000, 604_800_000, 65_536, 200
-RETRY_ATTEMPTS, RETRY_BASE_MS, RETRY_CAP_MS, RETRY_AFTER_CAP_MS = 3, 200, 10_000, 60_000
-BUDGET_START, BUDGET_CAP, BUDGET_DEPOSIT, BUDGET_COST = 30, 100, 1, 10
-WINDOW_SIZE, THRESHOLD, MIN_SAMPLES, OPEN_MS, MAX_OPEN_MS, PROBE_MS = 20, 0.5, 5, 30_000, 300_000, 30_000
-POLL_MS, GATE_POLL_MS, GATE_POLL_FACTOR, GATE_POLL_CAP_MS, CLAIM_LEASE_MS, CLAIM_LIMIT = 25, 1_000, 1.5, 60_000, 30_000, 10
-
+from .limits import LEASE_MS, DEADLINE_MS, RETENTION_MS, MAX_RESULT_BYTES, MAX_CONTEXT_BYTES, MAX_KEY, RETRY_ATTEMPTS, RETRY_BASE_MS, RETRY_CAP_MS, RETRY_AFTER_CAP_MS, BUDGET_START, BUDGET_CAP, BUDGET_DEPOSIT, BUDGET_COST, WINDOW_SIZE, THRESHOLD, MIN_SAMPLES, OPEN_MS, MAX_OPEN_MS, PROBE_MS, POLL_MS, GATE_POLL_MS, GATE_POLL_FACTOR, GATE_POLL_CAP_MS, CLAIM_LEASE_MS, CLAIM_LIMIT  # noqa: F401
 
 def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
@@ -123,6 +117,16 @@ def token_is_valid(token: Column, secret: Column, gate_id: Column, now_ms: Colum
     return F.coalesce(same_digest(hmac_sha256_hex(secret, body), mac) & (F.size(parts) == 3) & (F.try_element_at(parts, F.lit(1)) == gate_id) & fresh, F.lit(False))
 
 
+def token_code(token: Column, secret: Column, gate_id: Column, now_ms: Column) -> Column:
+    """E_BAD_TOKEN for a token with any defect, else null."""
+    return F.when(~token_is_valid(token, secret, gate_id, now_ms), "E_BAD_TOKEN")
+
+
+def canonical_json(text: Column) -> Column:
+    """Canonical JSON of a JSON text of any nesting: members sorted by name, no white space; null where it is no JSON (NaN and the like)."""
+    return F.to_json(F.try_parse_json(text))
+
+
 def ascii_text(b: Column) -> Column:
     """Bytes as text where all of them are ASCII, else an empty text."""
     text = F.try_validate_utf8(b.cast("string"))

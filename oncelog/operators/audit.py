@@ -1,22 +1,28 @@
 """The audit log: a sequence and a hash chain for each namespace.
 
 Building a chain is sequential within a namespace by definition (each hash contains the
-last), so it is a fold over that namespace's sorted events. Verifying one is not: each
-row is compared with the recorded hash of the row before it, in one window pass.
+last), so it is one ordered pass over that namespace's events that carries the head alone.
+Verifying one is not: each row is compared with the recorded hash of the row before it, in
+one window pass.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .carry import carry
+
+CHAIN = "ns string, event_id bigint, seq bigint, ts bigint, payload string, prev_hash string, hash string"
+
 
 def _order():  # type: ignore[no-untyped-def]
     return Window.partitionBy("ns").orderBy("seq")
 
 
-
 def sequence(events: DataFrame) -> DataFrame:
     """events with seq 1..n within each namespace."""
     return events.withColumn("seq", F.row_number().over(Window.partitionBy("ns").orderBy("ts", "event_id")).cast("long"))
@@ -32,31 +38,31 @@ def link(prev: Column, content: Column) -> Column:
     return F.sha2(F.concat(F.coalesce(prev, F.lit("")), content).cast("binary"), 256)
 
 
-def chain(events: DataFrame) -> DataFrame:
-    """(ns, event_id, seq, ts, payload, prev_hash, hash) of sequenced events.
+def _linked(head: str | None, row: tuple) -> tuple[str, tuple]:
+    """The next hash of a chain, and the row that records it; the row brings the head that its chain begins with."""
+    ns, seq, event_id, ts, content, first, base = row
+    before = first if head is None else head
+    h = hashlib.sha256(((before or "") + content).encode()).hexdigest()
+    return h, (ns, event_id, seq + base, ts, content, before, h)
 
-    The fold carries one hash for each event, as a namespace's array must hold them.
-    """
-    each = sequence(events).select("ns", F.struct("seq", "event_id", "ts", payload().alias("payload")).alias("e"))
-    logs = each.groupBy("ns").agg(F.array_sort(F.collect_list("e")).alias("log"))
-    empty = F.struct(F.lit(None).cast("string").alias("head"), F.array().cast("array<string>").alias("hashes"))
 
-    def step(s: Column, e: Column) -> Column:
-        h = link(s["head"], e["payload"])
-        return F.struct(h.alias("head"), F.concat(s["hashes"], F.array(h)).alias("hashes"))
+def _built(events: DataFrame, last: DataFrame | None) -> DataFrame:
+    each = sequence(events).select("ns", "seq", F.col("event_id").cast("bigint").alias("event_id"), "ts", payload().alias("payload"))
+    if last is None:
+        each = each.withColumns({"head": F.lit(None).cast("string"), "base": F.lit(0).cast("bigint")})
+    else:
+        each = each.join(last, "ns", "left").withColumn("base", F.coalesce("base", F.lit(0).cast("bigint")))
+    return carry(each.select("ns", "seq", "event_id", "ts", "payload", "head", "base"), "ns", ["seq"], _linked, CHAIN)
 
-    folded = logs.select("ns", "log", F.aggregate("log", empty, step)["hashes"].alias("hashes"))
-    rows = folded.select("ns", F.explode(F.arrays_zip("log", "hashes")).alias("x"))
-    rows = rows.select("ns", "x.log.event_id", "x.log.seq", "x.log.ts", "x.log.payload", F.col("x.hashes").alias("hash"))
-    return rows.withColumn("prev_hash", F.lag("hash").over(_order()))
+
+def chain(events: DataFrame) -> DataFrame:
+    """(ns, event_id, seq, ts, payload, prev_hash, hash) of sequenced events."""
+    return _built(events, None)
 
 
 def heads(events: DataFrame) -> DataFrame:
-    """ns, seq, head_hash: the end of each chain, with nothing but the head carried."""
-    each = sequence(events).select("ns", F.struct("seq", payload().alias("payload")).alias("e"))
-    logs = each.groupBy("ns").agg(F.array_sort(F.collect_list("e")).alias("log"))
-    head = F.aggregate("log", F.lit(None).cast("string"), lambda h, e: link(h, e["payload"]))
-    return logs.select("ns", F.size("log").cast("long").alias("seq"), head.alias("head_hash"))
+    """ns, seq, head_hash: the end of each chain."""
+    return chain(events).groupBy("ns").agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("head_hash"))
 
 
 def verify(rows: DataFrame) -> DataFrame:
@@ -97,15 +103,4 @@ def append(log: DataFrame | None, inputs: DataFrame) -> DataFrame:
     if log is None:
         return chain(inputs)
     last = log.groupBy("ns").agg(F.max_by("hash", "seq").alias("head"), F.max("seq").alias("base"))
-    each = sequence(inputs).select("ns", F.struct("seq", "event_id", "ts", payload().alias("payload")).alias("e"))
-    logs = each.groupBy("ns").agg(F.array_sort(F.collect_list("e")).alias("log")).join(last, "ns", "left")
-    start = F.struct(F.col("head").alias("head"), F.array().cast("array<string>").alias("hashes"))
-
-    def step(s: Column, e: Column) -> Column:
-        h = link(s["head"], e["payload"])
-        return F.struct(h.alias("head"), F.concat(s["hashes"], F.array(h)).alias("hashes"))
-
-    folded = logs.select("ns", "log", "head", F.coalesce("base", F.lit(0).cast("long")).alias("base"), F.aggregate("log", start, step)["hashes"].alias("hashes"))
-    rows = folded.select("ns", "head", "base", F.explode(F.arrays_zip("log", "hashes")).alias("x"))
-    rows = rows.select("ns", "head", "x.log.event_id", (F.col("x.log.seq") + F.col("base")).alias("seq"), "x.log.ts", "x.log.payload", F.col("x.hashes").alias("hash"))
-    return rows.withColumn("prev_hash", F.coalesce(F.lag("hash").over(_order()), "head")).drop("head")
+    return _built(inputs, last)

@@ -43,7 +43,7 @@ def replays(deliveries: DataFrame) -> DataFrame:
 
 def key_conflicts(deliveries: DataFrame) -> DataFrame:
     """Deliveries whose fingerprint differs from the one stored with the effect; null compares with nothing."""
-    stored = F.first("fp").over(_first().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    stored = F.first("fp").over(_first().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return deliveries.withColumn("stored", stored).where("fp <> stored").select("ns", "key", "delivery_no", F.col("stored").alias("expected"), F.col("fp").alias("got"))
 
 
@@ -85,6 +85,18 @@ def sweep(effects: DataFrame, now: Column) -> DataFrame:
     return effects.where((F.col("expires_at") <= now) & (F.col("status") != "in_flight"))
 
 
+def settle_unexecuted(deliveries: DataFrame, effects: DataFrame, policy: Column) -> DataFrame:
+    """What callers get while the breaker is open: a conflict first, then what is stored, else a refusal.
+
+    ``effects`` has the stored fingerprint as ``stored``; a parked effect is told under the policy ``fail`` alone.
+    """
+    told = (
+        F.when(F.col("fp") != F.col("stored"), "E_KEY_CONFLICT").when(F.col("status") == "succeeded", "replayed").when(F.col("status") == "failed", "E_EFFECT_FAILED")
+        .when((F.col("status") == "indeterminate") & (policy == "fail"), "E_INDETERMINATE").otherwise("E_CIRCUIT_OPEN")
+    )
+    return deliveries.join(effects, [*KEY], "left").select(*KEY, "delivery_no", told.alias("settled"))
+
+
 def policies(parked: DataFrame, policy: Column) -> DataFrame:
     """What a claim on a parked effect does under its policy."""
     action = F.when(policy == "reclaim", "claimed").when(policy == "gate", "gate_opened").otherwise("E_INDETERMINATE")

@@ -43,9 +43,17 @@ def resolve(gates: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def claimable(states: DataFrame, limit: int = S.CLAIM_LIMIT) -> DataFrame:
-    """Decided gates that nobody holds, oldest first; cancelled ones are never handed out."""
-    return states.where(F.col("status").isin("approved", "rejected", "timed_out")).orderBy("created_at", "id").limit(limit)
+def claimable(states: DataFrame, limit: int = S.CLAIM_LIMIT, claims: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """Decided gates that nobody holds at ``now``, oldest first; cancelled ones are never handed out.
+
+    With claims and acks (id, ts, owner, op) so far, gates that are held under a lease in
+    force, or done with, are left out.
+    """
+    free = states.where(F.col("status").isin("approved", "rejected", "timed_out"))
+    if claims is not None:
+        held = lifecycle(claims.where(F.col("ts") <= now)).where(F.col("processed_at").isNotNull() | (F.col("until") >= now))
+        free = free.join(held.select("id"), "id", "left_anti")
+    return free.orderBy("created_at", "id").limit(limit)
 
 
 def poll_observation(start: Column, at: Column, steps: int = 40) -> Column:
@@ -64,6 +72,14 @@ def poll_observation(start: Column, at: Column, steps: int = 40) -> Column:
     return start + F.coalesce(F.get(F.filter(grid, lambda o: o >= gap), 0), beyond)
 
 
+def waits(states: DataFrame, start: Column, max_wait_ms: int) -> DataFrame:
+    """id, observed_at, code: when a waiter sees each gate's end, or gives up at ``max_wait_ms`` (its last look)."""
+    limit = start + float(max_wait_ms)
+    seen = F.least(poll_observation(start, F.greatest(F.coalesce("decided_at", start), start)), limit)
+    over = F.col("decided_at").isNull() | (F.col("decided_at") > limit)
+    return states.select("id", F.when(over, limit).otherwise(seen).alias("observed_at"), F.when(over, "E_WAIT_TIMEOUT").alias("code"))
+
+
 def lifecycle(claims: DataFrame) -> DataFrame:
     """Folds (id, ts, owner, op) of claims and acks into holder and processed_at of each gate.
 
@@ -80,4 +96,4 @@ def lifecycle(claims: DataFrame) -> DataFrame:
         acks = (c["op"] == "ack") & s["processed_at"].isNull() & (s["owner"] == c["owner"])
         return F.when((c["op"] == "claim") & free, taken).when(acks, done).otherwise(s)
 
-    return log.select("id", F.aggregate("log", start, step).alias("s")).select("id", "s.owner", "s.processed_at", "s.claims")
+    return log.select("id", F.aggregate("log", start, step).alias("s")).select("id", "s.owner", "s.until", "s.processed_at", "s.claims")

@@ -5,32 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import golden, workload
+from ..operators import metrics
+from ..sources.snapshots import restore, save
+from . import golden, scenarios, workload
+
+FUZZED = 200
+
+
+def latency(samples: DataFrame) -> DataFrame:
+    """samples, p50, p99 of (ms): one row."""
+    one = metrics.percentile(samples, "ms", 0.5).join(metrics.percentile(samples, "ms", 0.99))  # a row each
+    return samples.agg(F.count(F.lit(1)).alias("samples")).join(one)
 
 
 def results(spark: SparkSession, seeds: int = workload.SEEDS) -> DataFrame:
-    """One row: totals, scenarios, both baselines, goldens and fuzz cases."""
-    rows = workload.rollup(workload.all_scenarios(spark, seeds))
+    """One row: totals, scenarios, both baselines, amplification, latency, invariants, goldens and fuzz cases."""
+    played = restore(spark, save(scenarios.play(scenarios.defaults(spark, seeds)), "played"))  # a few hundred rows that eight figures are read from
+    rows = workload.rollup(workload.of_runs(played))
     counts = ["intents", "deliveries", "ledger", "attempts", "duplicates"]
-    scenarios = rows.where("scenario IS NOT NULL").agg(F.array_sort(F.collect_list(F.struct("scenario", *counts))).alias("scenarios"))
-    totals = rows.where("scenario IS NULL").select(F.struct(*counts).alias("totals"))
+    parts = [rows.where("scenario IS NULL").select(F.struct(*counts).alias("totals"))]
+    parts.append(rows.where("scenario IS NOT NULL").agg(F.array_sort(F.collect_list(F.struct("scenario", *counts))).alias("scenarios")))
     b = workload.BASELINE
     work = workload.intents(spark, seeds, b["intents"])
-    naive = workload.naive(work, *b["deliveries"], b["error"], b["timeout"]).agg(
-        F.struct(F.sum("deliveries").alias("deliveries"), F.sum("attempts").alias("attempts"), F.sum(F.greatest(F.lit(0), F.col("landed") - 1)).alias("duplicates"), F.avg(F.col("succeeded").cast("int")).alias("success_rate")).alias("naive")
+    dup = F.sum(F.greatest(F.lit(0), F.col("landed") - 1)).cast("bigint").alias("duplicates")
+    parts.append(
+        workload.naive(work, *b["deliveries"], b["error"], b["timeout"]).agg(
+            F.struct(F.sum("deliveries").alias("deliveries"), F.sum("attempts").alias("attempts"), dup, F.avg(F.col("succeeded").cast("int")).alias("success_rate")).alias("naive")
+        )
     )
-    engine = workload.client(work, b["error"], b["timeout"], breaker=False).agg(
-        F.struct(F.sum("attempts").alias("attempts"), F.lit(0).alias("duplicates"), F.avg((F.col("code") == "ok").cast("int")).alias("success_rate"), F.avg((F.col("code") == "E_INDETERMINATE").cast("int")).alias("fail_closed_rate")).alias("engine")
+    parts.append(
+        workload.client(work, b["error"], b["timeout"], breaker=False).agg(
+            F.struct(F.sum("attempts").alias("attempts"), dup, F.avg((F.col("code") == "ok").cast("int")).alias("success_rate"), F.avg((F.col("code") == "E_INDETERMINATE").cast("int")).alias("fail_closed_rate")).alias("engine")
+        )
     )
-    bad = golden.differences(golden.fixtures(spark), golden.traces(spark)).agg(F.count_distinct("id").alias("bad"))
-    goldens = bad.select(F.struct(F.lit(len(golden.FIXTURES)).alias("total"), (len(golden.FIXTURES) - F.col("bad")).alias("passed")).alias("golden"))
-    fuzz = golden.fuzz_report(spark, 200).agg(F.struct(F.lit(200).alias("seeds"), F.count(F.lit(1)).alias("violations")).alias("fuzz"))
-    out = totals
-    for part in (scenarios, naive, engine, goldens, fuzz):  # each is one row
+    storm = rows.where("scenario = 'retry-storm'")
+    parts.append(storm.agg(F.first(metrics.round4(F.col("attempts") / F.col("intents"))).alias("amplification")))
+    parts.append(latency(played.select(F.explode("durations").alias("ms"))).select(F.struct("samples", "p50", "p99").alias("latency")))
+    parts.append(scenarios.violations(played).agg(F.count(F.lit(1)).alias("violations")))
+    fixtures = golden.fixtures(spark)
+    bad = golden.differences(golden.expected(fixtures), golden.replay(fixtures)).select("id").distinct()
+    both = fixtures.select("id").join(bad.withColumn("bad", F.lit(True)), "id", "left")
+    parts.append(both.agg(F.struct(F.count(F.lit(1)).alias("total"), F.count_if(F.col("bad").isNull()).alias("passed")).alias("golden")))
+    parts.append(golden.fuzz_report(spark, FUZZED).agg(F.struct(F.lit(FUZZED).alias("seeds"), F.count(F.lit(1)).alias("violations")).alias("fuzz")))
+    out = parts[0]
+    for part in parts[1:]:  # each is one row
         out = out.join(F.broadcast(part))
     return out
 
 
+def write(result: DataFrame, folder: str, day: str, revision: str) -> None:
+    """The results as JSON, as the latest and under their day and revision."""
+    stamped = result.withColumns({"day": F.lit(day), "revision": F.lit(revision)})
+    for name in ("latest", f"{day}-{revision}"):
+        stamped.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}")
+
+
 def markdown(row) -> str:  # type: ignore[no-untyped-def]
     """The report of one collected result row."""
     lines = ["| Scenario | intents | deliveries | ledger | attempts | duplicates |", "|---|---|---|---|---|---|"]
@@ -38,6 +67,8 @@ def markdown(row) -> str:  # type: ignore[no-untyped-def]
     percent = lambda x: f"{round(100 * x)} %"
     lines += ["", f"Naive: {percent(row.naive.success_rate)} succeeded, {row.naive.duplicates:,} duplicates, {row.naive.attempts:,} attempts.",
               f"Engine: {percent(row.engine.success_rate)} succeeded, {row.engine.duplicates} duplicates, {row.engine.attempts:,} attempts, {percent(row.engine.fail_closed_rate)} failed closed.",
+              f"Retry amplification under a storm: {row.amplification}. Invariants broken: {row.violations}.",
+              f"Runs: {row.latency.samples:,}, p50 {row.latency.p50:,} ms, p99 {row.latency.p99:,} ms of virtual time.",
               f"Golden traces: {row.golden.passed} of {row.golden.total}. Fuzz cases: {row.fuzz.seeds}, violations: {row.fuzz.violations}."]
     return "\n".join(lines) + "\n"
 

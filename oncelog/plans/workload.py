@@ -2,34 +2,19 @@
 
 Every fault is a pure draw from (seed, label), so a workload of any size is a projection
 over ``spark.range`` and needs no shuffle; only clients whose calls share a breaker are
-folded, one group for each (seed, worker).
+folded, one group for each (seed, worker): see ``storm``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import faults
 from ..functions import scalars as S
+from . import scenarios, storm
 
 SEEDS = 10
-#: The scenarios' default plans and sizes.
-SCENARIOS = {
-    "duplicate-delivery": {"intents": 6, "deliveries": (2, 5), "per": 1},
-    "timeout-then-success": {"intents": 6, "deliveries": (2, 2), "per": 1},
-    "crash-mid-effect": {"intents": 3, "deliveries": (2, 2), "per": 1},
-    "crash-before-effect": {"intents": 3, "deliveries": (2, 2), "per": 0},
-    "crash-mid-gate": {"intents": 2, "deliveries": (2, 2), "per": 1},
-    "retry-storm": {"intents": 40, "deliveries": (1, 1), "error": 0.3},
-    "clock-skew": {"intents": 4, "deliveries": (2, 2), "per": 1},
-    "slow-downstream": {"intents": 4, "deliveries": (1, 1), "latency": (5_000, 90_000), "per": 1},
-    "out-of-order-decision": {"intents": 6, "deliveries": (0, 0), "per": 0},
-}
 BASELINE = {"intents": 20, "deliveries": (2, 5), "error": 0.15, "timeout": 0.15, "attempts": 3}
 
 
@@ -86,103 +71,33 @@ def playground_high(rate: Column) -> Column:
     return (1 + F.greatest(F.lit(1), F.floor(4 * rate + 0.5))).cast("int")
 
 
-def client(work: DataFrame, error: float, timeout: float = 0.0, breaker: bool = True, draws: int = 512) -> DataFrame:
-    """seed, intent, attempts, landed, code of calls of one worker, which share a retry budget and, if any, a breaker.
-
-    Arrivals are one second apart. Time, budget, window and the place in the worker's
-    jitter stream all depend on the calls before, so each seed is one fold.
-    """
+def client(work: DataFrame, error: float, timeout: float = 0.0, breaker: bool = True) -> DataFrame:
+    """seed, intent, attempts, landed, code of calls of one worker, which share a retry budget and, if any, a breaker."""
     x = _fault_lists(work, S.RETRY_ATTEMPTS, error, timeout)
-    stream = faults.fnv1a(F.concat(F.col("seed").cast("string"), F.lit(":jitter:w1")))
-    x = x.withColumn("s", stream)
-    x = x.withColumn("jitter", F.when(F.col("i") == 0, F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda k: faults.mulberry32(F.col("s"), k))))
-
-    start, cap, deposit, cost, size = S.BUDGET_START, S.BUDGET_CAP, S.BUDGET_DEPOSIT, S.BUDGET_COST, S.WINDOW_SIZE
-    least, threshold, first_open, longest_open = S.MIN_SAMPLES, S.THRESHOLD, S.OPEN_MS, S.MAX_OPEN_MS
-    most, base_delay, longest_delay = S.RETRY_ATTEMPTS, S.RETRY_BASE_MS, S.RETRY_CAP_MS
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("i")
-        jitter: Iterator[float] = iter(group["jitter"].iloc[0])
-        now, budget, window, opened, open_ms, opens = 0.0, start, [], None, 0, 0
-        rows = []
-
-        def trip() -> None:
-            nonlocal opened, open_ms, opens, window
-            opens += 1
-            base = min(longest_open, first_open * 2 ** (opens - 1))
-            open_ms = int(np.floor(base * (0.8 + 0.4 * next(jitter)) + 0.5))
-            opened, window = now, []
-
-        for seed, intent, planned in zip(group["seed"], group["intent"], group["faults"], strict=True):
-            probe = opened is not None
-            if probe and now < opened + open_ms:
-                rows.append((seed, intent, 0, 0, "E_CIRCUIT_OPEN"))
-                now += 1_000
-                continue
-            budget = min(cap, budget + deposit)
-            tries, code = 0, None
-            while code is None:
-                ok, lost = planned[tries] == "ok", planned[tries] == "timeout"
-                tries += 1
-                if probe:
-                    if ok:
-                        opened, opens, window = None, 0, []
-                    else:
-                        trip()
-                elif breaker and opened is None:
-                    window = [*window, int(not ok)][-size :]
-                    if len(window) >= least and sum(window) >= threshold * len(window):
-                        trip()
-                if ok:
-                    code = "ok"
-                elif lost:  # the answer is lost, the effect is not: never retried
-                    code = "E_INDETERMINATE"
-                elif tries >= (1 if probe else most):
-                    code = "E_EFFECT_FAILED"
-                elif budget < cost:
-                    code = "E_RETRY_BUDGET"
-                else:
-                    budget -= cost
-                    now += next(jitter) * min(longest_delay, base_delay * 2**tries)
-            rows.append((seed, intent, tries, int(ok or lost), code))
-            now += 1_000
-        return pd.DataFrame(rows, columns=["seed", "intent", "attempts", "landed", "code"])
-
-    return x.select("seed", "i", "intent", "faults", "jitter").groupBy("seed").applyInPandas(run, "seed int, intent string, attempts long, landed long, code string")
+    x = x.withColumns({"case": F.col("seed").cast("string"), "tries": F.lit(S.RETRY_ATTEMPTS), "latencies": F.array_repeat(F.lit(0).cast("bigint"), S.RETRY_ATTEMPTS)})
+    return storm.calls(x, breaker).select("seed", F.concat(F.lit("intent-"), F.col("i").cast("string")).alias("intent"), "attempts", "landed", "code")
+
+
+def of_runs(played: DataFrame) -> DataFrame:
+    """scenario, seed, intent, deliveries, attempts, landed, status of played intents; a gate without an effect tells its own state."""
+    status = F.coalesce("status", F.when(F.col("effect_key").isNull(), F.col("gate")), F.lit("none"))
+    return played.select("scenario", "seed", "intent", "deliveries", "attempts", "landed", status.alias("status"))
 
 
 def scenario(spark: SparkSession, name: str, seeds: int = SEEDS) -> DataFrame:
-    """scenario, seed, intent, deliveries, attempts, landed, status of every intent of a scenario."""
-    p = SCENARIOS[name]
-    work = intents(spark, seeds, p["intents"])
-    low, high = p["deliveries"]
-    n = faults.deliveries_for(F.col("seed"), F.col("intent"), low, high) if high else F.lit(0)
-    if name == "retry-storm":
-        calls = client(work, p["error"])
-        status = F.when(F.col("code") == "ok", "succeeded").when(F.col("code") == "E_CIRCUIT_OPEN", "none").otherwise("failed")
-        return calls.select(F.lit(name).alias("scenario"), "seed", "intent", F.lit(1).cast("long").alias("deliveries"), "attempts", "landed", status.alias("status"))
-    status = {
-        "duplicate-delivery": F.lit("succeeded"),
-        "timeout-then-success": F.lit("indeterminate"),
-        "crash-mid-effect": F.lit("indeterminate"),
-        "crash-before-effect": F.lit("indeterminate"),
-        "crash-mid-gate": F.lit("succeeded"),
-        # a skew of half a lease is within the ceiling, twice a lease parks the winner
-        "clock-skew": F.when(F.col("i") % 2 == 1, "indeterminate").otherwise("succeeded"),
-        "slow-downstream": F.when(faults.latency_for(F.col("seed"), F.col("intent"), F.lit(1), *p.get("latency", (0, 0))) >= S.DEADLINE_MS, "indeterminate").otherwise("succeeded"),
-        "out-of-order-decision": F.element_at(F.array(F.lit("approved"), F.lit("rejected"), F.lit("timed_out")), F.col("i") % 3 + 1),
-    }[name]
-    per = F.lit(p["per"]).cast("long")
-    return work.select(F.lit(name).alias("scenario"), "seed", "intent", n.cast("long").alias("deliveries"), per.alias("attempts"), per.alias("landed"), status.alias("status"))
+    return of_runs(scenarios.play(scenarios.defaults(spark, seeds, [name])))
 
 
 def all_scenarios(spark: SparkSession, seeds: int = SEEDS) -> DataFrame:
-    out = None
-    for name in SCENARIOS:
-        own = scenario(spark, name, seeds)
-        out = own if out is None else out.unionAll(own)
-    return out
+    return of_runs(scenarios.play(scenarios.defaults(spark, seeds)))
+
+
+def as_runs(landings: DataFrame) -> DataFrame:
+    """Landings of a client without a store (seed, intent, deliveries, attempts, landed, succeeded) in the form of runs."""
+    x = landings.select(F.col("seed").cast("string").alias("case"), "intent", "deliveries", "attempts", "landed", F.col("succeeded").cast("bigint").alias("reported"), F.when(F.col("succeeded"), "succeeded").otherwise("failed").alias("status"))
+    none = {"scenario": "string", "gate": "string", "parked_at": "bigint", "called_at": "bigint", "reclaimed": "boolean", "expires_at": "bigint", "decided_at": "bigint"}
+    told = F.array(F.lit("effect.claimed"), F.concat(F.lit("effect."), "status"))
+    return x.withColumns({name: F.lit(None).cast(kind) for name, kind in none.items()} | {"replays": F.lit(0).cast("bigint"), "events": told, "scenario": F.lit("naive")})
 
 
 def rollup(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
@@ -60,10 +61,11 @@ def audit_export(spark, sf):
     return A.pages(A.sequence(T.audit_log(spark, sf))).select("ns", "event_id", "seq", "page")
 
 
-@query(T.oracle("SELECT subject_key, string_agg(type, ' ' ORDER BY ts, event_id) AS trace FROM audit GROUP BY subject_key", "audit"))
+@query(T.oracle("SELECT subject_key, row_number() OVER (PARTITION BY subject_key ORDER BY ts, event_id) AS place, type FROM audit", "audit"))
 def event_trace(spark, sf):
-    x = T.audit_log(spark, sf).groupBy("subject_key").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "type"))).alias("t"))
-    return x.select("subject_key", F.array_join("t.type", " ").alias("trace"))
+    """Each subject's events in order, a row for each: a subject may have any number."""
+    w = Window.partitionBy("subject_key").orderBy("ts", "event_id")
+    return T.audit_log(spark, sf).select("subject_key", F.row_number().over(w).cast("long").alias("place"), "type")
 
 
 @query(T.oracle("SELECT subject_key, count(*) AS published FROM audit WHERE type = 'effect.succeeded' GROUP BY subject_key", "audit"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import errors as X
 from ..functions import scalars as S
 from ..operators import breaker as B
 from ..operators import commands as C
 from ..operators import effects as E
+from ..operators import retries as RL
 from ..sources import tables as T
 from .registry import query
 
@@ -92,12 +94,15 @@ def indeterminate_policy(spark, sf):
     return E.policies(effects(spark, sf).where("status = 'indeterminate'"), policy).select("ns", "key", "action", "next_attempt")
 
 
-@query(T.oracle("""SELECT d.ns, d.key, d.delivery_no, CASE WHEN e.status = 'succeeded' THEN 'replayed' WHEN e.status = 'failed' THEN 'E_EFFECT_FAILED' WHEN e.status = 'indeterminate' THEN 'E_INDETERMINATE' ELSE 'E_CIRCUIT_OPEN' END AS settled
-    FROM deliveries d LEFT JOIN effects e USING (ns, key) WHERE d.delivery_no > 1""", "deliveries", more=f"{_WIN}, {_EFFECTS}"))
+@query(T.oracle(f"""SELECT d.ns, d.key, d.delivery_no, CASE WHEN d.fp <> w.fp THEN 'E_KEY_CONFLICT' WHEN e.status = 'succeeded' THEN 'replayed' WHEN e.status = 'failed' THEN 'E_EFFECT_FAILED'
+    WHEN e.status = 'indeterminate' AND {_POLICY.replace('key::', 'd.key::')} = 'fail' THEN 'E_INDETERMINATE' ELSE 'E_CIRCUIT_OPEN' END AS settled
+    FROM deliveries d LEFT JOIN effects e USING (ns, key) LEFT JOIN win w USING (ns, key) WHERE d.delivery_no > 1""", "deliveries", more=f"{_WIN}, {_EFFECTS}"))
 def circuit_open_settle(spark, sf):
-    """What callers get while the breaker is open: stored outcomes, else a refusal."""
-    told = F.when(F.col("status") == "succeeded", "replayed").when(F.col("status") == "failed", "E_EFFECT_FAILED").when(F.col("status") == "indeterminate", "E_INDETERMINATE").otherwise("E_CIRCUIT_OPEN")
-    return T.deliveries(spark, sf).where("delivery_no > 1").join(effects(spark, sf), ["ns", "key"], "left").select("ns", "key", "delivery_no", told.alias("settled"))
+    """What callers get while the breaker is open."""
+    policy = F.element_at(F.array(F.lit("fail"), F.lit("reclaim"), F.lit("gate")), (F.col("key").cast("long") % 3 + 1).cast("int"))
+    d = T.deliveries(spark, sf)
+    stored = effects(spark, sf).select("ns", "key", "status").join(E.claim_winners(d).select("ns", "key", F.col("fp").alias("stored")), ["ns", "key"])
+    return E.settle_unexecuted(d.where("delivery_no > 1"), stored, policy)
 
 
 @query(T.oracle("SELECT ns, key, delivery_no, CASE WHEN latency_ms > 30000 THEN 'indeterminate' WHEN fault = 'ok' THEN 'succeeded' ELSE 'failed' END AS status, CASE WHEN latency_ms > 30000 THEN 'E_DEADLINE' END AS stored_code FROM deliveries", "deliveries"))
@@ -133,6 +138,12 @@ def rolling_failure_ratio(spark, sf):
     return B.rolling_ratio(T.outcomes(spark, sf))
 
 
+@query()
+def circuit_events(spark, sf):
+    """Every opening, probe and closing of the breakers."""
+    return B.events(T.outcomes(spark, sf))
+
+
 @query()
 def circuit_fold(spark, sf):
     """State of each breaker: path-dependent, held against a plain loop in the tests."""
@@ -145,10 +156,11 @@ def circuit_get(spark, sf):
     return circuit_fold(spark, sf).where("circuit = 'c3'")
 
 
-@query(T.oracle("SELECT circuit, max(n) AS version, count(*) AS applied, 0::BIGINT AS refused FROM outcomes WHERE n <= 10 GROUP BY circuit", "outcomes"))
+@query(T.oracle("SELECT circuit, count(*) - count(*) // 7 AS version, count(*) - count(*) // 7 AS applied, count(*) // 7 AS refused FROM outcomes GROUP BY circuit", "outcomes"))
 def circuit_cas(spark, sf):
-    """Conditional writes in a row: each expects the version that the one before left."""
-    x = T.outcomes(spark, sf).where("n <= 10").select("circuit", "n", F.when(F.col("n") > 1, F.col("n") - 1).alias("expected"))
+    """Conditional writes in a row: each expects the version that the one before left, but every seventh an older one."""
+    left = F.col("n") - 1 - F.floor((F.col("n") - 1) / 7)
+    x = T.outcomes(spark, sf).select("circuit", "n", F.when(F.col("n") > 1, left - F.when(F.col("n") % 7 == 0, 1).otherwise(0)).alias("expected"))
     return B.compare_and_set(x)
 
 
@@ -168,6 +180,36 @@ def retry_budget(spark, sf):
     return B.budget(x)
 
 
+_TRIES = """tries AS (SELECT key, delivery_no AS n, fault, latency_ms // 10 AS latency, CASE WHEN qty % 5 = 0 THEN qty * 2000 END AS hint, least(3, max(delivery_no) OVER (PARTITION BY key)) AS most FROM deliveries),
+    loop AS (SELECT DISTINCT key, 0::BIGINT AS n, 0::BIGINT AS clock, (key::BIGINT % 3) * 10 + 1 AS balance, NULL::VARCHAR AS status, NULL::VARCHAR AS code, false AS ended FROM tries
+      UNION ALL SELECT l.key, t.n, CASE WHEN again THEN now + wait ELSE now END, l.balance - CASE WHEN again OR too_late THEN 10 ELSE 0 END,
+        CASE WHEN late OR fault = 'timeout' THEN 'indeterminate' WHEN fault = 'ok' THEN 'succeeded' WHEN again THEN NULL ELSE 'failed' END,
+        CASE WHEN late THEN 'E_DEADLINE' WHEN fault = 'ok' OR again THEN NULL WHEN fault = 'timeout' THEN 'E_INDETERMINATE' WHEN last OR far THEN 'E_EFFECT_FAILED' WHEN l.balance < 10 THEN 'E_RETRY_BUDGET' ELSE 'E_DEADLINE' END, NOT again
+      FROM loop l JOIN tries t ON t.key = l.key AND t.n = l.n + 1,
+        LATERAL (SELECT l.clock + t.latency >= 60000 AS late, least(l.clock + t.latency, 60000) AS now, t.n >= t.most AS last, coalesce(t.hint > 60000, false) AS far, coalesce(t.hint, (0.5 * least(10000, 200 * 2 ** t.n))::BIGINT) AS wait),
+        LATERAL (SELECT NOT late AND fault = 'error' AND NOT last AND NOT far AND l.balance >= 10 AND now + wait > 60000 AS too_late, NOT late AND fault = 'error' AND NOT last AND NOT far AND l.balance >= 10 AND now + wait <= 60000 AS again)
+      WHERE NOT l.ended)"""
+
+
+@query(T.oracle("SELECT key, n::INTEGER AS attempts, clock AS ended_at, balance, status, code FROM loop WHERE ended", "deliveries", more=_TRIES, recursive=True))
+def retry_loop(spark, sf):
+    """Each key's deliveries as the attempts of one call, with hints, a thin budget and the deadline."""
+    d = T.deliveries(spark, sf)
+    kind = F.when(F.col("fault") == "ok", "ok").when(F.col("fault") == "error", "retryable").otherwise("indeterminate")
+    one = F.struct(F.col("delivery_no").alias("n"), kind.alias("kind"), F.floor(F.col("latency_ms") / 10).cast("long").alias("latency"), F.when(F.col("qty") % 5 == 0, F.col("qty") * 2_000).alias("hint"), F.lit(0.5).alias("u"))
+    calls = d.groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("tries"))
+    calls = calls.select("key", "tries", F.least(F.lit(3), F.size("tries")).alias("most"), (F.col("key").cast("long") % 3 * 10 + 1).alias("balance"))
+    return RL.resolve(calls, "key").select("key", "attempts", F.col("at").alias("ended_at"), "balance", "status", "code")
+
+
+@query(T.oracle("""SELECT ns, key, delivery_no, told AS code, told = 'E_STORE' AS retryable, told = 'E_INDETERMINATE' AS indeterminate FROM (SELECT d.ns, d.key, d.delivery_no, CASE w.fault WHEN 'error' THEN 'E_EFFECT_FAILED' WHEN 'timeout' THEN 'E_INDETERMINATE' END AS told
+    FROM deliveries d JOIN win w USING (ns, key) WHERE d.delivery_no <> w.delivery_no)""", "deliveries", more=_WIN))
+def error_flags(spark, sf):
+    """What replayed callers are told, with what they may make of it."""
+    x = E.replays(T.deliveries(spark, sf)).select("ns", "key", "delivery_no", F.when(F.col("told") != "replayed", F.col("told")).alias("code"))
+    return x.select("*", X.retryable(F.col("code")).alias("retryable"), X.indeterminate(F.col("code")).alias("indeterminate"))
+
+
 _LOG = """firsts AS (SELECT *, worker || ':' || delivery_no AS owner FROM deliveries),
     commands AS (SELECT ns, key, row_number() OVER (PARTITION BY ns, key ORDER BY tick, n) AS step, * EXCLUDE (ns, key) FROM (
         SELECT ns, key, delivery_no * 4 AS n, 'claim' AS op, ts AS tick, owner, fp, NULL AS ends FROM firsts UNION ALL

@@ -109,12 +109,47 @@ def gate_wait(spark, sf):
     return x.select("id", G.poll_observation(F.col("created_at"), F.col("decided_at")).alias("observed_at"))
 
 
-@query()
+_HELD = """claims AS (SELECT 'gate-' || key AS id, ts, worker AS owner, CASE WHEN fault = 'ok' THEN 'ack' ELSE 'claim' END AS op FROM deliveries),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, owner, op) AS step FROM claims),
+    held AS (SELECT DISTINCT id, 0::BIGINT AS step, NULL::VARCHAR AS owner, NULL::BIGINT AS until, NULL::BIGINT AS processed_at, 0::BIGINT AS claims FROM claims
+      UNION ALL SELECT h.id, c.step, CASE WHEN takes THEN c.owner ELSE h.owner END, CASE WHEN takes THEN c.ts + 30000 ELSE h.until END, CASE WHEN acks THEN c.ts ELSE h.processed_at END, h.claims + CASE WHEN takes THEN 1 ELSE 0 END
+      FROM held h JOIN ordered c ON c.id = h.id AND c.step = h.step + 1,
+        LATERAL (SELECT c.op = 'claim' AND h.processed_at IS NULL AND (h.owner IS NULL OR h.until < c.ts) AS takes, coalesce(c.op = 'ack' AND h.processed_at IS NULL AND h.owner = c.owner, false) AS acks)),
+    lives AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY step DESC) AS rn FROM held) WHERE rn = 1)"""
+
+
+def _claims(spark, sf):
+    op = F.when(F.col("fault") == "ok", "ack").otherwise("claim")
+    return T.deliveries(spark, sf).select(F.concat(F.lit("gate-"), "key").alias("id"), "ts", F.col("worker").alias("owner"), op.alias("op"))
+
+
+@query(T.oracle("SELECT id, owner, processed_at, claims FROM lives", "deliveries", more=_HELD, recursive=True))
 def gate_lifecycle(spark, sf):
     """Claims and acks of workers on each gate, folded."""
-    d = T.deliveries(spark, sf)
-    op = F.when(F.col("fault") == "ok", "ack").otherwise("claim")
-    return G.lifecycle(d.select(F.concat(F.lit("gate-"), "key").alias("id"), "ts", F.col("worker").alias("owner"), op.alias("op")))
+    return G.lifecycle(_claims(spark, sf)).select("id", "owner", "processed_at", "claims")
+
+
+_AT = 800_000_000_000
+
+
+@query(T.oracle(f"""SELECT id, created_at FROM states s WHERE status IN ('approved', 'rejected', 'timed_out')
+    AND NOT EXISTS (SELECT 1 FROM lives l WHERE l.id = s.id AND (l.processed_at IS NOT NULL OR l.until >= {_AT})) ORDER BY created_at, id LIMIT 10""", *_ALL, more=_STATES + ", " + _HELD.replace("FROM deliveries)", f"FROM deliveries WHERE ts <= {_AT})", 1), recursive=True))
+def gates_unheld(spark, sf):
+    """Decided gates that a worker can claim now: not held under a lease in force, not done with."""
+    return G.claimable(_states(spark, sf), claims=_claims(spark, sf), now=F.lit(_AT)).select("id", "created_at")
+
+
+@query(T.oracle("SELECT id, CASE WHEN decided_at IS NULL OR decided_at > created_at + 864000000.0 THEN created_at + 864000000.0::DOUBLE END AS gave_up_at, CASE WHEN decided_at IS NULL OR decided_at > created_at + 864000000.0 THEN 'E_WAIT_TIMEOUT' END AS code FROM states", *_ALL, more=_STATES))
+def gate_wait_limit(spark, sf):
+    """Waiters of ten days: which give up, and when."""
+    x = G.waits(_states(spark, sf).select("id", "created_at", "decided_at"), F.col("created_at"), 864_000_000)
+    return x.select("id", F.when(F.col("code").isNotNull(), F.col("observed_at")).alias("gave_up_at"), "code")
+
+
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) > 32768 THEN 'E_RESULT_TOO_LARGE' END AS code FROM documents")
+def gate_context_size(spark, sf):
+    """Resume contexts beyond 32 KiB are refused when a gate is opened."""
+    return T.read(spark, sf, "documents").select("doc_id", F.when(F.octet_length("text") > S.MAX_CONTEXT_BYTES, "E_RESULT_TOO_LARGE").alias("code"))
 
 
 @query(T.oracle("SELECT id, status, decided_at, expires_at FROM states WHERE status = 'pending' OR decided_at > expires_at + 1000", *_ALL, more=_STATES))
@@ -130,5 +165,5 @@ def hmac_token(spark, sf):
     ok = lambda gate, now, secret="secret": S.token_is_valid(F.col("token"), F.lit(secret), gate, now)
     return x.select(
         "id", "token", ok(F.col("id"), F.col("created_at")).alias("valid"), ok(F.col("id"), F.col("expires_at") + 1).alias("late"),
-        ok(F.lit("gate-0"), F.col("created_at")).alias("other_gate"), ok(F.col("id"), F.col("created_at"), "guess").alias("other_secret"),
+        S.token_code(F.col("token"), F.lit("secret"), F.col("id"), F.col("expires_at") + 1).alias("late_code"), ok(F.lit("gate-0"), F.col("created_at")).alias("other_gate"), ok(F.col("id"), F.col("created_at"), "guess").alias("other_secret"),
     )

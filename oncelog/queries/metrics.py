@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import effects as E
+from ..operators import gates as G
 from ..operators import invariants as I
 from ..operators import metrics as M
 from ..sources import tables as T
 from .effects import _EFFECTS, _WIN, effects
+from .gates import _NOW, _STATES
 from .registry import query
 
 _LEDGER = "ledger AS (SELECT * FROM deliveries WHERE fault IN ('ok', 'timeout'))"
@@ -48,7 +52,8 @@ def intent_success_rate(spark, sf):
 
 @query(T.oracle("SELECT ns, count(*) FILTER (status = 'indeterminate') AS parked, count(*) AS total FROM effects GROUP BY ns", "deliveries", more=f"{_WIN}, {_EFFECTS}"))
 def fail_closed_rate(spark, sf):
-    return effects(spark, sf).groupBy("ns").agg(F.count_if(F.col("status") == "indeterminate").alias("parked"), F.count(F.lit(1)).alias("total"))
+    """Over the final statuses of effects, told by their prefix."""
+    return _finals(spark, sf).where(F.col("id").startswith("effect:")).groupBy("ns").agg(F.count_if(F.col("status") == "indeterminate").alias("parked"), F.count(F.lit(1)).alias("total"))
 
 
 @query(T.oracle("SELECT i.ns, i.n AS intents, coalesce(a.n, 0) AS attempts FROM (SELECT ns, count(*) AS n FROM intents GROUP BY ns) i LEFT JOIN (SELECT ns, count(*) AS n FROM deliveries GROUP BY ns) a USING (ns)", "intents", "deliveries"))
@@ -63,6 +68,14 @@ def latency_percentiles(spark, sf):
     return M.percentile(d, "latency_ms", 0.5, "ns").join(M.percentile(d, "latency_ms", 0.99, "ns"), "ns")
 
 
+@query(T.oracle("""SELECT ns, floor(100 * (count(*) FILTER (fault = 'ok') * 1.0::DOUBLE / count(*)) + 0.5)::BIGINT || ' %' AS ok, format('{:,}', sum(latency_ms)::BIGINT) AS latency,
+    floor(count(*) FILTER (fault = 'error') * 1.0::DOUBLE / count(*) * 10000 + 0.5) / 10000 AS errors FROM deliveries GROUP BY ns""", "deliveries"))
+def report_figures(spark, sf):
+    """Figures as a report prints them: a share in per cent, a number in groups of three, a rate to four places."""
+    share = lambda f: F.count_if(F.col("fault") == f) / F.count(F.lit(1))
+    return T.deliveries(spark, sf).groupBy("ns").agg(S.percent(share("ok")).alias("ok"), S.thousands(F.sum("latency_ms")).alias("latency"), M.round4(share("error")).alias("errors"))
+
+
 @query(T.oracle("SELECT ns, count(*) AS deliveries, count(*) FILTER (fault = 'ok') AS ok, count(*) FILTER (fault = 'error') AS error, count(*) FILTER (fault = 'timeout') AS timeout, sum(latency_ms)::BIGINT AS latency FROM deliveries GROUP BY GROUPING SETS ((ns), ())", "deliveries"))
 def report_metrics(spark, sf):
     n = lambda f: F.count_if(F.col("fault") == f).alias(f)
@@ -109,11 +122,21 @@ def i8_monotonic(spark, sf):
     return I.monotonic(T.deliveries(spark, sf).select("key", F.col("delivery_no").alias("n"), status.alias("status")))
 
 
-@query(T.oracle("SELECT ns, string_agg(key || '=' || status, ';' ORDER BY key || '=' || status) AS statuses FROM effects WHERE key::BIGINT % 20 = 0 GROUP BY ns", "deliveries", more=f"{_WIN}, {_EFFECTS}").replace(" WHERE key::BIGINT % 20 = 0", ""))
+_STATUSES = f"{_WIN}, {_EFFECTS}, {_STATES}, finals AS (SELECT ns, 'effect:' || key AS id, status FROM effects UNION ALL SELECT ns, 'gate:' || id, status FROM states)"
+
+
+def _finals(spark, sf):
+    """ns, id, status of all effects and gates; their kind is the prefix of the id."""
+    e = effects(spark, sf).select("ns", F.concat(F.lit("effect:"), "key").alias("id"), "status")
+    g = G.resolve(T.gates(spark, sf), T.decisions(spark, sf), F.lit(_NOW)).select("ns", F.concat(F.lit("gate:"), "id").alias("id"), "status")
+    return e.unionAll(g)
+
+
+@query(T.oracle("SELECT ns, id, status, row_number() OVER (PARTITION BY ns ORDER BY id) AS place FROM finals", "deliveries", "gates", "decisions", more=_STATUSES))
 def final_statuses(spark, sf):
-    """Each namespace's effects with their status, in order of their names."""
-    x = effects(spark, sf).groupBy("ns").agg(F.array_sort(F.collect_list(F.concat_ws("=", "key", "status"))).alias("s"))
-    return x.select("ns", F.array_join("s", ";").alias("statuses"))
+    """Effects and gates with their final status and their place in the order of names, a row for each."""
+    w = Window.partitionBy("ns").orderBy("id")
+    return _finals(spark, sf).select("ns", "id", "status", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query("""SELECT 'orders' AS relation, count(*) AS n, count(DISTINCT o_orderkey) AS keys FROM orders UNION ALL SELECT 'events', count(*), count(DISTINCT event_id) FROM events

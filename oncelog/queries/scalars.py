@@ -15,6 +15,16 @@ def canonical_json(spark, sf):
     return o.select(F.col("o_orderkey").alias("id"), S.canonical_object(z=F.lit(None).cast("string"), b=S.json_string(F.col("o_orderpriority")), a=F.col("o_custkey")).alias("canonical"))
 
 
+@query("""SELECT event_id, '{"a":[' || event_id || ',{"b":null,"c":"x"}],"m":{"user":' || user_id || ',"zone":true},"z":' || json(props)::VARCHAR || '}' AS canonical FROM events
+    UNION ALL SELECT -event_id, NULL FROM events""")
+def canonical_nested(spark, sf):
+    """JSON texts of some depth, members out of order, and texts that are no JSON."""
+    e = T.read(spark, sf, "events")
+    text = F.concat(F.lit('{ "z" : '), "props", F.lit(', "m": {"zone": true, "user": '), "user_id", F.lit('}, "a" : ['), "event_id", F.lit(', {"c":"x","b":null}]}'))
+    odd = F.concat(F.lit('{"a": NaN, "b": '), "event_id", F.lit("}"))
+    return e.select("event_id", S.canonical_json(text).alias("canonical")).unionAll(e.select((-F.col("event_id")).alias("event_id"), S.canonical_json(odd)))
+
+
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents")
 def sha256_hex(spark, sf):
     return T.read(spark, sf, "documents").select("doc_id", S.sha256_hex(F.coalesce("text", F.lit(""))).alias("digest"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import faults
 from ..plans import golden as G
+from ..plans import report as R
+from ..plans import scenarios as SC
 from ..plans import workload as W
 from .registry import QUERIES, SQL, query
 
@@ -140,24 +142,28 @@ SQL |= {
 
 @query()
 def golden_load(spark, sf):
-    return G.fixtures(spark)
+    """The traces that the fixtures expect."""
+    return G.expected(G.fixtures(spark))
 
 
 @query()
 def golden_trace(spark, sf):
-    return G.traces(spark)
+    """What the fixtures' command logs fold into."""
+    return G.replay(G.fixtures(spark))
 
 
 @query("SELECT NULL::VARCHAR AS id, NULL::VARCHAR AS field, NULL::VARCHAR AS expected, NULL::VARCHAR AS actual WHERE false")
 def golden_diff(spark, sf):
     """Fields in which a replayed fixture differs from what is expected: none."""
-    return G.differences(G.fixtures(spark), G.traces(spark))
+    rows = G.fixtures(spark)
+    return G.differences(G.expected(rows), G.replay(rows))
 
 
 @query("SELECT 24::BIGINT AS total, 24::BIGINT AS passed")
 def golden_summary(spark, sf):
-    bad = G.differences(G.fixtures(spark), G.traces(spark)).select("id").distinct()
-    x = G.fixtures(spark).join(bad.withColumn("bad", F.lit(True)), "id", "left")
+    rows = G.fixtures(spark)
+    bad = G.differences(G.expected(rows), G.replay(rows)).select("id").distinct()
+    x = rows.select("id").join(bad.withColumn("bad", F.lit(True)), "id", "left")
     return x.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("bad").isNull()).alias("passed"))
 
 
@@ -166,7 +172,27 @@ def fuzz_cases(spark, sf):
     return G.fuzz_cases(spark, 200)
 
 
-@query("SELECT NULL::INTEGER AS seed, NULL::VARCHAR AS intent, NULL::BIGINT AS attempts, NULL::BIGINT AS landed WHERE false")
+@query("SELECT NULL::VARCHAR AS \"case\", NULL::VARCHAR AS intent, NULL::VARCHAR AS rule WHERE false")
 def fuzz_report(spark, sf):
-    """Invariant violations of the fuzzed cases: none."""
+    """Invariants that the fuzzed cases break when they are played: none."""
     return G.fuzz_report(spark, 200)
+
+
+@query()
+def fuzz_runs(spark, sf):
+    """What the fuzzed cases leave behind, intent by intent."""
+    x = SC.play(G.fuzz_cases(spark, 200))
+    return x.select("case", "scenario", "intent", "status", "gate", "deliveries", "attempts", "landed", "reported", "replays", F.array_join("events", " ").alias("events"))
+
+
+@query("SELECT 954::BIGINT AS samples, 0::BIGINT AS p50, 60000::BIGINT AS p99")
+def run_latency(spark, sf):
+    """Virtual ms of all runs of the default scenarios whose process lived to report; the SQL has the published figures."""
+    d = SC.play(SC.defaults(spark, W.SEEDS)).select(F.explode("durations").alias("ms"))
+    return R.latency(d)
+
+
+@query("SELECT DISTINCT 'naive' AS client, rule FROM (VALUES ('I1')) t(rule)")
+def naive_violations(spark, sf):
+    """Invariants that the naive client breaks on its workload."""
+    return SC.violations(W.as_runs(W.naive(W.intents(spark, 10, 20), 2, 5, 0.15, 0.15))).select(F.lit("naive").alias("client"), "rule").distinct()

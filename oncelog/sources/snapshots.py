@@ -11,9 +11,11 @@ from pyspark.sql.types import StructType
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that all executors share; a temporary one where none is set."""
+    """A fresh path in the folder that all executors share; a temporary one in tests, where Spark is this machine alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="oncelog-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

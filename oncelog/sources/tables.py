@@ -83,10 +83,11 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """circuit, n, ts, ok: outcomes that feed circuit breakers, in order."""
+    """circuit, n, ts, ok, took: calls that feed circuit breakers, in order; took is null where no answer ever comes."""
     e = read(spark, sf_dir, "events")
     w = Window.partitionBy(F.col("user_id") % 16).orderBy("ts", "event_id")
-    return e.select(F.concat(F.lit("c"), (F.col("user_id") % 16).cast("string")).alias("circuit"), F.row_number().over(w).cast("long").alias("n"), epoch_ms(F.col("ts")).alias("ts"), (F.col("event_type") != "error").alias("ok"))
+    return e.select(F.concat(F.lit("c"), (F.col("user_id") % 16).cast("string")).alias("circuit"), F.row_number().over(w).cast("long").alias("n"), epoch_ms(F.col("ts")).alias("ts"), (F.col("event_type") != "error").alias("ok"),
+                    F.when(F.col("event_id") % 97 != 0, F.col("event_id") % 7 * 1_000).cast("long").alias("took"))
 
 
 #: The same derivations for DuckDB, as common table expressions.

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions import limits as S
+
 RETENTION = "7 days"
 OUTCOME = "key string, delivery_no long, ts_ms long, status string, first_seen_at long"
 
@@ -122,6 +124,83 @@ def chain(events: DataFrame) -> DataFrame:
     return events.groupBy("ns").transformWithStateInPandas(statefulProcessor=Chain(), outputStructType="ns string, event_id long, seq long, prev_hash string, hash string", outputMode="Append", timeMode="None")
 
 
+class Leases(StatefulProcessor):
+    """Parks an execution whose lease ends in event time before its owner completes it; heartbeats move the end."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.effect = handle.getValueState("effect", "status string, owner string, lease_end long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = []
+        status, owner, end = self.effect.get() if self.effect.exists() else (None, None, None)
+        for r in sorted((r for b in rows for r in b.itertuples(index=False)), key=lambda r: (r.ts, r.n)):
+            ts = int(r.ts)
+            if status == "in_flight" and end < ts:
+                out.append((*key, "indeterminate", end))
+                status, owner = "indeterminate", None
+            if r.op == "claim" and status is None:
+                status, owner, end = "in_flight", r.owner, ts + int(r.lease_ms)
+                self.handle.registerTimer(end + 1)
+            elif r.op == "heartbeat" and status == "in_flight" and owner == r.owner:
+                end = ts + int(r.lease_ms)
+                self.handle.registerTimer(end + 1)
+            elif r.op == "complete" and status == "in_flight" and owner == r.owner:
+                status, owner = r.status, None
+                out.append((*key, status, ts))
+        if status is not None:
+            self.effect.update((status, owner, end))
+        yield pd.DataFrame(out, columns=["ns", "key", "status", "at"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = []
+        if self.effect.exists():
+            status, _, end = self.effect.get()
+            if status == "in_flight" and end < expiredTimerInfo.getExpiryTimeInMs():
+                self.effect.update(("indeterminate", None, end))
+                out.append((*key, "indeterminate", end))
+        yield pd.DataFrame(out, columns=["ns", "key", "status", "at"])
+
+    def close(self) -> None:
+        pass
+
+
+def lease_ends(commands: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Ends of effects of a stream (ns, key, n, op, ts, owner, lease_ms, status): completed, or parked once their lease is over."""
+    timed = commands.withColumn("event_time", F.timestamp_millis("ts")).withWatermark("event_time", delay)
+    return timed.groupBy("ns", "key").transformWithStateInPandas(statefulProcessor=Leases(), outputStructType="ns string, key string, status string, at long", outputMode="Append", timeMode="EventTime")
+
+
+class Bucket(StatefulProcessor):
+    """The retry budget of a circuit, call by call."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.balance = handle.getValueState("balance", "tenths long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        tenths, out = self.balance.get()[0] if self.balance.exists() else S.BUDGET_START, []
+        for n, wanted in sorted((int(n), int(w)) for b in rows for n, w in zip(b["n"], b["wanted"], strict=True)):
+            tenths = min(S.BUDGET_CAP, tenths + S.BUDGET_DEPOSIT)
+            paid = min(wanted, tenths // S.BUDGET_COST)
+            tenths -= paid * S.BUDGET_COST
+            out.append((key[0], n, paid, paid < wanted))
+        self.balance.update((tenths,))
+        yield pd.DataFrame(out, columns=["circuit", "n", "funded", "denied"])
+
+    def close(self) -> None:
+        pass
+
+
+def funded(calls: DataFrame) -> DataFrame:
+    """Retries that the budget of each circuit funds, of a stream (circuit, n, wanted) in order of its micro-batches."""
+    return calls.groupBy("circuit").transformWithStateInPandas(statefulProcessor=Bucket(), outputStructType="circuit string, n long, funded long, denied boolean", outputMode="Append", timeMode="None")
+
+
+def on_worker_clocks(rows: DataFrame, skews: DataFrame) -> DataFrame:
+    """rows with ts as their worker's own clock shows it; ``skews`` (worker, skew_ms) is a small static table."""
+    return rows.join(skews, "worker", "left").withColumn("ts", F.col("ts") + F.coalesce("skew_ms", F.lit(0))).drop("skew_ms")
+
+
 def deliver_once(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):  # type: ignore[no-untyped-def]
     """Hands micro-batches to an idempotent sink, by batch id, under a checkpoint."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

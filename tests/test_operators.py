@@ -2,15 +2,16 @@
 
 import hashlib
 import hmac
+from importlib import resources
 
 import pytest
 from pyspark.sql import functions as F
 
 from oncelog import cli
-from oncelog.functions import faults
+from oncelog.functions import draws, errors, faults
 from oncelog.functions import scalars as S
-from oncelog.operators import audit, breaker, effects, gates, invariants, metrics
-from oncelog.plans import golden, report, workload
+from oncelog.operators import audit, breaker, carry, effects, gates, invariants, metrics, retries, runs
+from oncelog.plans import golden, report, scenarios, workload
 from oncelog.sources import tables
 
 DELIVERY = "ns string, key string, delivery_no long, ts long, worker string, fault string, fp string, latency_ms long, qty long"
@@ -91,32 +92,104 @@ def test_chain_and_tampering(spark):
     assert {(r.ns, r.broken_at, r.checked) for r in audit.verify(forged).collect()} == {("n", 4, 4), ("m", None, 1)}
 
 
-def plain_breaker(rows):
-    window, opened, open_ms, opens, refused, version, state = [], None, None, 0, 0, 0, "closed"
-    for ts, ok in rows:
-        if state == "open":
-            if ts < opened + open_ms:
-                refused += 1
-            elif ok:
-                state, window, opened, open_ms, opens, version = "closed", [], None, None, 0, version + 2
+def plain_breaker(circuit, rows):
+    """The breaker written as a loop over times: rows of (n, ts, ok, took)."""
+    uniforms = draws.stream(f"1:jitter:{circuit}")
+    window, opened, open_ms, opens, refused, version, state, probes, owner, expires, admitted = [], None, None, 0, 0, 0, "closed", 0, None, None, {}
+    steps = sorted([(ts, 1, n, ok, took) for n, ts, ok, took in rows] + [(ts + took, 0 if took else 2, n, ok, took) for n, ts, ok, took in rows if took is not None])
+    events = []
+    for at, kind, n, ok, took in steps:
+        if kind == 1:
+            if state == "closed":
+                probe = False
+            elif (state == "open" and at >= opened + open_ms) or (state == "half_open" and expires < at):
+                state, owner, expires, version, probes, probe = "half_open", n, at + 30_000, version + 1, probes + 1, True
+                events.append((at, n, "circuit.half_open"))
             else:
-                open_ms, opened, opens, version = min(300_000, 30_000 * 2**opens), ts, opens + 1, version + 2
-            continue
-        window = [*window, int(not ok)][-20:]
-        version += 1
-        if len(window) >= 5 and sum(window) / len(window) >= 0.5:
-            state, open_ms, opened, window, opens = "open", min(300_000, 30_000 * 2**opens), ts, [], opens + 1
-    return state, window, opened, open_ms, opens, refused, version
-
-
-def test_breaker_fold_equals_a_loop(spark, sf):
+                refused += 1
+                continue
+            if took is not None:
+                admitted[n] = probe
+        elif n in admitted:
+            probe, trips = admitted.pop(n), False
+            if probe and state == "half_open" and owner == n:
+                if ok:
+                    state, window, opened, open_ms, opens, version, owner, expires = "closed", [], None, None, 0, version + 1, None, None
+                    events.append((at, n, "circuit.closed"))
+                trips = not ok
+            elif not probe and state == "closed":
+                window = [*window, int(not ok)][-20:]
+                trips = len(window) >= 5 and sum(window) / len(window) >= 0.5
+                version += not trips
+            if trips:
+                opens += 1
+                state, opened, window, version, owner, expires = "open", at, [], version + 1, None, None
+                open_ms = int(min(300_000, 30_000 * 2 ** (opens - 1)) * (0.8 + 0.4 * next(uniforms)) + 0.5)
+                events.append((at, n, "circuit.opened"))
+    return (state, window, opened, open_ms, opens, refused, probes, version), events
+
+
+def test_breaker_fold_equals_a_loop(spark):
     import random
 
     r = random.Random(5)
-    rows = [(f"c{c}", n, n * 9_000, r.random() > c / 8) for c in range(8) for n in range(1, 120)]
-    got = {x.circuit: tuple(x)[1:] for x in breaker.fold(spark.createDataFrame(rows, "circuit string, n long, ts long, ok boolean")).collect()}
+    rows = [(f"c{c}", n, n * 4_000, r.random() > c / 8, r.choice([0, 900, 5_000, 45_000, None])) for c in range(8) for n in range(1, 160)]
+    df = spark.createDataFrame(rows, "circuit string, n long, ts long, ok boolean, took long")
+    got = {x.circuit: tuple(x)[1:] for x in breaker.fold(df).collect()}
+    told = {}
+    for e in breaker.events(df).collect():
+        told.setdefault(e.circuit, []).append((e.at, e.n, e.type))
     for c in range(8):
-        assert got[f"c{c}"] == plain_breaker([(ts, ok) for name, _, ts, ok in rows if name == f"c{c}"])
+        want, events = plain_breaker(f"c{c}", [tuple(x)[1:] for x in rows if x[0] == f"c{c}"])
+        assert got[f"c{c}"] == want and told.get(f"c{c}", []) == events
+    assert any("circuit.closed" in {t for *_, t in v} for v in told.values())
+
+
+def test_probe_that_never_answers(spark):
+    fails = [("c", n, n * 10, False, 0) for n in range(1, 6)]
+    later = [("c", 6, 40_000, True, None), ("c", 7, 50_000, True, 0), ("c", 8, 70_000, True, 0), ("c", 9, 70_001, True, 100), ("c", 10, 70_050, True, 0), ("c", 11, 70_200, True, 0)]
+    df = spark.createDataFrame(fails + later, "circuit string, n long, ts long, ok boolean, took long")
+    events = [(e.n, e.type) for e in breaker.events(df).orderBy("at").collect()]
+    # 6 is a probe that dies, 7 and 8 are refused while it may answer, 9 takes its place, 10 is refused
+    assert events == [(5, "circuit.opened"), (6, "circuit.half_open"), (9, "circuit.half_open"), (9, "circuit.closed")]
+    assert one(breaker.fold(df)).refused == 3
+
+
+def test_passes_carry_state_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.createDataFrame([(f"k{n % 3}", n) for n in range(100)], "k string, n long")
+        out = carry.carry(rows, "k", ["n"], lambda s, r: ((s or 0) + r[1], (r[0], r[1], (s or 0) + r[1])), "k string, n long, total long")
+        assert {(r.k, r.n): r.total for r in out.collect()} == {(f"k{n % 3}", n): sum(range(n % 3, n + 1, 3)) for n in range(100)}
+        ends = carry.carry(rows, "k", ["n"], lambda s, r: ((s or 0) + 1, None), "k string, m long", end=lambda k, s: (k, s))
+        assert sorted(map(tuple, ends.collect())) == [("k0", 34), ("k1", 33), ("k2", 33)]
+        assert carry.carry(rows.limit(0), "k", ["n"], lambda s, r: (s, None), "k string, m long", end=lambda k, s: (k, s)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_retry_loop_checks_in_order(spark):
+    tries = "array<struct<n:int,kind:string,latency:bigint,hint:bigint,u:double>>"
+    bad = lambda n=3, **more: [(k, "retryable", more.get("latency", 10), more.get("hint"), 0.5) for k in range(1, n + 1)]
+    cases = {
+        "ok": ([(1, "ok", 5, None, 0.0)], 3, 31), "tries": (bad(), 3, 31), "hint": (bad(hint=60_001), 3, 31), "poor": (bad(), 3, 11), "late": ([(1, "ok", 60_000, None, 0.0)], 3, 31), "between": (bad(hint=59_995), 3, 31),
+        "lost": ([(1, "retryable", 1, None, 1.0), (2, "indeterminate", 1, None, 0.0)], 3, 31), "never": ([(1, "failed", 1, None, 0.0)], 3, 31), "waits": ([(1, "retryable", 100, 5_000, 0.0), (2, "ok", 100, None, 0.0)], 3, 31),
+    }
+    df = spark.createDataFrame([(k, *v) for k, v in cases.items()], f"k string, tries {tries}, most int, balance long")
+    got = {r.k: (r.attempts, r.status, r.code, r.balance, len(r.events)) for r in retries.resolve(df, "k").collect()}
+    assert got == {
+        "ok": (1, "succeeded", None, 31, 0), "tries": (3, "failed", "E_EFFECT_FAILED", 11, 2), "hint": (1, "failed", "E_EFFECT_FAILED", 31, 0), "poor": (2, "failed", "E_RETRY_BUDGET", 1, 2), "late": (1, "indeterminate", "E_DEADLINE", 31, 0),
+        "between": (1, "failed", "E_DEADLINE", 21, 0), "lost": (2, "indeterminate", "E_INDETERMINATE", 21, 1), "never": (1, "failed", "E_EFFECT_FAILED", 31, 0), "waits": (2, "succeeded", None, 21, 1),
+    }
+
+
+def test_gate_waits_and_held_gates(spark):
+    s = spark.createDataFrame([("a", 0, 5_000, "approved"), ("b", 0, None, "pending"), ("c", 0, 99_000, "approved"), ("d", 0, 1, "rejected")], "id string, created_at long, decided_at long, status string")
+    got = {r.id: (r.observed_at, r.code) for r in gates.waits(s, F.col("created_at"), 6_000).collect()}
+    assert got == {"a": (6_000.0, None), "b": (6_000.0, "E_WAIT_TIMEOUT"), "c": (6_000.0, "E_WAIT_TIMEOUT"), "d": (1_000.0, None)}
+    c = spark.createDataFrame([("a", 10, "w1", "claim"), ("c", 5, "w1", "claim"), ("d", 5, "w1", "claim"), ("d", 6, "w1", "ack")], "id string, ts long, owner string, op string")
+    free = lambda now: [r.id for r in gates.claimable(s, claims=c, now=F.lit(now)).collect()]
+    assert free(4) == ["a", "c", "d"] and free(20) == [] and free(30_006) == ["c"] and free(30_011) == ["a", "c"]
 
 
 def test_conditional_writes(spark):
@@ -152,19 +225,58 @@ def test_draw_vectors(spark):
         assert scalar(spark, faults.fnv1a(F.lit(f"{seed}:{label}"))) == h and scalar(spark, faults.draw(F.lit(seed), F.lit(label))) == u
 
 
-def test_goldens_and_report(spark):
-    assert golden.differences(golden.fixtures(spark), golden.traces(spark)).count() == 0
-    broken = golden.fixtures(spark).withColumn("ledger", F.when(F.col("id").startswith("08"), 2).otherwise(F.col("ledger")))
-    assert [(d.id[:2], d.field) for d in golden.differences(broken, golden.traces(spark)).collect()] == [("08", "ledger")]
-    row = one(report.results(spark))
+def test_goldens_and_report(spark, tmp_path):
+    rows = golden.fixtures(spark)
+    actual = golden.replay(rows).persist()
+    assert golden.differences(golden.expected(rows), actual).count() == 0
+    broken = golden.expected(rows).withColumn("ledger", F.when(F.col("id").startswith("08"), 2).otherwise(F.col("ledger")))
+    assert [(d.id[:2], d.field) for d in golden.differences(broken, actual).collect()] == [("08", "ledger")]
+    actual.unpersist()
+    (tmp_path / "fixtures").mkdir()
+    text = next(line for line in (resources.files("oncelog.plans") / "fixtures.json").read_text().splitlines() if "17-retry" in line)
+    (tmp_path / "fixtures" / "one.json").write_text(text.rstrip(","))
+    assert [(t.attempts, t.events.split()[-2:]) for t in golden.replay(golden.load(spark, str(tmp_path / "fixtures"))).collect()] == [(4, ["retry.budget_exhausted", "effect.failed"])]
+    result = report.results(spark)
+    report.write(result, str(tmp_path / "results"), "2026-01-01", "abc")
+    row = one(spark.read.json(str(tmp_path / "results" / "latest")))
     text = report.markdown(row)
     assert "| retry-storm | 400 | 400 | 237 | 350 | 0 |" in text and "77 % succeeded" in text and "24 of 24" in text and row.totals.deliveries == 1_014
+    assert "storm: 0.875. Invariants broken: 0." in text and "Runs: 954, p50 0 ms, p99 60,000 ms" in text and row.engine.duplicates == 0
+    dated = spark.read.json(str(tmp_path / "results" / "2026-01-01-abc"))
+    assert golden.drift(spark.createDataFrame([row]), dated, "day").count() == 0 and golden.drift(spark.createDataFrame([row]), dated.withColumn("violations", F.lit(1)), "day").count() == 2
     marked = "a\n<!-- report:begin -->\nold\n<!-- report:end -->\nb"
     assert report.inject(marked, text).count("retry-storm") == 1
     with pytest.raises(ValueError):
         report.inject("none", text)
 
 
+def test_fuzzed_cases_and_planted_breaches(spark):
+    played = scenarios.play(golden.fuzz_cases(spark, 60)).persist()
+    assert scenarios.violations(played).count() == 0 and played.select("scenario").distinct().count() == 9
+    hit = lambda where, **to: {r.rule for r in scenarios.violations(played.where(where).withColumns({k: F.expr(v) for k, v in to.items()})).collect()}
+    good = "status = 'succeeded' AND scenario <> 'retry-storm'"
+    assert hit(good, landed="2L") == {"I1"} | ({"I5"} if played.where("scenario = 'crash-mid-gate'").count() else set())
+    assert "I2" in hit(good, landed="0L") and hit("scenario = 'timeout-then-success'", reported="1L") == {"I3"}
+    assert hit("status = 'indeterminate' AND called_at IS NOT NULL", called_at="parked_at + 1") == {"I3"}
+    assert hit("gate = 'approved'", gate="'pending'") == {"I4"} and hit("gate = 'timed_out'", decided_at="expires_at + 1001") == {"I4"}
+    assert "I6" in hit("scenario = 'retry-storm'", attempts="9L")
+    assert hit(good, events="array('effect.claimed')") == {"I7"} and hit(good, events="concat(events, array('effect.failed'))") == {"I8"}
+    assert hit("replays > 0", events="filter(events, e -> e <> 'effect.replayed')") == {"I7"}
+    # an engine that executes every delivery again is found out
+    played.unpersist()
+    again = lambda cases: scenarios.play(cases).withColumn("landed", F.greatest("landed", F.when(F.col("scenario") == "duplicate-delivery", F.col("deliveries"))))
+    assert {r.rule for r in golden.fuzz_report(spark, 60, again).collect()} == {"I1"}
+
+
+def test_command_tables_fold_like_logs(spark):
+    case = [scenarios.case("crash-mid-gate", 3, crashes=2), scenarios.case("clock-skew", 4)]
+    logs = scenarios.logs(scenarios.cases(spark, case))
+    table = logs.select("case", "i", F.explode("log").alias("c")).select("case", "i", "c.*")
+    whole = lambda df: sorted((r.case, r.i, r.status, r.gate, r.attempts, r.landed, tuple(r.events)) for r in df.collect())
+    names = ["case", "i", "status", "gate", "attempts", "landed", "events"]
+    assert whole(runs.fold(runs.collected(table, "case", "i"), "case", "i").select(*names)) == whole(scenarios.play(scenarios.cases(spark, case)).select(*names))
+
+
 def test_planted_breaches(spark):
     keys = lambda rows, schema: spark.createDataFrame(rows, schema)
     i = keys([("a",), ("b",), ("c",)], "key string")
@@ -229,6 +341,8 @@ def test_cli(spark, tmp_path, capsys):
     assert '"decided_by":"engine:timeout"' in run("show", "g1")[1] and run("show", "zz") == (0, "no such gate\n")
     assert cli.main(["gates", "ls", "--status", "odd"], spark) == 2 and cli.main(["nothing"], spark) == 2
     assert cli.main(["gates", "ls", "--state", str(tmp_path / "none")], spark, 0) == 0
+    assert cli.main(["chaos", "--seed", "2"], spark) == 0 and "retry-storm: 80 intents" in capsys.readouterr().out
+    assert cli.main(["chaos", "--seeds", "2", "--client", "naive"], spark) == 1 and "I1: broken" in capsys.readouterr().out
 
 
 def test_small_scalars(spark):
@@ -252,7 +366,16 @@ def test_append_continues_the_chain(spark, sf):
 
 
 def test_minimiser():
-    case = {"seed": 1, "scenario": "retry-storm", "intents": 30, "error_rate": 0.3, "timeout_rate": 0.1, "variant": "v"}
-    small = golden.minimize(case, lambda c: c["intents"] >= 7 and c["error_rate"] > 0)
-    assert small == case | {"intents": 7, "timeout_rate": 0.0, "variant": ""}
-    assert golden.pinned(small, {"ledger": 1}).startswith('{\n  "case": {\n    "error_rate"')
+    case = scenarios.case("retry-storm", 1, intents=30, timeout=0.1, variant="v", latency_low=5, latency_high=5)
+    small = golden.minimize(case, lambda c: c["intents"] >= 7 and c["error"] > 0)
+    assert small == case | {"intents": 7, "timeout": 0.0, "variant": "", "latency_low": 0, "latency_high": 0}
+    assert golden.pinned(small, {"ledger": 1}).startswith('{\n  "case": {\n    "case"')
+
+
+def test_nested_canonical_json_and_flags(spark):
+    ask = lambda text: scalar(spark, S.canonical_json(F.lit(text)))
+    assert ask('{ "b" : [1, {"z":1,"a":"\u00e9"}], "a": {"y":null,"x":true} }') == '{"a":{"x":true,"y":null},"b":[1,{"a":"é","z":1}]}'
+    assert ask('{"a": NaN}') is None and ask("Infinity") is None and ask("{") is None and ask('"s"') == '"s"'
+    flag = lambda code, flying=False: (scalar(spark, errors.retryable(F.lit(code))), scalar(spark, errors.indeterminate(F.lit(code), F.lit(flying))))
+    assert flag("E_CIRCUIT_OPEN") == (True, False) and flag("E_LEASE_LOST") == (False, True) and flag("E_DEADLINE") == (False, False) and flag("E_DEADLINE", True) == (False, True)
+    assert len(errors.CODES) == 14 and scalar(spark, errors.retryable(F.lit(None).cast("string"))) is None

@@ -2,7 +2,7 @@
 
 import pytest
 
-from oncelog.operators import audit, effects
+from oncelog.operators import audit, breaker, effects
 from oncelog.sources import tables
 from oncelog.streaming import effects as streams
 
@@ -50,6 +50,29 @@ def test_gate_ends(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("g1", "approved", 500), ("g2", "approved", 1_000), ("g3", "timed_out", 900)]
 
 
+def test_lease_ends(spark, tmp_path):
+    rows = [("n", "a", 1, "claim", 10, "w1", 1_000, None), ("n", "a", 2, "heartbeat", 800, "w1", 1_000, None), ("n", "a", 3, "complete", 1_700, "w1", 0, "succeeded")]
+    rows += [("n", "b", 1, "claim", 10, "w1", 1_000, None), ("n", "b", 2, "complete", 1_011, "w1", 0, "succeeded"), ("n", "c", 1, "claim", 10, "w1", 1_000, None), ("n", "c", 2, "heartbeat", 500, "w9", 1_000, None)]
+    rows += [("n", "z", 1, "claim", 9_000_000, "w1", 9_000_000, None)]
+    df = spark.createDataFrame(rows, "ns string, key string, n long, op string, ts long, owner string, lease_ms long, status string")
+    got = run(spark, df, streams.lease_ends, tmp_path, "leases", files=1)
+    assert sorted(tuple(r)[1:] for r in got) == [("a", "succeeded", 1_700), ("b", "indeterminate", 1_010), ("c", "indeterminate", 1_010)]
+
+
+def test_funded_retries(spark, tmp_path):
+    calls = spark.createDataFrame([("c", n, n % 3) for n in range(40)] + [("d", n, 1) for n in range(20)], "circuit string, n long, wanted long")
+    got = run(spark, calls, streams.funded, tmp_path, "funded", files=1)
+    want = {r.circuit: (r.funded, r.denied) for r in breaker.budget(calls).collect()}
+    assert {c: (sum(r.funded for r in got if r.circuit == c), sum(r.denied for r in got if r.circuit == c)) for c in "cd"} == want
+
+
+def test_worker_clocks(spark, tmp_path):
+    d = spark.createDataFrame([("a", 1, 100, "w1"), ("a", 2, 101, "w2"), ("b", 1, 5, "w3")], "key string, delivery_no long, ts long, worker string")
+    skews = spark.createDataFrame([("w1", 50), ("w2", -50)], "worker string, skew_ms long")
+    got = run(spark, d, lambda s: streams.collapse(streams.on_worker_clocks(s, skews)), tmp_path, "skewed", files=1)
+    assert {(r.key, r.delivery_no): (r.status, r.first_seen_at) for r in got} == {("a", 2): ("executed", 51), ("a", 1): ("replayed", 51), ("b", 1): ("executed", 5)}
+
+
 @pytest.mark.parametrize("runs", [2])
 def test_deliver_once(spark, sf, tmp_path, runs):
     d = tables.deliveries(spark, sf).where("cast(key as long) < 30").select("key", "delivery_no")
