@@ -3,10 +3,13 @@
 Texts become typed words: lower-cased, without punctuation at the edges, with numbers,
 units beside numbers and names replaced by ``#num``, ``#unit`` and ``#name``. A name is a
 capitalised word that no sentence end or line break precedes. A template window is
-``WINDOW`` consecutive typed words; its hash is looked up among those of the benchmark.
+``WINDOW`` consecutive typed words; its hash is joined with those of the benchmark, where a
+window with names stands twice, typed and with the names as words: copies whose case was
+changed have no names to see.
 
-Windows that match at one offset between a document and an item vote together: the item
-is found where at least ``SHARE`` of its windows do. As a window of placeholders alone
+Windows that match at one offset between a document and an item vote together, and so do
+those at offsets nearby, behind an edit, and runs of three anywhere: the item is found where
+at least ``SHARE`` of its windows do. As a window of placeholders alone
 proves nothing, the windows of a hit must also differ, and the slots must agree: at the
 offset, each value of a slot in the item stands for one value in the document wherever it
 recurs (a re-parameterised question replaces 7 by 12 everywhere). Items shorter than a
@@ -14,7 +17,7 @@ window are matched as one window of their own length.
 
 The benchmark is never assumed to be small: Spark broadcasts its windows only where their
 measured size, known from a written table, is under its threshold, and otherwise joins
-by sorted hashes. Benchmark windows that several items share are one row with a list.
+by sorted hashes. Windows that many items share are rows like any other.
 
 Defined cases: null or empty texts have no windows and are clean; a null doc_id is
 compared like any other value; rows that repeat a doc_id are one document with respect
@@ -69,34 +72,40 @@ def _word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(_typed(w)))
 
 
+def _unnamed_hashes(words: Column) -> Column:
+    """Hashes of the typed words where names are words like any other."""
+    return F.transform(words, lambda w: F.xxhash64(F.when(w.substr(1, 1) == _NAME, w.substr(F.lit(2), F.length(w))).otherwise(_typed(w))))
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, item, words, size, pos, h, n_windows: the windows that tell an item.
+    """item_id, item, words, size, pos, h, n_windows: the windows that tell an item, in one or two forms.
 
     Those of at least two words that are no slots are used, all where an item has none.
     ``item`` tells rows apart that repeat an item_id with other words.
     """
     items = benchmark.select("item_id", marked_words(text_or_empty()).alias("words")).where(F.size("words") > 0)
     items = items.withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"])
-    items = items.withColumn("size", F.least(F.lit(WINDOW), F.size("words"))).withColumn("hashes", _word_hashes(F.col("words")))
-    by_size = F.coalesce(*(F.when(F.col("size") == k, _windows(F.col("hashes"), k)) for k in range(1, WINDOW + 1)))
-    each = items.withColumn("all", by_size).select("item_id", "item", "words", "size", F.posexplode("all").alias("pos", "h"))
+    items = items.withColumn("size", F.least(F.lit(WINDOW), F.size("words"))).withColumn("hashes", _word_hashes(F.col("words"))).withColumn("unnamed", _unnamed_hashes(F.col("words")))
+    by_size = lambda name: F.coalesce(*(F.when(F.col("size") == k, _windows(F.col(name), k)) for k in range(1, WINDOW + 1)))
+    forms = F.zip_with(by_size("hashes"), by_size("unnamed"), lambda a, b: F.array_distinct(F.array(a, b)))
+    each = items.withColumn("all", forms).select("item_id", "item", "words", "size", F.posexplode("all").alias("pos", "forms"))
     literal = F.size(F.filter(F.slice("words", F.col("pos") + 1, F.col("size")), lambda w: ~_is_slot(w))) >= 2
     own = Window.partitionBy("item")  # the windows of one item
     told = each.withColumn("told", literal).withColumn("n_told", F.count_if("told").over(own)).withColumn("n_all", F.count(F.lit(1)).over(own))
     used = told.where(F.col("told") | (F.col("n_told") == 0))
-    return used.select("item_id", "item", "words", "size", "pos", "h", F.when(F.col("n_told") > 0, F.col("n_told")).otherwise(F.col("n_all")).alias("n_windows"))
+    return used.select("item_id", "item", "words", "size", "pos", F.explode("forms").alias("h"), F.when(F.col("n_told") > 0, F.col("n_told")).otherwise(F.col("n_all")).alias("n_windows"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, share, reparameterised: the items that documents hold."""
     told = materialize(benchmark_windows(benchmark), "benchmark")
     sizes = [r[0] for r in told.select("size").distinct().collect()]  # at most WINDOW values
-    lookup = materialize(told.groupBy("h").agg(F.collect_list(F.struct("item", "pos", "n_windows")).alias("at")), "lookup")
+    lookup = told.select("h", F.struct("item", "pos", "n_windows").alias("at"))
     hashed = docs.select("doc_id", _word_hashes(marked_words(text_or_empty())).alias("hashes"))
     found = None
     for k in sizes:
         own = hashed.select("doc_id", F.posexplode(_windows(F.col("hashes"), k)).alias("p", "h"))
-        own = own.join(lookup, "h").select("doc_id", "p", F.explode("at").alias("at"))
+        own = own.join(lookup, "h").select("doc_id", "p", "at")
         found = own if found is None else found.unionAll(own)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, share double, reparameterised boolean")
@@ -104,8 +113,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     runs = found.groupBy("doc_id", "at.item", "at.n_windows", offset.alias("off")).agg(
         F.count_distinct("at.pos").alias("n"), F.min("at.pos").alias("lo"), F.max("at.pos").alias("hi")
     )
-    runs = runs.where(F.col("n") >= F.least(F.lit(3), F.col("n_windows")))
-    # an offset holds a whole item, or its part before or after an edit
+    # an offset holds a whole item, or its part before or after an edit; what is short counts beside the longest
+    best = Window.partitionBy("doc_id", "item")
+    near = F.abs(F.col("off") - F.max_by("off", "n").over(best)) <= WINDOW
+    enough = F.sum("n").over(best) >= share * F.col("n_windows")
+    runs = runs.withColumn("near", near).withColumn("enough", enough).where(F.col("enough") & (F.col("near") | (F.col("n") >= F.least(F.lit(3), F.col("n_windows")))))
     hits = runs.groupBy("doc_id", "item", "n_windows").agg(F.sum("n").alias("n"), F.collect_list(F.struct("n", "off", "lo", "hi")).alias("runs"))
     hits = materialize(hits.where(F.col("n") >= share * F.col("n_windows")), "hits")
     texts = docs.join(hits.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")

@@ -33,6 +33,8 @@ from .common import materialize, table, text_or_empty
 SHINGLE, BLOCK, HASHES, CONTAINED = 3, 8, 40, 0.8
 #: Templates of fewer shingles are retrieved by these.
 SHORT = 3
+#: Up to so many values of the templates are also put into the plan, which sorts windows out before any join; beyond that the joins do it all.
+LITERALS = 20_000
 #: XOR constants of the minima.
 SEEDS = [random.Random(20240 + k).getrandbits(64) - (1 << 63) for k in range(HASHES)]
 
@@ -65,6 +67,10 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "reserved": "All rights reserved. No part of this publication may be reproduced",
     "reserved-short": "All rights reserved",
+    "BSD-2-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "BSD-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "Unlicense": "This is free and unencumbered software released into the public domain",
     "Zlib": "This software is provided 'as-is', without any express or implied warranty",
 }
@@ -107,18 +113,18 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
     band = lambda df, *keys: df.select(*keys, F.posexplode("bands").alias("k", "band"))
     short = known.where(F.col("size") < SHORT).select("license", F.lit(-1).alias("k"), F.explode("shingles").alias("band"))
     lookup = materialize(band(_windows(known, "license"), "license").unionByName(short).distinct(), "bands")
-    alone = [r[0] for r in lookup.where("k = -1").select("band").distinct().collect()]
-    wanted = [r[0] for r in lookup.select("band").distinct().collect()]  # a few for each template
-    # a band is its place and value; values alone, of all places, sort out nearly all windows at once
+    alone, wanted = ([r[0] for r in rows.select("band").distinct().limit(LITERALS + 1).collect()] for rows in (lookup.where("k = -1"), lookup))
     windows = _windows(_with_shingles(docs, "doc_id"), "doc_id")
-    windows = windows.where(F.exists("bands", lambda b: b.isin(wanted)) | F.exists("own", lambda h: h.isin(alone)))
-    keyed = F.concat(
-        F.transform("bands", lambda b, k: F.struct(k.alias("k"), b.alias("band"))),
-        F.transform(F.filter("own", lambda h: h.isin(alone)), lambda h: F.struct(F.lit(-1).alias("k"), h.alias("band"))),
-    )
-    near = windows.select("doc_id", "win", "own", F.explode(keyed).alias("b")).select("doc_id", "win", "own", "b.k", "b.band").join(F.broadcast(lookup), ["k", "band"]).select("doc_id", "win", "own", "license")
+    short_ones = F.col("own")
+    if len(wanted) <= LITERALS:
+        # a band is its place and value; values alone, of all places, sort out nearly all windows at once
+        windows = windows.where(F.exists("bands", lambda b: b.isin(wanted)) | F.exists("own", lambda h: h.isin(alone)))
+        short_ones = F.filter("own", lambda h: h.isin(alone))
+    keyed = F.concat(F.transform("bands", lambda b, k: F.struct(k.alias("k"), b.alias("band"))), F.transform(short_ones, lambda h: F.struct(F.lit(-1).alias("k"), h.alias("band"))))
+    # Spark broadcasts the templates where their written size allows it
+    near = windows.select("doc_id", "win", "own", F.explode(keyed).alias("b")).select("doc_id", "win", "own", "b.k", "b.band").join(lookup, ["k", "band"]).select("doc_id", "win", "own", "license")
     near = materialize(near.dropDuplicates(["doc_id", "win", "license"]), "near")
-    common = near.join(F.broadcast(known), "license").select("doc_id", "win", "license", "size", F.explode(F.array_intersect("own", "shingles")).alias("shingle"))
+    common = near.join(materialize(known, "templates"), "license").select("doc_id", "win", "license", "size", F.explode(F.array_intersect("own", "shingles")).alias("shingle"))
     counted = common.groupBy("doc_id", "license", "size", "shingle").agg(F.min("win").alias("win"))
     total = counted.groupBy("doc_id", "license", "size").agg(F.count(F.lit(1)).alias("n"), F.min("win").alias("first_window"))
     return total.where(F.col("n") >= contained * F.col("size")).select("doc_id", "license", (F.col("n") / F.col("size")).alias("containment"), "first_window")

@@ -148,6 +148,33 @@ def test_leaks_and_reparameterised_leaks(spark):
     assert clean.columns == docs.columns and {3, 4, 5, 7, 9} <= {r.doc_id for r in clean.collect()} <= {3, 4, 5, 7, 9, 11}
 
 
+def test_recall_of_reparameterised_and_case_changed_items(spark):
+    """Items whose numbers, names and units are replaced, consistently, or whose case is changed, in long texts."""
+    r = random.Random(12)
+    names, units = ["Paris", "Rome", "Alice", "Robert", "Berlin", "Maria"], ["km", "miles", "kg", "hours", "euros"]
+    common = [w.lower() for w in "train leaves travels before meets cars near old stone bridge carries boxes each filled with apples sold every week while clerk counts them again when market opens".split()]
+    bench = []
+    for k in range(60):
+        w = [r.choice(common) for _ in range(30)]
+        for at, slot in ((4, str(r.randint(2, 99))), (5, r.choice(units)), (11, r.choice(names)), (17, str(r.randint(100, 999))), (24, r.choice(names))):
+            w[at] = slot
+        bench.append((k, " ".join(w)))
+
+    def moved(text):
+        other = {x: r.choice([y for y in names if y != x]) for x in names} | {x: r.choice([y for y in units if y != x]) for x in units}
+        return " ".join(other.get(w, str(int(w) + 1_000) if w.isdigit() else w) for w in text.split())
+
+    noise = lambda: " ".join(r.choice(common) for _ in range(120))
+    shapes = {"moved": moved, "lower": str.lower, "upper": str.upper, "cut": lambda t: " ".join(t.split()[:28])}
+    rows = [(100 * n + k, f"{noise()} {shape(t)} {noise()}") for n, shape in enumerate(shapes.values()) for k, t in bench]
+    rows += [(9_000 + k, noise() + " " + noise()) for k in range(60)]
+    got = hits(spark, rows, bench)[2]
+    assert all(i % 100 == k for i, k in got), "clean texts and other items are left alone"
+    for n, name in enumerate(shapes):
+        assert sum((100 * n + k, k) in got for k, _ in bench) >= 0.9 * len(bench), name
+    assert all(got[k, k] for k, _ in bench if (k, k) in got) and not any(got[100 + k, k] for k, _ in bench if (100 + k, k) in got)
+
+
 def test_decontamination_of_nothing(spark):
     assert hits(spark, [])[2] == {} and hits(spark, [(1, "a b c d e f g")], [])[2] == {}
 
@@ -172,6 +199,15 @@ def test_licenses_equal_exact_containment(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_many_templates_are_joined_without_literals(spark, monkeypatch):
+    r = random.Random(61)
+    docs = spark.createDataFrame([(k, " ".join(r.choice("alpha beta gamma delta under") for _ in range(40)) + " " + t) for k, t in enumerate(license_scan.TEMPLATES.values())], "doc_id long, text string")
+    rows = lambda: sorted(map(tuple, license_scan.scan(docs).collect()))
+    want = rows()
+    monkeypatch.setattr(license_scan, "LITERALS", 0)
+    assert rows() == want and len(want) >= len(license_scan.TEMPLATES)
+
+
 def test_short_notices_are_found_in_long_texts(spark):
     r = random.Random(16)
     noise = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(150))
