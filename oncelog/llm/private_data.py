@@ -34,8 +34,17 @@ _LABEL = frozenset(string.ascii_letters + string.digits + "-")
 _DIGIT = frozenset(string.digits)
 _PHONE = frozenset(string.digits + " ().-")
 _URL_STOP = frozenset(" \t\n\r\x0b\x0c<>\"'`|\\^{}")
-_CUES = ("account", "acct", "passport", "ssn", "tax id", "customer id", "konto", "kundennummer", "compte", "cuenta")
-_SECRETS = ("AKIA", "api_key", "apikey", "password", "passwd", "secret", "token")
+#: Words that announce an account, an identity or a secret, in any case.
+_CUES = (
+    "account", "acct", "passport", "ssn", "social security", "tax id", "taxpayer", "vat id", "customer id", "client id", "member id", "employee id", "patient id", "policy", "licence", "license", "routing",
+    "konto", "kontonummer", "kundennummer", "ausweis", "steuernummer", "compte", "passeport", "cuenta", "pasaporte", "dni", "nie", "bsn", "codice fiscale",
+)
+_SECRETS = ("akia", "api_key", "apikey", "api-key", "api key", "access_key", "access key", "private_key", "client_secret", "password", "passwd", "passphrase", "pwd", "secret", "token", "credential", "passwort", "contraseña")
+#: Lengths of account numbers of the standard by country.
+_IBAN_LENGTHS = {
+    "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "LI": 21,
+    "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+}
 Span = tuple[int, int]
 
 
@@ -54,20 +63,24 @@ def _automaton():
             add(f"{x}.{y}", "ip")
             for gap in ("", " ", "-"):
                 add(f"{x}{gap}{y}", "card")
-            for z in string.ascii_uppercase:
+            for z in string.ascii_lowercase:
                 add(f"{z}{x}{y}", "iban")
     for cue in _CUES:
-        for form in {cue, cue.capitalize(), cue.upper()}:
-            add(form, "account")
+        add(cue, "account")
     for cue in _SECRETS:
-        for form in {cue, cue.capitalize(), cue.upper()}:
-            add(form, "secret")
+        add(cue, "secret")
     for word, own in kinds.items():
         a.add_word(word, (len(word), tuple(sorted(own))))
     a.make_automaton()
     return a
 
 
+def _lower(text: str) -> str:
+    """The text in lower case, character by character: every place stays where it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
 def _run(text: str, at: int, allowed: frozenset[str]) -> int:
     n = len(text)
     while at < n and text[at] in allowed:
@@ -149,12 +162,20 @@ def _iban(text: str, at: int) -> Span | None:
     """From two capitals and two digits, with the check digits of the standard."""
     if at and text[at - 1].isalnum() or not (m := _IBAN.match(text, at)):
         return None
-    code = m[0].replace(" ", "")
-    return (at, m.end()) if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 else None
-
-
-_ACCOUNT = re.compile(r"(?:[ ](?:no|nr|number|num|id))?[.:#=]{0,2}[ ]?((?=[A-Z0-9-]*[0-9]{4})[A-Z0-9][A-Z0-9-]{4,22}[A-Z0-9])(?![A-Za-z0-9])")
-_SECRET = re.compile(r"[\"']?[ ]?[:=][ ]?[\"']?([A-Za-z0-9+/_.-]{8,128})")
+    end, length = m.end(), _IBAN_LENGTHS.get(text[at : at + 2])
+    if length:  # a known country's number ends at its length, whatever follows
+        places = [k for k in range(at, end) if text[k] != " "]
+        if len(places) < length:
+            return None
+        end = places[length - 1] + 1
+        if end < len(text) and text[end].isalnum():
+            return None
+    code = text[at:end].replace(" ", "")
+    return (at, end) if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 else None
+
+
+_ACCOUNT = re.compile(r"(?i:[ ](?:no|nr|number|num|id|is|code))*[.:#=]{0,2}[ ]?((?=[A-Z0-9-]*[0-9]{4})[A-Z0-9][A-Z0-9-]{4,}[A-Z0-9])(?![A-Za-z0-9])")
+_SECRET = re.compile(r"[\"']?[ ]?[:=][ ]?[\"']?([A-Za-z0-9+/_.=-]{7,}[A-Za-z0-9+/_=-])")
 _ACCESS_KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Z])")
 
 
@@ -163,7 +184,7 @@ def find(text: str, automaton) -> dict[str, list[Span]]:  # type: ignore[no-unty
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
     #: Where the next match of a kind may start: failing matches are used up too.
     free = dict.fromkeys(KINDS, 0)
-    for last, (size, kinds) in automaton.iter(text):
+    for last, (size, kinds) in automaton.iter(_lower(text)):
         first = last - size + 1
         for kind in kinds:
             if first < free[kind] and not (kind == "email" and last >= free[kind]):
@@ -183,11 +204,11 @@ def find(text: str, automaton) -> dict[str, list[Span]]:  # type: ignore[no-unty
             elif kind == "url":
                 found = _url(text, first)
             elif kind == "iban":
-                found = _iban(text, first - 1) if first and text[first - 1] in string.ascii_uppercase else None
+                found = _iban(text, first - 1) if first and text[first - 1] in string.ascii_uppercase and text[first] in string.ascii_uppercase else None
             elif kind == "account":
                 if (first == 0 or not text[first - 1].isalnum()) and (m := _ACCOUNT.match(text, last + 1)):
                     found = m.span(1)
-            elif text.startswith("AKIA", first):
+            elif size == 4 and text[first : last + 1] in ("AKIA", "akia"):
                 found = m.span() if (m := _ACCESS_KEY.match(text, first)) else None
             elif m := _SECRET.match(text, last + 1):
                 found = m.span(1)
@@ -244,4 +265,5 @@ def mask(docs: DataFrame) -> DataFrame:
 def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.col("base_spans").cast("binary"), 256)
-    return out.select("doc_id", *(f"n_{k}" for k in BASE), digest.alias("base_sha256"), "spans", *(f"n_{k}" for k in KINDS[len(BASE) :]))
+    personal = sum((F.col(f"n_{k}") for k in KINDS if k != "url"), F.lit(0).cast("long"))
+    return out.select("doc_id", *(f"n_{k}" for k in BASE), digest.alias("base_sha256"), "spans", *(f"n_{k}" for k in KINDS[len(BASE) :]), personal.alias("n_personal"))
