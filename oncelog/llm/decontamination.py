@@ -98,6 +98,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, share, reparameterised: the items that documents hold."""
+    docs = docs.select("doc_id", "text")
     told = materialize(benchmark_windows(benchmark), "benchmark")
     sizes = [r[0] for r in told.select("size").distinct().collect()]  # at most WINDOW values
     lookup = told.select("h", F.struct("item", "pos", "n_windows").alias("at"))
