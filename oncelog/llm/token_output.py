@@ -22,9 +22,12 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,12 @@ _SHARDS = "part int, shard int, first long, dict_hash string, doc_ids array<long
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
 
 
+def _is_odd(text: str) -> bool:
+    if text.isascii():  # most are, and single characters are found sooner than a class
+        return "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+    return bool(_OTHER_SPACE.search(text))
+
+
 class BatchEncoder:
     """Encodes batches of whole texts with a byte-level tokenizer, distinct words once.
 
@@ -75,34 +84,35 @@ class BatchEncoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, words: list[bytes], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
         """The ids of many words, behind a space or bare, and the number of each word's ids."""
         flat, sizes = [], []
         for i in range(0, len(words), 2_000):
             part = words[i : i + 2_000]
-            (ids,) = self._ids([" " + " ".join(part) if spaced else "\n".join(part)])
+            (ids,) = self._ids([(b" " + b" ".join(part) if spaced else b"\n".join(part)).decode()])
             cut = np.flatnonzero(self.spaced[ids]) if spaced else np.concatenate(([-1], np.flatnonzero(ids == self.newline)))
             assert len(cut) == len(part), "the tokenizer joins words"
             sizes.append(np.diff(np.append(cut, len(ids))) - (not spaced))
             flat.append(ids if spaced else ids[ids != self.newline])
         return np.concatenate([*flat, np.empty(0, self.dtype)]), np.concatenate([*sizes, np.empty(0, np.int64)])
 
-    def _learn(self, words: list[bytes]) -> np.ndarray:
-        """The memo's places of distinct words, each behind its space or newline; words that it lacks are encoded."""
-        if len(self.memo) > MEMO_WORDS:
-            self._forget()
-        new = [w for w in words if w not in self.memo]
-        for lead in (b" ", b"\n"):
-            own = [w for w in new if w[:1] == lead]
-            ids, size = self._words([w[1:].decode() for w in own], lead == b" ")
-            self.memo.update(zip(own, range(len(self.memo), len(self.memo) + len(own)), strict=True))
+    def _learn(self, words: list[bytes], spaced: bool) -> np.ndarray:
+        """The memo's places of distinct words behind a space, or bare; words that it lacks are encoded."""
+        memo = self.memo[spaced]
+        place = np.fromiter(map(memo.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            own = [words[k] for k in new.tolist()]
+            ids, size = self._words(own, spaced)
+            place[new] = np.arange(len(self.size), len(self.size) + len(new))
+            memo.update(zip(own, place[new].tolist(), strict=True))
             self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(size) - size))
             self.size = np.concatenate((self.size, size))
             self.flat = np.concatenate((self.flat, ids))
-        return np.fromiter(map(self.memo.__getitem__, words), dtype=np.int64, count=len(words))
+        return place
 
     def _forget(self) -> None:
-        self.memo: dict[bytes, int] = {}
+        self.memo: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
         self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.array([self.newline], dtype=self.dtype)  # a newline's id has place 0
 
@@ -116,7 +126,7 @@ class BatchEncoder:
         opens[first[:-1][first[:-1] < first[1:]]] = True
         odd = np.concatenate(([0], np.cumsum(~opens & ((gap != 1) | ((lead != 32) & (lead != 10))))))
         whole = [
-            bool(odd[b] - odd[a]) or a == b or words.starts[a] != words.bases[i] or words.ends[b - 1] != words.bases[i + 1] - 1 or bool(_OTHER_SPACE.search(texts[i]))
+            bool(odd[b] - odd[a]) or a == b or words.starts[a] != words.bases[i] or words.ends[b - 1] != words.bases[i + 1] - 1 or _is_odd(texts[i])
             for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
         ]
         for i, ids in zip(np.flatnonzero(whole), self._ids([t for t, w in zip(texts, whole, strict=True) if w]), strict=True):
@@ -127,11 +137,14 @@ class BatchEncoder:
         at = np.flatnonzero(keep)
         distinct, where, inverse = np.unique(hashes[keep], return_index=True, return_inverse=True)
         raw, where = data.tobytes(), at[where]
-        odd_ones = at[~self._same(words, raw, at, where[inverse]) | (bare[at] != bare[where[inverse]])]
-        for i in np.unique(np.searchsorted(first, odd_ones, side="right") - 1).tolist():  # another word of the same hash
-            out[i] = self._ids([texts[i]])[0]
-        spelled = zip(bare[where].tolist(), words.starts[where].tolist(), words.ends[where].tolist(), strict=True)
-        place = self._learn([(b"\n" if new_line else b" ") + raw[s:e] for new_line, s, e in spelled])
+        for i in np.unique(np.searchsorted(first, at[~self._same(words, raw, at, where, inverse, bare)], side="right") - 1).tolist():
+            out[i] = self._ids([texts[i]])[0]  # it has another word of the same hash
+        if len(self.size) > MEMO_WORDS:
+            self._forget()
+        place = np.empty(len(where), dtype=np.int64)
+        for spaced in (True, False):
+            own = np.flatnonzero(bare[where] != spaced)
+            place[own] = self._learn([raw[s:e] for s, e in zip(words.starts[where[own]].tolist(), words.ends[where[own]].tolist(), strict=True)], spaced)
         begin, size, flat = self.begin[place], self.size[place], self.flat
         broken = (bare & ~opens)[keep]  # a newline's id goes before the word's
         total = size[inverse] + broken
@@ -146,20 +159,36 @@ class BatchEncoder:
         return out
 
     @staticmethod
-    def _same(words: WordBuffer, raw: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether words a and b have the same bytes: the first and last eight at once, those between one by one."""
-        (sa, ea), (sb, eb) = ((words.starts[k], words.ends[k]) for k in (a, b))
-        size = ea - sa
-        same = size == eb - sb
-        cut = LANE_MASKS[np.minimum(size, 8)]
-        same &= (words.lane(sa) & cut) == (words.lane(sb) & cut)
+    def _same(words: WordBuffer, raw: bytes, at: np.ndarray, where: np.ndarray, inverse: np.ndarray, bare: np.ndarray) -> np.ndarray:
+        """Whether words ``at`` have the bytes of those that stand for them, ``where[inverse]``.
+
+        The first and last eight bytes are compared at once, those between word by word.
+        """
+        start, end = words.starts[at], words.ends[at]
+        size, short = end - start, np.minimum(end - start, 8)
+        size_of, lane_of = words.ends[where] - words.starts[where], words.lane(words.starts[where])
+        same = (size == size_of[inverse]) & (bare[at] == bare[where][inverse])
+        same &= ((words.lane(start) ^ lane_of[inverse]) & LANE_MASKS[short]) == 0
         more = np.flatnonzero(same & (size > 8))
-        same[more] = words.lane(ea[more] - 8) == words.lane(eb[more] - 8)
-        for k in np.flatnonzero(same & (size > 16)).tolist():
-            same[k] = raw[sa[k] : ea[k]] == raw[sb[k] : eb[k]]
+        like = where[inverse[more]]
+        same[more] = words.lane(end[more] - 8) == words.lane(words.ends[like] - 8)
+        for k in more[same[more] & (size[more] > 16)].tolist():
+            j = where[inverse[k]]
+            same[k] = raw[start[k] : end[k]] == raw[words.starts[j] : words.ends[j]]
         return same
 
 
+def _encoder(path: str) -> BatchEncoder:
+    """The encoder of this worker process, with the words it has met in earlier tasks.
+
+    Worker functions travel by value, so a global of this module would be new in each task.
+    """
+    kept = sys.modules.setdefault("_oncelog_encoders", ModuleType("_oncelog_encoders")).__dict__
+    if path not in kept:
+        kept[path] = BatchEncoder(path)
+    return kept[path]
+
+
 def _groups(rows: Iterator[tuple], size, most: int) -> Iterator[list]:
     group, total = [], 0
     for row in rows:
@@ -176,9 +205,9 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, dictionary: bytes
     """(doc_id, n_tokens, frame) of every document; the frame holds its ids and the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = BatchEncoder(tokenizer_path), _compressor(dictionary)
+        encoder, packer = _encoder(tokenizer_path), _compressor(dictionary)
         rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        for group in _groups(rows, lambda r: len(r[1]), 6_000_000):
+        for group in _groups(rows, lambda r: len(r[1]), 8_000_000):
             ids = [np.append(x, encoder.dtype.type(end_id)) for x in encoder.encode([t for _, t in group])]
             yield pa.record_batch(
                 [pa.array([d for d, _ in group], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([packer.compress(x.tobytes()) for x in ids], pa.binary())],
