@@ -135,8 +135,15 @@ class BatchEncoder:
         hashes = words.word_hashes() ^ bare.astype(np.uint64)
         keep = ~np.repeat(np.array(whole, dtype=bool), np.diff(first))
         at = np.flatnonzero(keep)
-        distinct, where, inverse = np.unique(hashes[keep], return_index=True, return_inverse=True)
-        raw, where = data.tobytes(), at[where]
+        # any word of a hash may stand for it, so an unstable sort will do, which is much faster than numpy's unique
+        own = hashes[keep]
+        order = np.argsort(own)
+        ranked = own[order]
+        opening = np.ones(len(own), dtype=bool)
+        opening[1:] = ranked[1:] != ranked[:-1]
+        inverse = np.empty(len(own), dtype=np.int64)
+        inverse[order] = np.cumsum(opening) - 1
+        raw, where = data.tobytes(), at[order[opening]]
         for i in np.unique(np.searchsorted(first, at[~self._same(words, raw, at, where, inverse, bare)], side="right") - 1).tolist():
             out[i] = self._ids([texts[i]])[0]  # it has another word of the same hash
         if len(self.size) > MEMO_WORDS:
