@@ -2,74 +2,75 @@
 
 A log has one row for each command: ns, key, n (its place), op, now, owner, fp, lease_ms,
 retention_ms, reclaim, status, result. Commands of one key are folded in order of (now,
-n); each gets an answer, and each key a record. The fold is a JVM-side ``aggregate`` over
-one key's sorted commands, after one shuffle by key.
+n); each gets an answer, and each key a record. The fold is an ordered pass (``carry``):
+after one shuffle by key, the sorted commands of a key stream by, and only its record is
+kept, so that a key may have any number of commands.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import scalars as S
+from .carry import carry
 
 COMMAND = "ns string, key string, n long, op string, now long, owner string, fp string, lease_ms long, retention_ms long, reclaim boolean, status string, result string"
-_RECORD = {
-    "status": "string", "attempt": "long", "owner": "string", "lease_end": "long", "fp": "string", "created_at": "long", "updated_at": "long", "expires_at": "long", "result": "string", "code": "string",
-}
-_ANSWER = "array<struct<n:bigint,outcome:string,status:string,attempt:bigint,expired:boolean,code:string>>"
-
-
-def _record(**values: Column) -> list[Column]:
-    return [values[name].cast(kind).alias(name) for name, kind in _RECORD.items()]
-
-
-def fold(commands: DataFrame) -> DataFrame:
-    """ns, key, record, answers of every key; a key without a record (swept, or never claimed) has a null one."""
-    log = commands.groupBy("ns", "key").agg(F.array_sort(F.collect_list(F.struct("now", "n", "op", "owner", "fp", "lease_ms", "retention_ms", "reclaim", "status", "result"))).alias("log"))
-    none = F.lit(None)
-    start = F.struct(*_record(**dict.fromkeys(_RECORD, none)), F.array().cast(_ANSWER).alias("answers"))
-
-    def step(s: Column, c: Column) -> Column:
-        lease = c["now"] + c["lease_ms"]
-        exists, flying = s["status"].isNotNull(), s["status"] == "in_flight"
-        over = flying & (s["lease_end"] < c["now"])
-        held = flying & (s["owner"] == c["owner"])
-        claim, beat, complete, sweep = (c["op"] == op for op in ("claim", "heartbeat", "complete", "sweep"))
-        keep = {name: s[name] for name in _RECORD}
-        made = keep | {"status": F.lit("in_flight"), "attempt": F.lit(1), "owner": c["owner"], "lease_end": lease, "fp": c["fp"], "created_at": c["now"], "updated_at": c["now"], "expires_at": c["now"] + c["retention_ms"], "result": none, "code": none}
-        parked = keep | {"status": F.lit("indeterminate"), "owner": none, "lease_end": none, "code": F.lit("E_LEASE_LOST"), "updated_at": c["now"]}
-        again = keep | {"status": F.lit("in_flight"), "attempt": s["attempt"] + 1, "owner": c["owner"], "lease_end": lease, "code": none, "updated_at": c["now"]}
-        longer = keep | {"lease_end": lease, "updated_at": c["now"]}
-        done = keep | {"status": c["status"], "owner": none, "lease_end": none, "result": c["result"], "code": none, "updated_at": c["now"]}
-        swept = exists & ~flying & (s["expires_at"] <= c["now"])
-        parks, opens = claim & F.coalesce(over, F.lit(False)), claim & ~exists
-        reclaims = claim & ~over & F.coalesce(c["reclaim"], F.lit(False)) & (s["status"] == "indeterminate")
-        state = (
-            F.when(opens, F.struct(*_record(**made))).when(parks, F.struct(*_record(**parked))).when(reclaims, F.struct(*_record(**again))).when(beat & held, F.struct(*_record(**longer)))
-            .when(complete & held, F.struct(*_record(**done))).when(sweep & swept, F.struct(*_record(**dict.fromkeys(_RECORD, none)))).otherwise(F.struct(*_record(**keep)))
-        )
-        conflict = claim & exists & (s["fp"] != c["fp"])
-        outcome = (
-            F.when(opens | reclaims, "claimed").when(claim, "exists").when(beat, F.when(held, "ok").otherwise("not_ok"))
-            .when(complete, F.when(held, "ok").otherwise("refused")).when(sweep, F.when(swept, "removed").otherwise("kept"))
-        )
-        code = F.when(complete & ~exists, "E_STORE").when(complete & ~held, "E_LEASE_LOST").when(conflict, "E_KEY_CONFLICT")
-        now = lambda name: F.when(opens | reclaims, F.lit("in_flight") if name == "status" else F.when(opens, 1).otherwise(s["attempt"] + 1)).when(parks, F.lit("indeterminate") if name == "status" else s[name]).when(complete & held, c["status"] if name == "status" else s[name]).otherwise(s[name])
-        answer = F.struct(c["n"].alias("n"), outcome.alias("outcome"), now("status").alias("status"), now("attempt").cast("long").alias("attempt"), parks.alias("expired"), code.alias("code"))
-        return F.struct(*(state[name].alias(name) for name in _RECORD), F.concat(s["answers"], F.array(answer)).cast(_ANSWER).alias("answers"))
-
-    out = log.select("ns", "key", F.aggregate("log", start, step).alias("s"))
-    record = F.when(F.col("s.status").isNotNull(), F.struct(*(F.col(f"s.{name}") for name in _RECORD)))
-    return out.select("ns", "key", record.alias("record"), F.col("s.answers").alias("answers"))
+_KEY = "ns string, key string"
+_RECORD = "status string, attempt long, owner string, lease_end long, fp string, created_at long, updated_at long, expires_at long, result string, code string"
+_ANSWER = "n long, outcome string, status string, attempt long, expired boolean, code string"
+_NONE = (None,) * 10
+
+
+def _step(record: tuple, command: tuple) -> tuple[tuple, tuple]:
+    """The record of a key after a command, and what the command is told; comparisons with a null do not hold."""
+    ns, key, n, op, now, caller, asked, lease_ms, retention_ms, reclaim, ends, value = command
+    status, attempt, owner, lease_end, fp, created_at, _, expires_at, result, code = record
+    flying = status == "in_flight"
+    if op == "claim":
+        told = "E_KEY_CONFLICT" if status is not None and fp is not None and asked is not None and fp != asked else None
+        lease = None if now is None or lease_ms is None else now + lease_ms
+        if status is None:
+            expires = None if now is None or retention_ms is None else now + retention_ms
+            return ("in_flight", 1, caller, lease, asked, now, now, expires, None, None), (ns, key, n, "claimed", "in_flight", 1, False, told)
+        if flying and lease_end is not None and now is not None and lease_end < now:
+            return ("indeterminate", attempt, None, None, fp, created_at, now, expires_at, result, "E_LEASE_LOST"), (ns, key, n, "exists", "indeterminate", attempt, True, told)
+        if reclaim and status == "indeterminate":
+            return ("in_flight", attempt + 1, caller, lease, fp, created_at, now, expires_at, result, None), (ns, key, n, "claimed", "in_flight", attempt + 1, False, told)
+        return record, (ns, key, n, "exists", status, attempt, False, told)
+    held = flying and owner is not None and owner == caller
+    if op == "heartbeat":
+        if not held:
+            return record, (ns, key, n, "not_ok", status, attempt, False, None)
+        lease = None if now is None or lease_ms is None else now + lease_ms
+        return ("in_flight", attempt, owner, lease, fp, created_at, now, expires_at, result, code), (ns, key, n, "ok", status, attempt, False, None)
+    if op == "complete":
+        if not held:
+            return record, (ns, key, n, "refused", status, attempt, False, "E_STORE" if status is None else "E_LEASE_LOST")
+        return (ends, attempt, None, None, fp, created_at, now, expires_at, value, None), (ns, key, n, "ok", ends, attempt, False, None)
+    if op == "sweep":
+        swept = status is not None and not flying and expires_at is not None and now is not None and expires_at <= now
+        return (_NONE if swept else record), (ns, key, n, "removed" if swept else "kept", status, attempt, False, None)
+    return record, (ns, key, n, None, status, attempt, False, None)
+
+
+def _log(commands: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    """The commands as ``_step`` takes them, their keys and their total order."""
+    fields = StructType.fromDDL(COMMAND)
+    rows = commands.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
+    return rows, ["key", "ns"], ["now", "n", *(f.name for f in fields if f.name not in ("ns", "key", "now", "n"))]
 
 
 def records(commands: DataFrame) -> DataFrame:
-    return fold(commands).where("record IS NOT NULL").select("ns", "key", "record.*")
+    """ns, key and record of every key that has one: it was claimed, and not swept."""
+    last = carry(*_log(commands), lambda s, c: (_step(s, c)[0], None), f"{_KEY}, {_RECORD}", _NONE, end=lambda k, s: (k[1], k[0], *s))
+    return last.where("status IS NOT NULL")
 
 
 def answers(commands: DataFrame) -> DataFrame:
-    return fold(commands).select("ns", "key", F.explode("answers").alias("a")).select("ns", "key", "a.*")
+    """ns, key, n, outcome, status, attempt, expired, code: what every command is told."""
+    return carry(*_log(commands), _step, f"{_KEY}, {_ANSWER}", _NONE)
 
 
 def from_deliveries(deliveries: DataFrame, lease_ms: int = S.LEASE_MS, retention_ms: int = S.RETENTION_MS) -> DataFrame:

@@ -379,3 +379,18 @@ def test_nested_canonical_json_and_flags(spark):
     flag = lambda code, flying=False: (scalar(spark, errors.retryable(F.lit(code))), scalar(spark, errors.indeterminate(F.lit(code), F.lit(flying))))
     assert flag("E_CIRCUIT_OPEN") == (True, False) and flag("E_LEASE_LOST") == (False, True) and flag("E_DEADLINE") == (False, False) and flag("E_DEADLINE", True) == (False, True)
     assert len(errors.CODES) == 14 and scalar(spark, errors.retryable(F.lit(None).cast("string"))) is None
+
+
+def test_records_of_a_key_with_many_commands_are_folded_in_one_pass(spark):
+    from oncelog.operators import commands as C
+
+    def row(key, n, op, now, owner="a", **more):
+        base = {"ns": "n", "key": key, "n": n, "op": op, "now": now, "owner": owner, "fp": "f", "lease_ms": 30, "retention_ms": 100, "reclaim": False, "status": "succeeded", "result": None}
+        return tuple((base | more).values())
+
+    beats = [row("hot", n, "heartbeat", n) for n in range(1, 5_000)]
+    log = [row("hot", 0, "claim", 0), *beats, row("hot", 5_000, "complete", 5_000, result="r"), row(None, 1, "claim", 1), row("swept", 1, "claim", 1), row("swept", 2, "complete", 2), row("swept", 3, "sweep", 200)]
+    out = C.records(spark.createDataFrame(log, C.COMMAND).repartition(3))
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.key: (r.status, r.attempt, r.lease_end, r.updated_at, r.expires_at, r.result) for r in out.collect()}
+    assert got == {"hot": ("succeeded", 1, None, 5_000, 100, "r"), None: ("in_flight", 1, 31, 1, 101, None)}
