@@ -394,3 +394,21 @@ def test_records_of_a_key_with_many_commands_are_folded_in_one_pass(spark):
     assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
     got = {r.key: (r.status, r.attempt, r.lease_end, r.updated_at, r.expires_at, r.result) for r in out.collect()}
     assert got == {"hot": ("succeeded", 1, None, 5_000, 100, "r"), None: ("in_flight", 1, 31, 1, 101, None)}
+
+
+def test_answers_of_a_key_with_many_commands_are_told_as_they_pass(spark):
+    from oncelog.operators import commands as C
+
+    def row(n, op, owner="a", **more):
+        base = {"ns": "n", "key": "hot", "n": n, "op": op, "now": n, "owner": owner, "fp": "f", "lease_ms": 1_000_000, "retention_ms": 100, "reclaim": False, "status": "failed", "result": None}
+        return tuple((base | more).values())
+
+    tries = [row(n, "claim", f"b{n}", fp="f" if n % 2 else "g", lease_ms=None, reclaim=None) for n in range(1, 5_000)]
+    log = [row(0, "claim"), *tries, row(5_000, "complete", None), row(5_001, "complete"), row(5_002, "sweep"), row(5_003, "heartbeat")]
+    out = C.answers(spark.createDataFrame(log, C.COMMAND).repartition(3))
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.n: (r.outcome, r.status, r.attempt, r.expired, r.code) for r in out.collect()}
+    assert len(got) == len(log)
+    assert all(got[n] == ("exists", "in_flight", 1, False, None if n % 2 else "E_KEY_CONFLICT") for n in range(1, 5_000))
+    assert [got[n] for n in (0, 5_000)] == [("claimed", "in_flight", 1, False, None), ("refused", "in_flight", 1, False, "E_LEASE_LOST")]  # no owner: the lease is another's
+    assert [got[n] for n in (5_001, 5_002, 5_003)] == [("ok", "failed", 1, False, None), ("removed", "failed", 1, False, None), ("not_ok", None, None, False, None)]
