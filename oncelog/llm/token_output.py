@@ -31,6 +31,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ from .common import LANE_MASKS, WordBuffer, remove, scratch, table, text_or_empt
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 400, 8_000, 32_768
 #: The encoder's memo is emptied when it holds more words.
 MEMO_WORDS = 400_000
+#: Texts are encoded together until they have this many bytes; arrays over their words take some forty times that.
+ENCODED_BYTES = 2_000_000
 #: A shard row is closed once its payload reaches this size.
 SHARD_BYTES = 1 << 20
 
@@ -208,16 +211,22 @@ def _groups(rows: Iterator[tuple], size, most: int) -> Iterator[list]:
         yield group
 
 
+def _text_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """(doc_id, text, bytes) of documents to encode together; few of a batch's texts are strings at once."""
+    slices = (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500))
+    rows = (r for b in slices for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), pc.binary_length(b.column(1)).to_pylist(), strict=True))
+    return _groups(rows, lambda r: r[2], ENCODED_BYTES)
+
+
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, dictionary: bytes | None) -> DataFrame:
     """(doc_id, n_tokens, frame) of every document; the frame holds its ids and the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = _encoder(tokenizer_path), _compressor(dictionary)
-        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        for group in _groups(rows, lambda r: len(r[1]), 8_000_000):
-            ids = [np.append(x, encoder.dtype.type(end_id)) for x in encoder.encode([t for _, t in group])]
+        for group in _text_groups(batches):
+            ids = [np.append(x, encoder.dtype.type(end_id)) for x in encoder.encode([t for _, t, _ in group])]
             yield pa.record_batch(
-                [pa.array([d for d, _ in group], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([packer.compress(x.tobytes()) for x in ids], pa.binary())],
+                [pa.array([d for d, _, _ in group], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([packer.compress(x.tobytes()) for x in ids], pa.binary())],
                 names=["doc_id", "n_tokens", "frame"],
             )
 

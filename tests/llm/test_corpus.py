@@ -337,3 +337,13 @@ def test_sql_agrees(spark, name):
     text = lambda x: repr(round(x, 6)) if isinstance(x, float) else str(x)
     got = sorted(tuple(text(r[c]) for c in columns) for r in out.collect())
     assert got == sorted(tuple(text(x) for x in r) for r in con.sql(f"SELECT {', '.join(columns)} FROM ({SQL[name]})").fetchall())
+
+
+def test_texts_are_encoded_in_groups_of_bounded_bytes():
+    import pyarrow as pa
+
+    texts = ["word " * 500, "中文 " * 400, "", "x"] * 1_500
+    batches = [pa.record_batch([pa.array(range(k, k + 3_000), pa.int64()), pa.array(texts[k : k + 3_000])], names=["doc_id", "text"]) for k in (0, 3_000)]
+    groups = list(token_output._text_groups(iter(batches)))
+    assert [(d, t) for g in groups for d, t, _ in g] == list(enumerate(texts))
+    assert len(groups) == 4 and all(sum(len(t.encode()) for _, t, _ in g[:-1]) < 2_000_000 for g in groups)
