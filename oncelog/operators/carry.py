@@ -28,14 +28,14 @@ def carry(rows: DataFrame, key: str | list[str], order: list[str], step: Step, s
     """
     keys = [key] if isinstance(key, str) else key
     of = itemgetter(*(rows.columns.index(k) for k in keys))
-    shape = to_arrow_schema(StructType.fromDDL(schema))
+    shape = shape_of(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: Any = None
         state, seen = start, False
         for b in batches:
             out = []
-            for row in zip(*map(_values, b.columns), strict=True):
+            for row in zip(*map(values, b.columns), strict=True):
                 own = of(row)
                 if not seen or own != last:
                     if seen and end is not None:
@@ -48,10 +48,19 @@ def carry(rows: DataFrame, key: str | list[str], order: list[str], step: Step, s
         if seen and end is not None:
             yield _batch([end(last, state)], shape)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return ordered(rows, keys, order).mapInArrow(run, schema)
 
 
-def _values(column: pa.Array) -> list:
+def ordered(rows: DataFrame, keys: list[str], order: list[str], clustered: bool = False) -> DataFrame:
+    """The rows of each key in one partition, side by side and in order; ``clustered`` ones are in one partition already."""
+    return (rows if clustered else rows.repartition(*keys)).sortWithinPartitions(*keys, *order)
+
+
+def shape_of(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def values(column: pa.Array) -> list:
     """``to_pylist``, many times faster for strings and for numbers without nulls."""
     plain = pa.types.is_string(column.type) or (column.null_count == 0 and (pa.types.is_integer(column.type) or pa.types.is_boolean(column.type)))
     return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()

@@ -231,10 +231,10 @@ _LOG = """firsts AS (SELECT *, worker || ':' || delivery_no AS owner FROM delive
 @query(T.oracle("SELECT ns, key, arg_max(status, step) AS status, max(attempt) AS attempt, max(struct_pack(step := step, e := lease_end)).e AS lease_end FROM state GROUP BY ns, key", "deliveries", more=_LOG, recursive=True))
 def effect_commands(spark, sf):
     """The record of every key after claims, heartbeats, completions and reclaims."""
-    return C.records(C.from_deliveries(T.deliveries(spark, sf))).select("ns", "key", "status", "attempt", "lease_end")
+    return C.records(C.from_deliveries(T.deliveries(spark, sf)), clustered=True, fixed=C.DELIVERED).select("ns", "key", "status", "attempt", "lease_end")
 
 
 @query(T.oracle("SELECT ns, key, n, outcome, code FROM state", "deliveries", more=_LOG, recursive=True))
 def command_answers(spark, sf):
     """What every command is told."""
-    return C.answers(C.from_deliveries(T.deliveries(spark, sf))).select("ns", "key", "n", "outcome", "code")
+    return C.answers(C.from_deliveries(T.deliveries(spark, sf)), clustered=True, fixed=C.DELIVERED).select("ns", "key", "n", "outcome", "code")

@@ -36,7 +36,10 @@ def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ns, key, delivery_no, ts, worker, fault, fp, latency_ms, qty: deliveries of intents in a total order."""
+    """ns, key, delivery_no, ts, worker, fault, fp, latency_ms, qty: deliveries of intents in a total order.
+
+    Those of one key lie in one partition, as the window that numbers them brings them there.
+    """
     x = read(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     rows = x.select("*", F.row_number().over(w).alias("n"))

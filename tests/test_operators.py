@@ -412,3 +412,46 @@ def test_answers_of_a_key_with_many_commands_are_told_as_they_pass(spark):
     assert all(got[n] == ("exists", "in_flight", 1, False, None if n % 2 else "E_KEY_CONFLICT") for n in range(1, 5_000))
     assert [got[n] for n in (0, 5_000)] == [("claimed", "in_flight", 1, False, None), ("refused", "in_flight", 1, False, "E_LEASE_LOST")]  # no owner: the lease is another's
     assert [got[n] for n in (5_001, 5_002, 5_003)] == [("ok", "failed", 1, False, None), ("removed", "failed", 1, False, None), ("not_ok", None, None, False, None)]
+
+
+@pytest.mark.parametrize("batch", [7, 150, 10_000])
+def test_commands_folded_side_by_side_are_those_folded_one_by_one(spark, batch):
+    import random
+
+    from oncelog.operators import commands as C
+
+    draw = random.Random(5)
+    pick = lambda *x: draw.choice(x)
+    log = []
+    for k in range(300):
+        for n in range(pick(1, 3, 8, 20) if k else 400):
+            op = pick("claim", "claim", "claim", "heartbeat", "complete", "sweep", "other", None) if n else "claim"
+            now = pick(n * 10, n * 10, n * 10, None, 1 << 62 if k % 97 == 5 else n * 10, (1 << 63) - 1 if k == 8 and n == 2 else 0)
+            log.append((pick("n", "m") if k % 50 == 3 else None if k % 50 == 4 else "n", None if k == 7 else f"k{k}", n, op, now, pick("a", "a", "b", None), pick("f", "f", "g", None), pick(15, 60, None), pick(40, 40, None), pick(True, False, None), pick("succeeded", "failed", "in_flight", "indeterminate", None), pick("r", "s", None)))
+    keyed = {}
+    for row in sorted(log, key=lambda r: (-(1 << 64) if r[4] is None else r[4], r[2])):
+        keyed.setdefault(row[:2], []).append(row)
+    answers, ends, plain = [], [], []
+    for key, rows in keyed.items():
+        record = C._NONE
+        for row in rows:
+            record, told = C._step(record, row)
+            answers.append(told)
+        plain.append((key, record))
+    ends = [(*key, *record) for key, record in plain if record[0] is not None]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        df = spark.createDataFrame(log, C.COMMAND).repartition(3)
+        assert sorted(map(repr, map(tuple, C.answers(df).collect()))) == sorted(map(repr, answers))
+        small = df.where("key IS NULL OR key <> 'k8'")  # its lease ends beyond 64 bits, which no record holds
+        assert sorted(map(repr, map(tuple, C.records(small).collect()))) == sorted(repr(r) for r in ends if r[1] != "k8")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_commands_of_deliveries_are_shuffled_once(spark, sf):
+    from oncelog.queries import QUERIES
+
+    for name in ("command_answers", "effect_commands"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1, plan
