@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import sys
 import zlib
 from collections.abc import Iterator
@@ -40,7 +41,7 @@ from .common import LANE_MASKS, WordBuffer, remove, scratch, table, text_or_empt
 
 #: Bounds of the dictionary: sampled documents, code points of each, bytes trained.
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 400, 8_000, 32_768
-#: The encoder's memo is emptied when it holds more words.
+#: When the encoder's memo holds more words, those met once are dropped, and others beyond half of it.
 MEMO_WORDS = 400_000
 #: Texts are encoded together until they have this many bytes; arrays over their words take some forty times that.
 ENCODED_BYTES = 2_000_000
@@ -66,8 +67,8 @@ class BatchEncoder:
 
     The tokenizer's splitting ends a token before every single space or newline that
     stands between two other characters, so a text can be cut there without changing
-    one id. Words that a bounded memo lacks are encoded together, and all are gathered by
-    position; texts with any other white space, or special-token text, are encoded whole.
+    one id. Words that a bounded memo lacks are encoded together, those that differ in
+    the punctuation at their end once, and all are gathered by position; texts with any other white space, or special-token text, are encoded whole.
     Words of a batch are grouped by a hash, but no id rests on it: every word is compared
     with the first of its group byte by byte, and the memo knows words by their bytes.
     """
@@ -82,7 +83,11 @@ class BatchEncoder:
         self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.spaced[[i for piece, i in vocab.items() if piece.startswith("\u0120")]] = True
         self.newline = vocab["\u010a"]
-        self._forget()
+        added = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        opens = lambda c: all(self.tokenizer.pre_tokenizer.pre_tokenize_str(a + c)[0][1] == (0, 1) for a in "a0")
+        #: Marks that begin a token behind a letter or digit; an apostrophe may begin one with letters.
+        self.tails = "".join(c for c in string.punctuation if c != "'" and c not in added and opens(c)).encode()
+        self._empty()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -106,17 +111,50 @@ class BatchEncoder:
         new = np.flatnonzero(place < 0)
         if len(new):
             own = [words[k] for k in new.tolist()]
-            ids, size = self._words(own, spaced)
-            place[new] = np.arange(len(self.size), len(self.size) + len(new))
-            memo.update(zip(own, place[new].tolist(), strict=True))
-            self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(size) - size))
-            self.size = np.concatenate((self.size, size))
-            self.flat = np.concatenate((self.flat, ids))
+            stems = [self._stem(w) for w in own]
+            plain = [s for s in dict.fromkeys(stems) if s not in memo]
+            self._enter(memo, plain, *self._words(plain, spaced))
+            cut = [(w, s, w[len(s) :]) for w, s in zip(own, stems, strict=True) if len(s) < len(w)]
+            if cut:
+                tails = list(dict.fromkeys(t for _, _, t in cut))
+                tail_of = dict(zip(tails, self._learn(tails, False).tolist(), strict=True))
+                parts = np.array([k for _, s, t in cut for k in (memo[s], tail_of[t])])
+                self.uses[parts] += 1
+                size = self.size[parts]
+                source = np.arange(size.sum()) + np.repeat(self.begin[parts] - np.cumsum(size) + size, size)
+                self._enter(memo, [w for w, _, _ in cut], self.flat[source], size.reshape(-1, 2).sum(axis=1))
+            place[new] = [memo[w] for w in own]
+        self.uses[place] += 1
         return place
 
-    def _forget(self) -> None:
+    def _stem(self, word: bytes) -> bytes:
+        """The word without the punctuation at its end, which has tokens of its own; the whole word where that may not be."""
+        stem = word.rstrip(self.tails)
+        return stem if stem[-1:].isalnum() else word
+
+    def _enter(self, memo: dict[bytes, int], words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        memo.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
+        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.flat = np.concatenate((self.flat, ids))
+        self.uses = np.concatenate((self.uses, np.zeros(len(words), np.int32)))
+
+    def _trim(self) -> None:
+        """Drops the words that one group of texts alone had, and the least used ones beyond half of the memo."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > MEMO_WORDS // 2:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: MEMO_WORDS // 2]])
+        places = np.full(len(self.size), -1)
+        places[keep] = np.arange(len(keep))
+        self.memo = tuple({w: k for w, k in zip(m, places[np.fromiter(m.values(), np.int64, len(m))].tolist(), strict=True) if k >= 0} for m in self.memo)
+        size = self.size[keep]
+        begin = 1 + np.cumsum(size) - size
+        ids = self.flat[np.arange(1, 1 + size.sum()) + np.repeat(self.begin[keep] - begin, size)]
+        self.begin, self.size, self.flat, self.uses = begin, size, np.concatenate((self.flat[:1], ids)), self.uses[keep] // 2
+
+    def _empty(self) -> None:
         self.memo: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
-        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.begin, self.size, self.uses = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
         self.flat = np.array([self.newline], dtype=self.dtype)  # a newline's id has place 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -150,7 +188,7 @@ class BatchEncoder:
         for i in np.unique(np.searchsorted(first, at[~self._same(words, raw, at, where, inverse, bare)], side="right") - 1).tolist():
             out[i] = self._ids([texts[i]])[0]  # it has another word of the same hash
         if len(self.size) > MEMO_WORDS:
-            self._forget()
+            self._trim()
         place = np.empty(len(where), dtype=np.int64)
         for spaced in (True, False):
             own = np.flatnonzero(bare[where] != spaced)

@@ -31,6 +31,25 @@ def test_batch_encoder_is_exact():
     assert [x.tolist() for x in got] == plain_ids(texts)
 
 
+def test_known_words_are_encoded_once(monkeypatch):
+    """Words keep their ids when the memo is trimmed, and punctuation at their end does not make them new."""
+    import string
+
+    monkeypatch.setattr(token_output, "MEMO_WORDS", 300)
+    r = random.Random(3)
+    often = ["".join(r.choice("abcdé0") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    encoder, asked = token_output.BatchEncoder(TOKENIZER), []
+    words = encoder._words
+    monkeypatch.setattr(encoder, "_words", lambda own, spaced: asked.extend((w, spaced) for w in own) or words(own, spaced))
+    for k in range(40):
+        rare = [f"r{k}x{n}" for n in range(40)]
+        texts = [" ".join(["start", *rare, *often]), " ".join(w + r.choice(["", ".", "'", "'s", "###", "!?", "\u2026.", "'.", ">"]) for w in often), "\n".join("".join(r.choice("a1é'\u2026\u0301" + string.punctuation) for _ in range(r.randint(1, 6))) for _ in range(20))]
+        assert [x.tolist() for x in encoder.encode(texts)] == plain_ids(texts)
+        assert len(encoder.size) <= 300 + 400
+    assert max(asked.count((w.encode(), True)) for w in often) <= 3
+    assert not any((w + "###").encode() in {x for x, _ in asked} for w in often if w[-1].isascii())
+
+
 @pytest.mark.parametrize("bits", [64, 2])
 def test_no_id_rests_on_a_hash(monkeypatch, bits):
     """Words that polynomial hashes confuse, and hashes cut to two bits: every word meets many others of its hash."""
